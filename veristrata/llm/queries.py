@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, mixing, packing, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,14 @@ def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: op(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _with_labels(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_packing": _over("documents", packing.op2),
     "op4_chat_formatting": _over("conversations", chat_format.op4),
+    "op6_toxicity": _with_labels(toxicity.op6),
     "op9_quality_rules": _over("documents", quality_rules.op9),
     "op10_mixing": _over("documents", mixing.op10),
 }
