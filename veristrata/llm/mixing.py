@@ -28,6 +28,8 @@ from .storage import persist
 
 WORD = r"[^\x20\x09-\x0D]+"
 OCTAVE_PARTS, BUCKET_PARTS = 64, 256
+#: Above this many sources their table is joined by shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -108,6 +110,8 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (3, 1, 2), sha
         .select(plan["*"], "c1")
     )
     lines = lines.join(second.withColumnRenamed("cut", "c2").drop("left"), lines["source"].eqNullSafe(second["source"]), "left").select(lines["*"], "c2")
+    if plan.count() <= BROADCAST_SOURCES:  # one short row a source
+        lines = F.broadcast(lines)
     out = rows.join(lines, _same(rows, lines, "source")).drop(lines["source"])
     b2 = F.floor((F.col("key") / octave - 1) / (2.0 ** (1 / OCTAVE_PARTS) - 1) * BUCKET_PARTS).cast("int")
     at_line = (F.col("b1") == F.col("c1")) & (b2 == F.col("c2"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, packing, quality_rules, toxicity
+from . import chat_format, language_id, mixing, packing, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": _over("documents", packing.op2),
     "op4_chat_formatting": _over("conversations", chat_format.op4),
     "op6_toxicity": _with_labels(toxicity.op6),
+    "op7_language_id": _over("documents", language_id.op7),
     "op9_quality_rules": _over("documents", quality_rules.op9),
     "op10_mixing": _over("documents", mixing.op10),
 }
