@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, mixing, packing, quality_rules, toxicity
+from . import chat_format, language_id, mixing, packing, quality_crf, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def _with_labels(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": _with_labels(quality_crf.op1),
     "op2_packing": _over("documents", packing.op2),
     "op4_chat_formatting": _over("conversations", chat_format.op4),
     "op6_toxicity": _with_labels(toxicity.op6),
