@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, mixing, packing, quality_crf, quality_rules, toxicity
+from . import chat_format, jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": _over("conversations", chat_format.op4),
     "op6_toxicity": _with_labels(toxicity.op6),
     "op7_language_id": _over("documents", language_id.op7),
+    "op8_jaccard_join": _over("documents", jaccard_join.op8),
     "op9_quality_rules": _over("documents", quality_rules.op9),
     "op10_mixing": _over("documents", mixing.op10),
 }

@@ -55,7 +55,7 @@ def collect_garbage(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; only used to choose numbers of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 @atexit.register
