@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, toxicity
+from . import chat_format, jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def _with_labels(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": _with_labels(quality_crf.op1),
     "op2_packing": _over("documents", packing.op2),
+    "op3_topk_search": _over("embeddings", topk_search.op3),
     "op4_chat_formatting": _over("conversations", chat_format.op4),
     "op6_toxicity": _with_labels(toxicity.op6),
     "op7_language_id": _over("documents", language_id.op7),
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk_search": topk_search.SQL,
     "op4_chat_formatting": chat_format.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
