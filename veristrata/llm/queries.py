@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, topk_search, toxicity
+from . import chat_format, jaccard_join, language_id, lm_scoring, mixing, packing, quality_crf, quality_rules, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": _over("documents", packing.op2),
     "op3_topk_search": _over("embeddings", topk_search.op3),
     "op4_chat_formatting": _over("conversations", chat_format.op4),
+    "op5_lm_scoring": _over("documents", lm_scoring.op5),
     "op6_toxicity": _with_labels(toxicity.op6),
     "op7_language_id": _over("documents", language_id.op7),
     "op8_jaccard_join": _over("documents", jaccard_join.op8),
