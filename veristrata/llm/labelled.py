@@ -56,3 +56,15 @@ def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows:
     names = [f.split()[0] for f in schema.split(", ")]
     held_out = F.coalesce(remainder(F.col("doc_id"), mod) == held, F.lit(False))
     return docs.select(F.col("doc_id").cast("long"), held_out, F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, model, keep: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep(model, texts)`` accepts, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(shared.value, batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)

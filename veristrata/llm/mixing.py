@@ -37,13 +37,17 @@ def quality_weight(text: Column, size: Column) -> Column:
     return (size + 1) / (size + 1 + 4 * F.regexp_count(text, F.lit(r"[#*$%&|<>]")))
 
 
-def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, key and the key's bucket, one row per input row."""
+def keyed(docs: DataFrame, seed: int = 17, payload: bool = False) -> DataFrame:
+    """doc_id, source, size, tie, key and the key's buckets, one row per input row (and the row, if asked)."""
     t = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), t.alias("_t"))
+    whole = [F.struct(*docs.columns).alias("row")] if payload else []
+    d = docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), t.alias("_t"), *whole)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    d = d.select("doc_id", "source", "size", F.xxhash64("_t").alias("tie"), (-F.log(u) / quality_weight(F.col("_t"), F.col("size"))).alias("key"))
-    return d.withColumn("b1", F.floor(F.log2("key") * OCTAVE_PARTS).cast("int"))
+    key = -F.log(u) / quality_weight(F.col("_t"), F.col("size"))
+    d = d.select("doc_id", "source", "size", F.xxhash64("_t").alias("tie"), key.alias("key"), *(["row"] if payload else []))
+    d = d.withColumn("b1", F.floor(F.log2("key") * OCTAVE_PARTS).cast("int"))
+    octave = F.pow(F.lit(2.0), F.col("b1") / F.lit(float(OCTAVE_PARTS)))
+    return d.withColumn("b2", F.floor((F.col("key") / octave - 1) / (2.0 ** (1 / OCTAVE_PARTS) - 1) * BUCKET_PARTS).cast("int"))
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -69,60 +73,76 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float =
     return s.select("source", "source_size", F.when(F.col("_l").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_l") * F.col("_w"))).alias("target"))
 
 
-def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
 def _line(rows: DataFrame, part: str, budgets: DataFrame) -> DataFrame:
     """Per source, the part that holds the budget line and what is left for it."""
     sums = rows.groupBy("source", part).agg(F.sum("size").alias("n"))
     w = W.partitionBy("source").orderBy(part)
     s = sums.withColumn("upto", F.sum("n").over(w))
-    s = s.join(budgets, _same(s, budgets, "source")).drop(budgets["source"])
+    s = s.join(budgets.select(F.col("source").alias("_b"), "left"), F.col("source").eqNullSafe(F.col("_b")))
     at = s.filter((F.col("upto") - F.col("n") < F.col("left")) & (F.col("upto") >= F.col("left")))
     return at.groupBy("source").agg(F.min(part).alias("cut"), F.min(F.col("left") - F.col("upto") + F.col("n")).alias("left"))
 
 
-def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, tie, source_size, target, epochs, taken, one row per input row."""
+def mix(
+    docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, payload: bool = False
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, part, taken (and ``row``), one row per input row.
+
+    ``part`` words beyond the complete epochs come from the document's beginning.
+    """
     rows = persist(keyed(docs, seed), "mix-keys")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", whole)
     plan = persist(plan.withColumn("left", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-plan")
-    budget = plan.filter("left > 0").select("source", "left")
-    first = _line(rows, "b1", budget)
-    edge = rows.join(first, _same(rows, first, "source") & (rows["b1"] == first["cut"])).select(rows["*"])
-    octave = F.pow(F.lit(2.0), F.col("b1") / F.lit(float(OCTAVE_PARTS)))
-    edge = edge.withColumn("b2", F.floor((F.col("key") / octave - 1) / (2.0 ** (1 / OCTAVE_PARTS) - 1) * BUCKET_PARTS).cast("int"))
-    edge = persist(edge, "mix-edge")
+    first = persist(_line(rows, "b1", plan.filter("left > 0").select("source", "left")), "mix-first")
+    small = plan.count() <= BROADCAST_SOURCES  # one short row a source
+    at = first.select(F.col("source").alias("_s"), "cut")
+    at = F.broadcast(at) if small else at
+    edge = rows.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("cut"))).drop("_s", "cut")
     second = _line(edge, "b2", first.select("source", "left"))
-    inner = edge.join(second, _same(edge, second, "source") & (edge["b2"] == second["cut"])).select(edge["*"], second["left"])
-    order = W.partitionBy("source").orderBy("key", "doc_id", "tie", "size")
-    inner = inner.withColumn("_i", F.row_number().over(order)).withColumn("_before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce("_before", F.lit(0))))
-    inner = inner.select("source", "doc_id", "tie", "size", "key", part.cast("long").alias("part"))
-    lines = (
-        plan.join(first.withColumnRenamed("cut", "c1").drop("left"), plan["source"].eqNullSafe(first["source"]), "left")
-        .select(plan["*"], "c1")
-    )
-    lines = lines.join(second.withColumnRenamed("cut", "c2").drop("left"), lines["source"].eqNullSafe(second["source"]), "left").select(lines["*"], "c2")
-    if plan.count() <= BROADCAST_SOURCES:  # one short row a source
-        lines = F.broadcast(lines)
-    out = rows.join(lines, _same(rows, lines, "source")).drop(lines["source"])
-    b2 = F.floor((F.col("key") / octave - 1) / (2.0 ** (1 / OCTAVE_PARTS) - 1) * BUCKET_PARTS).cast("int")
-    at_line = (F.col("b1") == F.col("c1")) & (b2 == F.col("c2"))
-    inside = F.when(F.col("left") <= 0, F.lit(False)).otherwise((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (b2 < F.col("c2"))))
-    out = out.withColumn("_line", F.coalesce(at_line & (F.col("left") > 0), F.lit(False))).withColumn("_in", F.coalesce(inside, F.lit(False)))
-    keep = ["doc_id", "source", "size", "tie", "source_size", "target", "epochs"]
+    lines = plan.join(first.select(F.col("source").alias("_s1"), F.col("cut").alias("c1")), F.col("source").eqNullSafe(F.col("_s1")), "left")
+    lines = lines.join(
+        second.select(F.col("source").alias("_s2"), F.col("cut").alias("c2"), F.col("left").alias("rest")), F.col("source").eqNullSafe(F.col("_s2")), "left"
+    )
+    lines = persist(lines.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "left", "c1", "c2", "rest"), "mix-lines")
+    base = keyed(docs, seed, True) if payload else rows
+    out = base.join(F.broadcast(lines) if small else lines, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    same = (F.col("b1") == F.col("c1")) & (F.col("left") > 0)
+    out = out.withColumn("_line", F.coalesce(same & (F.col("b2") == F.col("c2")), F.lit(False)))
+    out = out.withColumn("_in", F.coalesce((F.col("left") > 0) & ((F.col("b1") < F.col("c1")) | (same & (F.col("b2") < F.col("c2")))), F.lit(False)))
+    keep = ["doc_id", "source", "size", "source_size", "target", "epochs", *(["row"] if payload else [])]
     clear = out.filter(~F.col("_line")).select(*keep, F.when(F.col("_in"), F.col("size")).otherwise(F.lit(0)).cast("long").alias("part"))
-    onto = plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs")
-    edged = inner.join(onto, inner["source"].eqNullSafe(onto["_s"])).select(*keep, "part")
+    order = W.partitionBy("source").orderBy("key", "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - before)).cast("long")
+    edged = out.filter("_line").withColumn("part", part).select(*keep, "part")
     return clear.unionByName(edged).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
+def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, repeats included, with the same columns.
+
+    The one document at a source's budget line that is taken in part keeps its first
+    words, joined by single spaces.
+    """
+    m = mix(docs, payload=True, **parameters)
+    cut = F.col("part") < F.col("size")
+    copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    m = m.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    short = (F.col("_copy") > F.col("epochs")) & cut
+    words = F.regexp_extract_all(F.coalesce(F.col("row.text"), F.lit("")), F.lit(WORD), F.lit(0))
+    text = F.when(short, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(text.alias(c))
+        elif c == "n_chars":
+            out.append(F.when(short, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(f"row.`{c}`").alias(c))
+    return m.select(*out)
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "epochs")

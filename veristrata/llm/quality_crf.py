@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import apply_scores, sample
+from .labelled import apply_scores, keep_rows, sample
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 BOUND, THRESHOLD = 800, 0.7
@@ -270,5 +270,10 @@ def label_lines(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def good_rows(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns."""
+    return keep_rows(docs, train(docs, labels, bound), lambda m, texts: m.scores(texts) >= THRESHOLD)
+
+
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels)
