@@ -53,9 +53,15 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; only used to choose numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
+    """Number of hash parts for an input, by Catalyst's size estimate.
+
+    Where Spark knows no size (local rows, cached plans), its shuffle partitions decide.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, size // bytes_each)
 
 
 @atexit.register
