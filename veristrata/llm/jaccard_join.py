@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import collect_garbage, input_bytes, persist
+from .storage import collect_garbage, parts_for, persist
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 NUM, DEN, WIDTH = 75, 100, 5
@@ -93,124 +93,121 @@ def _bin(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-_SCAN = "bucket int, kind int, a binary, b binary, c binary, d binary"
+#: The scan sends 32 bits of a hash within its bucket; buckets grow with the input, so
+#: a false match stays as rare, and can only let a set pass that a later step drops.
+_SCAN = "bucket int, kind int, seg long, a binary, b binary, c binary, d binary"
+SCAN_BYTES = 6 << 20
 
 
 def _scan(buckets: int):
-    """Per batch: the rows' sets (kind 0), shared counts known here (1), hashes by bucket (2)."""
+    """Per segment: the rows' sets (kind 0), shared counts known here (1), hashes by bucket (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seg = TaskContext.get().partitionId() << 24
         for batch in batches:
-            ids, rows, hashes, ns, sigs, at = batch.column(0), [], [], [], [], 0
-            for lo, hi, buf, offs in text_blocks(batch.column(1)):
-                r, s = shingle_sets(buf, offs)
-                n, g = _signatures(r, s, hi - lo)
-                ns.append(n)
-                sigs.append(g)
-                rows.append(r + lo)
-                hashes.append(s)
-                at = hi
-            if not at:
-                continue
-            row, sh = np.concatenate(rows), np.concatenate(hashes)
-            n, sig = np.concatenate(ns), np.concatenate(sigs)
-            null = np.asarray(ids.is_null())
-            num = np.asarray(ids.fill_null(0)).astype(np.int64)
-            out = [(int(sig[0] % U64(buckets)) if len(sig) else 0, 0, _bin(num), _bin(null), _bin(n.astype(np.int64)), _bin(sig))]
-            # equal sets of the batch count once
-            _, rep = np.unique(sig, return_index=True)
-            once = np.zeros(len(sig), bool)
-            once[rep] = True
-            on = once[row]
-            row, sh = row[on], sh[on]
-            order = np.argsort(sh, kind="stable")
-            row, sh = row[order], sh[order]
-            new = np.ones(len(sh), bool)
-            new[1:] = sh[1:] != sh[:-1]
-            run_of = np.cumsum(new) - 1
-            size = np.bincount(run_of) if len(sh) else np.zeros(0, np.int64)
-            many = size[run_of] > 1 if len(sh) else np.zeros(0, bool)
-            known = np.bincount(row[many], minlength=len(sig))
-            k = np.flatnonzero(known)
-            if len(k):
-                out.append((int(sig[k[0]] % U64(buckets)), 1, _bin(sig[k]), _bin(n[k].astype(np.int64)), _bin(known[k].astype(np.int64)), b""))
-            # each distinct hash once; an owner of -1 says that it is shared already
-            h, owner = sh[new], np.where(size > 1, -1, row[new]).astype(np.int64) if len(sh) else np.zeros(0, np.int64)
-            b = (mix(h) >> U64(20)) % U64(buckets)
-            order = np.argsort(b, kind="stable")
-            h, owner, b = h[order], owner[order], b[order]
-            cut = np.searchsorted(b, np.arange(buckets + 1, dtype=U64))
-            used, inv = np.unique(owner, return_inverse=True)
-            for j in range(buckets):
-                part = slice(cut[j], cut[j + 1])
-                if cut[j] == cut[j + 1]:
-                    continue
-                mine, idx = np.unique(inv[part], return_inverse=True)
-                who = used[mine]
-                width = np.uint16 if len(mine) < 65536 else np.uint32
-                table = np.where(who < 0, U64(0), sig[np.maximum(who, 0)])
-                out.append((j, 2, _bin(h[part]), _bin(idx.astype(width)), _bin(table), _bin(np.where(who < 0, 0, n[np.maximum(who, 0)]).astype(np.int64))))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _SCAN.split(", ")])
+            for lo, hi, buf, offs in text_blocks(batch.column(1), SCAN_BYTES):
+                yield _segment(seg, batch.column(0)[lo:hi], buf, offs, buckets)
+                seg += 1
 
     return run
 
 
+def _segment(seg: int, ids: pa.Array, buf: np.ndarray, offs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    row, sh = shingle_sets(buf, offs)
+    n, sig = _signatures(row, sh, len(ids))
+    num = np.asarray(ids.fill_null(0)).astype(np.int64)
+    out = [(seg % buckets, 0, seg, _bin(num), _bin(np.asarray(ids.is_null())), _bin(n.astype(np.int64)), _bin(sig))]
+    # equal sets of the segment count once
+    once = np.zeros(len(sig), bool)
+    once[np.unique(sig, return_index=True)[1]] = True
+    on = once[row]
+    row, sh = row[on], sh[on]
+    order = np.argsort(sh, kind="stable")
+    row, sh = row[order], sh[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = sh[1:] != sh[:-1]
+    size = np.diff(np.append(np.flatnonzero(new), len(sh)))
+    known = np.bincount(row[np.repeat(size > 1, size)], minlength=len(sig))
+    k = np.flatnonzero(known)
+    if len(k):
+        out.append((seg % buckets, 1, seg, _bin(sig[k]), _bin(n[k].astype(np.int64)), _bin(known[k].astype(np.int64)), b""))
+    # each distinct hash once; an owner of -1 says that it is shared already
+    h, owner = sh[new], np.where(size > 1, -1, row[new])
+    v = mix(h)
+    b = (v >> U64(32)) % U64(buckets)
+    order = np.lexsort((v & U64(0xFFFFFFFF), b))
+    h, owner, b = (v[order] & U64(0xFFFFFFFF)).astype(np.uint32), owner[order], b[order]
+    cut = np.searchsorted(b, np.arange(buckets + 1, dtype=U64))
+    for j in range(buckets):
+        part = slice(cut[j], cut[j + 1])
+        if cut[j] < cut[j + 1]:
+            who, idx = np.unique(owner[part], return_inverse=True)
+            wide = np.uint16 if len(who) < 65536 else np.uint32
+            mine = np.maximum(who, 0)
+            out.append((j, 2, seg, _bin(h[part]), _bin(idx.astype(wide)), _bin(np.where(who < 0, U64(0), sig[mine])), _bin(np.where(who < 0, 0, n[mine]).astype(np.int64))))
+    return _batch(out, _SCAN)
+
+
+def _batch(rows: list[tuple], spec: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in spec.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+
+
 _COUNT = "kind int, part int, a binary, b binary, c binary, d binary"
 
 
 def _count(buckets: int):
-    """Per bucket: how many of its hashes each set shares with another set, by part of the signature."""
+    """Per bucket: how many of its hashes each set shares with another set, by segment, by part of the signature."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table["kind"].to_numpy()
+        kind, segs = table["kind"].to_numpy(), table["seg"].to_numpy()
         cols = {c: table[c].to_pylist() for c in "abcd"}
         out = [(0, 0, *(cols[c][i] for c in "abcd")) for i in np.flatnonzero(kind == 0)]
-        sig, size, shared = [], [], []
+        sig, size, shared, of = [], [], [], []
         for i in np.flatnonzero(kind == 1):
             sig.append(np.frombuffer(cols["a"][i], U64))
             size.append(np.frombuffer(cols["b"][i], np.int64))
             shared.append(np.frombuffer(cols["c"][i], np.int64))
-        hs, owners, own_sig, own_n, base = [], [], [], [], 0
+            of.append(np.full(len(sig[-1]), segs[i]))
+        hs, owners, own_sig, own_n, own_seg, base = [], [], [], [], [], 0
         for i in np.flatnonzero(kind == 2):
-            h, t = np.frombuffer(cols["a"][i], U64), np.frombuffer(cols["c"][i], U64)
-            o = np.frombuffer(cols["b"][i], np.uint16 if len(cols["b"][i]) == 2 * len(h) else np.uint32).astype(np.int64)
+            h, t = np.frombuffer(cols["a"][i], np.uint32), np.frombuffer(cols["c"][i], U64)
+            o = np.frombuffer(cols["b"][i], np.uint16 if len(cols["b"][i]) == 2 * len(h) else np.uint32)
             hs.append(h)
-            owners.append(o + base)
+            owners.append(o.astype(np.int32) + base)
             own_sig.append(t)
             own_n.append(np.frombuffer(cols["d"][i], np.int64))
+            own_seg.append(np.full(len(t), segs[i]))
             base += len(t)
         if hs:
-            h, owner, osig, on = np.concatenate(hs), np.concatenate(owners), np.concatenate(own_sig), np.concatenate(own_n)
-            _, who = np.unique(osig, return_inverse=True)  # the same set may come from several batches
+            h, owner, osig = np.concatenate(hs), np.concatenate(owners), np.concatenate(own_sig)
+            del hs, owners
+            who = np.unique(osig, return_inverse=True)[1].astype(np.int32)  # the same set may come from several segments
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             start = np.flatnonzero(new)
-            g = np.cumsum(new) - 1
             w = who[owner]
             several = np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start)
-            marked = np.add.reduceat((osig[owner] == 0).astype(np.int64), start) > 0
-            hit = (several | marked)[g] & (osig[owner] != 0)
-            # one entry a set and hash, also if copies of the set came from several batches
-            first = np.unique(g[hit] * (len(osig) + 1) + w[hit], return_index=True)[1]
-            o = owner[hit][first]
-            per = np.bincount(o, minlength=len(osig))
-            k = np.flatnonzero(per)
+            hit = np.repeat(several, np.diff(np.append(start, len(h))))  # a mark (signature 0) differs from any set
+            per = np.bincount(owner[hit], minlength=len(osig))
+            k = np.flatnonzero((per > 0) & (osig != 0))
             sig.append(osig[k])
-            size.append(on[k])
+            size.append(np.concatenate(own_n)[k])
             shared.append(per[k].astype(np.int64))
+            of.append(np.concatenate(own_seg)[k])
         if sig:
-            s, z, c = np.concatenate(sig), np.concatenate(size), np.concatenate(shared)
+            s, z, c, g = (np.concatenate(x) for x in (sig, size, shared, of))
             part = (s >> U64(8)) % U64(buckets)
             for p in np.unique(part):
                 i = part == p
-                out.append((1, int(p), _bin(s[i]), _bin(z[i]), _bin(c[i]), b""))
-        cols_out = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols_out, kinds, strict=True)], names=[f.split()[0] for f in _COUNT.split(", ")])
+                out.append((1, int(p), _bin(s[i]), _bin(z[i]), _bin(c[i]), _bin(g[i])))
+        return pa.Table.from_batches([_batch(out, _COUNT)])
 
     return run
 
@@ -221,16 +218,16 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Per part of the signatures: sets of which enough shingles are shared."""
+    """Per part of the signatures: sets of which enough shingles are shared, as counted in any segment."""
     s = np.concatenate([np.frombuffer(x, U64) for x in table["a"].to_pylist()])
-    z = np.concatenate([np.frombuffer(x, np.int64) for x in table["b"].to_pylist()])
-    c = np.concatenate([np.frombuffer(x, np.int64) for x in table["c"].to_pylist()])
-    u, inv = np.unique(s, return_inverse=True)
-    total = np.bincount(inv, c, len(u))
-    n = np.zeros(len(u), np.int64)
-    n[inv] = z
-    ok = total >= _needed(n)
-    return pa.table({"sig": pa.array(u[ok].view(np.int64)), "n": pa.array(n[ok])})
+    z, c, g = (np.concatenate([np.frombuffer(x, np.int64) for x in table[k].to_pylist()]) for k in "bcd")
+    order = np.lexsort((g, s))
+    s, z, c, g = s[order], z[order], c[order], g[order]
+    start = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
+    total = np.add.reduceat(c, start)
+    ok = start[total >= _needed(z[start])]
+    u, first = np.unique(s[ok], return_index=True)
+    return pa.table({"sig": pa.array(u.view(np.int64)), "n": pa.array(z[ok][first])})
 
 
 def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,12 +415,12 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``, and the set's signature."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = max(12, input_bytes(d) // (6 << 20))
+    buckets = parts_for(d, 8 << 20)
     scan = d.mapInArrow(_scan(buckets), _SCAN)
     counted = persist(scan.groupBy("bucket").applyInArrow(_count(buckets), _COUNT), "join-counts")
     collect_garbage(spark)
     rows = persist(counted.filter("kind = 0").select("a", "b", "c", "d").mapInArrow(_unpack_sets, "doc_id long, n long, sig long"), "join-sets")
-    able = counted.filter("kind = 1").select("part", "a", "b", "c").groupBy("part").applyInArrow(_candidates, "sig long, n long")
+    able = counted.filter("kind = 1").select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(_candidates, "sig long, n long")
     able = persist(able, "join-candidates")
     # one text stands for a set
     stands = rows.join(able.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("_stand"))
@@ -446,5 +443,20 @@ def components(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class stays: the one whose id is the class's smallest.
+
+    An id goes only if none of its rows stands for a class; of equal rows of one id one
+    stays; rows without an id stay.
+    """
+    c = persist(components(docs).select("doc_id", "component_id"), "join-classes")
+    ids = c.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
+    ids = persist(ids.filter("stays = 0 or rows > 1").select(F.col("doc_id").alias("_id"), "stays"), "join-dropped")
+    marked = docs.join(ids, docs["doc_id"] == ids["_id"], "left")
+    single = marked.filter("_id is null").select(*docs.columns)
+    repeated = marked.filter("stays = 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", "n_shingles", "component_id")
