@@ -44,3 +44,13 @@ def test_sampling(spark):
     with pytest.raises(PermissionError):
         sampling.assert_split_allowed("held_out", 1, 10)
     assert sampling.label_distribution(spark.createDataFrame([("a",), (None,)], "label string")).count() == 0
+
+
+def test_endpoints():
+    from veristrata.operators import endpoints
+
+    assert endpoints.allowed("http://127.0.0.1:8000/v1") and endpoints.allowed("http://10.0.0.4/v1") and endpoints.allowed("http://localhost/v1")
+    assert not endpoints.allowed("https://example.org") and not endpoints.allowed("http://8.8.8.8") and not endpoints.allowed("ftp://localhost")
+    assert endpoints.allowed("https://api.openai.com/v1", True) and not endpoints.allowed("https://api.openai.com/v1")
+    with pytest.raises(PermissionError):
+        endpoints.check_redirect("http://10.0.0.4/v1", "https://api.openai.com/v1", True)

@@ -133,3 +133,14 @@ def first_json_object(text: Column, ddl: str) -> Column:
     """The first JSON object inside free text, parsed; null if there is none."""
     at = F.locate("{", text)
     return F.when(at > 0, F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), ddl))
+
+
+def neutral_question(template: Column, claim: Column) -> Column:
+    """The template filled with a claim; an empty claim or one that asserts an answer is an error."""
+    text = F.trim(F.coalesce(claim, F.lit("")))
+    empty = F.raise_error(F.lit("a neutral question needs claim text")).cast("string")
+    return F.when(text == "", empty).otherwise(F.trim(fill_template(template, text, "{claim}")))
+
+
+def quantities(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import calibration, decompose, families, judgment, methods, retrieval, sampling, scoring, statistics
+from ..operators import calibration, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, statistics
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -702,6 +702,82 @@ def family_sizes(spark, sf):
     return V.preds(spark, sf).groupBy(F.col("fam").alias("family")).agg(F.count("*").alias("n"), F.min("claim_id").alias("first_claim"))
 
 
+@query(f"with {V.PREDS} select claim_id, cast(substr(claim_id, 9) as bigint) as native_id, 'scifact:' || substr(claim_id, 9) as again from preds")
+def id_round_trip(spark, sf):
+    p = V.preds(spark, sf).select("claim_id", T.native_id(F.col("claim_id")).alias("native_id"))
+    return p.select("claim_id", "native_id", T.claim_id(F.col("native_id")).alias("again"))
+
+
+@query(f"with {V.PREDS} select claim_id, {_OFF('b2')} as official, case when b2 = gold then null when b2 = 'SUPPORT' then 'false_endorsement' when gold = 'SUPPORT' then 'missed_support' when gold = 'REFUTE' then 'missed_contradiction' else 'other' end as error from preds")
+def official_projection(spark, sf):
+    p = V.preds(spark, sf)
+    return p.select("claim_id", L.mapped(F.col("b2"), L.NATIVE_TO_OFFICIAL).alias("official"), L.error_class(F.col("b2"), F.col("gold")).alias("error"))
+
+
+@query(
+    f"""with {V.PREDS}, s as (select claim_id, case cast(substr(claim_id, 9) as bigint) % 5 when 0 then null when 1 then ' OK ' when 2 then 'ok' when 3 then 'Completed' else 'fail' end as st from preds)
+select coalesce(lower(trim(st)), 'ok') in ('ok', 'completed', 'success') as lenient, coalesce(st = 'ok', false) as exact, st is null or st = 'ok' as null_or_ok, count(*) as n from s group by 1, 2, 3"""
+)
+def status_predicates(spark, sf):
+    k = T.native_id(F.col("claim_id")) % 5
+    st = F.when(k == 1, " OK ").when(k == 2, "ok").when(k == 3, "Completed").when(k == 4, "fail")
+    p = V.preds(spark, sf).select(st.alias("st"))
+    return p.groupBy(L.execution_ok(F.col("st")).alias("lenient"), L.exactly_ok(F.col("st")).alias("exact"), L.null_or_ok(F.col("st")).alias("null_or_ok")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with {V.PREDS}, x as (select fam, count(*) as n, round(count(*) filter (v = gold) / cast(count(*) as double) - count(*) filter (b2 = gold) / cast(count(*) as double), 9) as d from preds where ok group by fam)
+select case when d > 0 then 'up' when d < 0 then 'down' else 'equal' end as direction, count(*) as n, round(min(d), 6) as least, round(max(d), 6) as most from x group by 1"""
+)
+def sweep_directions(spark, sf):
+    right = lambda c: F.count_if(F.col(c) == F.col("gold")) / F.count("*")
+    x = V.preds(spark, sf).filter("ok").groupBy("fam").agg(F.round(right("v") - right("b2"), 9).alias("d"))
+    d = reports.direction(F.lit(0.0), F.col("d"))
+    return x.groupBy(d.alias("direction")).agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most"))
+
+
+@query(f"with {V.PREDS}, r as (select *, row_number() over (partition by fam order by claim_id) as t from preds) select claim_id, fam from r order by t, fam limit 50")
+def round_robin_budget(spark, sf):
+    return reports.round_robin(V.preds(spark, sf).select("claim_id", "fam"), 50, "fam", "claim_id")
+
+
+@query(
+    f"""with {V.PREDS}, c as (select fam, count(*) as n_claims, count(*) filter (ok) as n_checked, count(*) filter (ok and d0 <> d1) as n_conflicts from preds group by fam)
+select fam as report_id, n_claims, n_checked, n_conflicts, round(n_checked / cast(n_claims as double), 6) as coverage from c"""
+)
+def report_roll_up(spark, sf):
+    p = V.preds(spark, sf).select(F.col("fam").alias("report_id"), F.col("claim_id").alias("ord"), "claim_id", F.col("d1").alias("label"), (F.col("d0") != F.col("d1")).alias("conflict"), F.col("ok").alias("checked"))
+    return reports.report_verdicts(p).select("report_id", "n_claims", "n_checked", "n_conflicts", *_r("coverage"))
+
+
+@query("select l_orderkey as key, count(*) as n from lineitem group by 1 having count(*) > 4")
+def duplicate_keys(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n")).filter("n > 4")
+
+
+@query(
+    f"""with {V.PREDS}, f as (select 'cited:' || root as family, claim_id from (select 'scifact:' || cast(o_custkey as varchar) as root, 'scifact:' || cast(o_orderkey as varchar) as claim_id from orders))
+select p.claim_id, coalesce(case when cast(substr(p.claim_id, 9) as bigint) % 2 = 0 then p.fam end, f.family) as family from preds p join f using (claim_id)"""
+)
+def family_attach(spark, sf):
+    p = V.preds(spark, sf)
+    own = p.select("claim_id", F.when(T.native_id(F.col("claim_id")) % 2 == 0, F.col("fam")).alias("family"))
+    found = V.table(spark, sf, "orders").select(T.claim_id(F.col("o_orderkey")).alias("claim_id"), F.concat(F.lit("cited:"), T.claim_id(F.col("o_custkey"))).alias("family"))
+    return families.attach(own, found).select("claim_id", "family")
+
+
+@query("select event_type, cast(sum(case when event_id % 4 = 0 then 0 else event_id % 100 end) as bigint) as prompt_tokens, cast(sum(case when event_id % 4 = 0 then 0 else event_id % 7 end) as bigint) as completion_tokens from events group by 1")
+def usage_from_payload(spark, sf):
+    i = F.col("event_id")
+    a, b = (i % 100).cast("string"), (i % 7).cast("string")
+    one = F.concat(F.lit('{"usage":{"prompt_tokens":'), a, F.lit(',"completion_tokens":'), b, F.lit("}}"))
+    two = F.concat(F.lit('{"usage":{"input_tokens":'), a, F.lit(',"output_tokens":"'), b, F.lit('"}}'))
+    bad = F.lit('{"usage":{"prompt_tokens":-5,"completion_tokens":"many"}}')
+    e = V.table(spark, sf, "events").select("event_type", methods.usage_tokens(F.when(i % 4 == 0, bad).when(i % 4 == 1, two).otherwise(one)).alias("u"))
+    return e.groupBy("event_type").agg(F.sum("u.prompt_tokens").alias("prompt_tokens"), F.sum("u.completion_tokens").alias("completion_tokens"))
+
+
 # ---------------------------------------------------- without SQL oracle
 
 
@@ -744,3 +820,16 @@ def model_client_mapinpandas(spark, sf):
     items = V.claims(spark, sf).select("claim_id", F.col("text").alias("prompt"))
     out = methods.model_stage(items, _offline_client)
     return out.select("claim_id", methods.judge_response(F.col("reply")).alias("j"), "execution_status").select("claim_id", "j.label", "j.confidence", "j.ok", "execution_status")
+
+
+@query()
+def stream_ingest_counts(spark, sf):
+    """Label counts of the event log read as a stream, to the end of what is there."""
+    import uuid
+
+    name = f"counts_{uuid.uuid4().hex}"
+    schema = V.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    q = stream.withColumnRenamed("event_type", "label").groupBy("label").count().writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
