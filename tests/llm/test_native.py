@@ -83,7 +83,7 @@ NASTY = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<", "|", "\\\\<|",
 
 def test_round_trip(spark):
     rows = [(c, t, ("user", "assistant", "a\nb%0A<|", None)[(c + t) % 4], NASTY[(c * 5 + t) % len(NASTY)]) for c in range(6) for t in range(12)]
-    rows += [(7, 0, "assistant", "x"), (7, 0, "assistant", "x"), (7, None, "user", "n"), (None, 1, "assistant", "null id")]
+    rows += [(7, 0, "assistant", "x"), (7, 0, "assistant", "x"), (7, 0, "assistant", "b"), (7, 0, "assistant", "m"), (7, 0, None, "z"), (7, None, "user", "n"), (None, 1, "assistant", "null id")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     out = chat_format.render(chat_format.fold_events(chat_format.events_of(df)))
     parsed = {r.conv_id: [(x.role, x.text) for x in r.p] for r in out.select("conv_id", chat_format.parse(F.col("formatted")).alias("p")).collect()}

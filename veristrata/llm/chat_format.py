@@ -120,9 +120,8 @@ def events_of(conversations: DataFrame) -> DataFrame:
     one defined order; ``msg_id`` separates them.
     """
     c = conversations.select("conv_id", "turn", "role", "text")
-    msg = F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.xxhash64("text").alias("h"))
     n = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return c.withColumn("n", n).select("conv_id", F.struct(msg.alias("m"), "n").alias("msg_id"), F.col("turn").alias("seq"), F.lit("start").alias("kind"), "role", "text")
+    return c.withColumn("n", n).select("conv_id", F.struct("turn", "n").alias("msg_id"), F.col("turn").alias("seq"), F.lit("start").alias("kind"), "role", "text")
 
 
 def op4(conversations: DataFrame) -> DataFrame:
