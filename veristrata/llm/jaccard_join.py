@@ -12,12 +12,12 @@ at least 0.75; a document's class is its component of links.  The join is exact
    hash, split to a bounded size) and linked inside each group against an inverted
    index.  Then one representative of each class goes through the same with other hash
    orders, until classes stop meeting: ever fewer rows, and no pairs of members.
-3. What remains are links between different classes.  The token-group matrix holds,
-   per shingle, the groups (chunks of a class) whose token union has it; shingles of one
-   class only cannot carry such a link and drop out.  A set queries the groups of other,
-   larger classes that share one of its rarest shingles (with overlap t = 75 % of n,
-   one of any n - t + 1 shingles must be shared), is bounded against the group's token
-   union, and only then opens the group and is compared exactly.
+3. What remains are links between different classes in different groups.  The
+   token-group matrix holds, per shingle, the groups whose token union has it; shingles
+   of one class only cannot carry such a link and drop out.  A set queries the groups
+   that share one of its rarest shingles (with overlap t = 75 % of n, one of any
+   n - t + 1 shingles must be shared) with a larger class, is bounded against the
+   group's token union, and only then opens the group and is compared exactly.
 4. The links found between classes are closed by min-label rounds.
 
 Defined results: null or empty texts, and texts of white space, have no shingle, are
@@ -34,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import collect_garbage, parts_for, persist
+from .storage import collect_garbage, parts_for, persist, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 NUM, DEN, WIDTH = 75, 100, 5
@@ -312,16 +313,17 @@ def _link_group(table: pa.Table) -> pa.Table:
     for c in np.unique(label):
         members = np.flatnonzero(label == c)
         root[members] = sig[members[degree[members].argmax()]]
-    return pa.table({"sig": pa.array(sig), "root": pa.array(root)})
+    return pa.table({"sig": pa.array(sig), "root": pa.array(root), "grp": pa.array(np.full(len(sig), table["grp"][0].as_py()))})
 
 
 def _round(sets: DataFrame, perm: int) -> DataFrame:
-    """(sig, root) after linking groups of equal smallest hash, split to bounded size."""
+    """(sig, root, grp) after linking groups of equal smallest hash, split to bounded size."""
     keyed = sets.mapInArrow(_smallest(perm), "sig long, n long, toks binary, key long")
     sizes = keyed.groupBy("key").count().withColumn("parts", F.ceil(F.col("count") / GROUP_SETS).cast("int")).select("key", "parts")
     # sets of a key stay sorted by size into parts only by hash: equal sets are one row already
     parts = keyed.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(perm)), F.col("parts")).cast("int"))
-    return parts.groupBy("key", "salt").applyInArrow(_link_group, "sig long, root long")
+    parts = parts.select("sig", "toks", F.xxhash64("key", "salt").alias("grp"))
+    return parts.groupBy("grp").applyInArrow(_link_group, "sig long, root long, grp long")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +354,12 @@ def _open(groups: pa.Table, queries: pa.Table) -> pa.Table:
 
 
 def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between different classes, each class pair at most a few times: (a, b)."""
+    """Links between different classes across groups, each class pair at most a few times: (a, b).
+
+    Inside a group all links are known, so a set asks other groups only, and of them
+    those that hold, on one of its rarest shingles, a member of a larger class; of two
+    classes the smaller one asks.
+    """
     size = labels.groupBy("label").agg(F.count("*").alias("members"))
     s = sets.join(labels, "sig").select("sig", "n", "toks", "label")
     toks = s.mapInArrow(_explode, "sig long, n long, label long, tok long")
@@ -361,32 +368,25 @@ def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     hits = persist(toks.join(cross, "tok"), "join-cross")
     need = F.ceil(F.col("n") * NUM / DEN)
     able = hits.groupBy("sig", "n", "label").agg(F.count("*").alias("shared")).filter(F.col("shared") >= need)
-    # chunks of a class are the groups of the matrix
-    able = able.join(size, "label").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / GROUP_SETS)).cast("int"))
-    able = persist(able.select("sig", "n", "label", "shared", "members", "chunk"), "join-able")
-    from pyspark.sql import Window as W
-
+    able = able.join(size, "label").join(labels.select("sig", "grp"), "sig")
+    able = persist(able.select("sig", "n", "shared", "grp", F.struct("members", "label").alias("class")), "join-able")
     rank = F.row_number().over(W.partitionBy("sig").orderBy("df", "tok"))
     probes = hits.select("sig", "tok", "df").join(able, "sig").withColumn("_r", rank)
-    # n - shared shingles lead the order: no other class has them
-    probes = probes.filter(F.col("_r") <= F.col("n") - need + 1 - (F.col("n") - F.col("shared"))).select("tok", "sig", "n", "label", "members", "chunk")
+    # the n - shared shingles of no other class lead the order
+    probes = probes.filter(F.col("_r") <= F.col("shared") - need + 1).select("tok", "sig", "n", "grp", "class")
     probes = persist(probes, "join-probes")
-    matrix = probes.groupBy("tok", F.col("label").alias("g_label"), F.col("chunk").alias("g_chunk"), F.col("members").alias("g_members")).agg(
-        F.min("n").alias("g_min"), F.max("n").alias("g_max")
-    )
-    asks = probes.select("tok", "sig", "n", "label", "members").join(matrix, "tok")
-    smaller = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("label") < F.col("g_label")))
+    matrix = probes.groupBy("tok", F.col("grp").alias("g")).agg(F.max("class").alias("top"), F.min("n").alias("g_min"), F.max("n").alias("g_max"))
+    matrix = matrix.withColumnRenamed("tok", "g_tok")
     fits = (DEN * F.col("n") >= NUM * F.col("g_min")) & (NUM * F.col("n") <= DEN * F.col("g_max"))
-    asks = asks.filter((F.col("label") != F.col("g_label")) & smaller & fits).select("sig", "label", "g_label", "g_chunk").distinct()
-    asks = persist(asks, "join-asks")
-    load = asks.groupBy("g_label", "g_chunk").agg(F.ceil(F.count("*") / (4 * GROUP_SETS)).cast("int").alias("parts"))
-    queries = asks.join(load, ["g_label", "g_chunk"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    queries = queries.select("sig", "label", "g_label", "g_chunk", "part").join(sets.select("sig", "toks"), "sig")
-    members = able.select("sig", "label", F.col("label").alias("g_label"), F.col("chunk").alias("g_chunk")).join(load, ["g_label", "g_chunk"])
+    asks = probes.join(matrix, (F.col("tok") == F.col("g_tok")) & (F.col("grp") != F.col("g")) & (F.col("class") < F.col("top")) & fits)
+    asks = persist(asks.select("sig", F.col("class.label").alias("label"), "g").distinct(), "join-asks")
+    load = asks.groupBy("g").agg(F.ceil(F.count("*") / (4 * GROUP_SETS)).cast("int").alias("parts"))
+    queries = asks.join(load, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    queries = queries.join(sets.select("sig", "toks"), "sig")
+    queries = queries.select(F.col("g").alias("q_g"), F.col("part").alias("q_part"), F.col("label").alias("q_of"), F.col("toks").alias("q_toks"))
+    members = able.select("sig", F.col("class.label").alias("label"), F.col("grp").alias("g")).join(load, "g")
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets.select("sig", "toks"), "sig")
-    keys = ["g_label", "g_chunk", "part"]
-    queries = queries.select(*[F.col(k).alias(f"q_{k}") for k in keys], F.col("label").alias("q_of"), F.col("toks").alias("q_toks"))
-    opened = members.select(*keys, "label", "toks").groupBy(*keys).cogroup(queries.groupBy(*[f"q_{k}" for k in keys]))
+    opened = members.select("g", "part", "label", "toks").groupBy("g", "part").cogroup(queries.groupBy("q_g", "q_part"))
     return opened.applyInArrow(_open, "a long, b long").distinct()
 
 
@@ -414,6 +414,7 @@ def close(edges: DataFrame, most: int = 60) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``, and the set's signature."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = parts_for(d, 8 << 20)
     scan = d.mapInArrow(_scan(buckets), _SCAN)
@@ -428,11 +429,11 @@ def components(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(_token_sets, "sig long, n long, toks binary").dropDuplicates(["sig"])
     sets = persist(sets, "join-tokens")
     collect_garbage(spark)
-    labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label")), "join-labels")
+    labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label"), "grp"), "join-labels")
     for perm in range(1, ROUNDS):
         heads = sets.join(labels.select(F.col("label").alias("sig")).distinct(), "sig", "left_semi")
         move = _round(heads, perm).filter("sig <> root").select(F.col("sig").alias("label"), "root")
-        labels = persist(labels.join(move, "label", "left").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
+        labels = persist(labels.join(move, "label", "left").select("sig", F.coalesce("root", "label").alias("label"), "grp"), "join-labels")
     merged = close(_between(sets, labels))
     labels = labels.join(merged, labels["label"] == merged["node"], "left").select("sig", F.coalesce("root", "label").alias("label"))
     out = rows.join(labels, "sig", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
@@ -451,12 +452,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     c = persist(components(docs).select("doc_id", "component_id"), "join-classes")
     ids = c.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
-    ids = persist(ids.filter("stays = 0 or rows > 1").select(F.col("doc_id").alias("_id"), "stays"), "join-dropped")
-    marked = docs.join(ids, docs["doc_id"] == ids["_id"], "left")
-    single = marked.filter("_id is null").select(*docs.columns)
-    repeated = marked.filter("stays = 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    ids = persist(ids.filter("stays = 0 or rows > 1").select(F.col("doc_id").alias("__join_id"), F.col("stays").alias("__join_stays")), "join-dropped")
+    marked = docs.join(ids, docs["doc_id"] == ids["__join_id"], "left")
+    single = marked.filter("__join_id is null").select(*docs.columns)
+    repeated = marked.filter("__join_stays = 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
 
 
 def op8(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+with recursive t as (select row_number() over () as rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct rid, array_to_string(w[i:i + 4], ' ') as x from (select rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from t where len(w) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+p as (select a.rid as a, b.rid as b, count(*) as k from s a join s b on a.x = b.x and a.rid <> b.rid group by 1, 2),
+e as (select p.a, p.b from p join n x on x.rid = p.a join n y on y.rid = p.b where 100 * k >= 75 * (x.n + y.n - k)),
+r(rid, root) as (select rid, rid from t union select e.b, r.root from r join e on e.a = r.rid),
+c as (select r.rid, min(d.doc_id) as least from r join t d on d.rid = r.root group by 1)
+select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.least, t.doc_id) as component_id from t left join n using (rid) left join c using (rid)
+"""

@@ -35,5 +35,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op3_topk_search": topk_search.SQL,
     "op4_chat_formatting": chat_format.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
