@@ -12,9 +12,9 @@ at least 0.75; a document's class is its component of links.  The join is exact
    hash, split to a bounded size) and linked inside each group against an inverted
    index.  Then one representative of each class goes through the same with other hash
    orders, until classes stop meeting: ever fewer rows, and no pairs of members.
-3. What remains are links between different classes in different groups.  The
-   token-group matrix holds, per shingle, the groups whose token union has it; shingles
-   of one class only cannot carry such a link and drop out.  A set queries the groups
+3. What remains are links between different classes; shingles of one class only cannot
+   carry one and drop out.  Sets are grouped anew by the shingles left, and the
+   token-group matrix holds, per shingle, the groups whose token union has it.  A set queries the groups
    that share one of its rarest shingles (with overlap t = 75 % of n, one of any
    n - t + 1 shingles must be shared) with a larger class, is bounded against the
    group's token union, and only then opens the group and is compared exactly.
@@ -313,17 +313,17 @@ def _link_group(table: pa.Table) -> pa.Table:
     for c in np.unique(label):
         members = np.flatnonzero(label == c)
         root[members] = sig[members[degree[members].argmax()]]
-    return pa.table({"sig": pa.array(sig), "root": pa.array(root), "grp": pa.array(np.full(len(sig), table["grp"][0].as_py()))})
+    return pa.table({"sig": pa.array(sig), "root": pa.array(root)})
 
 
 def _round(sets: DataFrame, perm: int) -> DataFrame:
-    """(sig, root, grp) after linking groups of equal smallest hash, split to bounded size."""
+    """(sig, root) after linking groups of equal smallest hash, split to bounded size."""
     keyed = sets.mapInArrow(_smallest(perm), "sig long, n long, toks binary, key long")
     sizes = keyed.groupBy("key").count().withColumn("parts", F.ceil(F.col("count") / GROUP_SETS).cast("int")).select("key", "parts")
     # sets of a key stay sorted by size into parts only by hash: equal sets are one row already
     parts = keyed.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(perm)), F.col("parts")).cast("int"))
     parts = parts.select("sig", "toks", F.xxhash64("key", "salt").alias("grp"))
-    return parts.groupBy("grp").applyInArrow(_link_group, "sig long, root long, grp long")
+    return parts.groupBy("grp").applyInArrow(_link_group, "sig long, root long")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,11 +354,10 @@ def _open(groups: pa.Table, queries: pa.Table) -> pa.Table:
 
 
 def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between different classes across groups, each class pair at most a few times: (a, b).
+    """Links between different classes, each class pair at most a few times: (a, b).
 
-    Inside a group all links are known, so a set asks other groups only, and of them
-    those that hold, on one of its rarest shingles, a member of a larger class; of two
-    classes the smaller one asks.
+    A set asks the groups that hold, on one of its rarest shingles, a member of a larger
+    class; of two classes the smaller one asks.
     """
     size = labels.groupBy("label").agg(F.count("*").alias("members"))
     s = sets.join(labels, "sig").select("sig", "n", "toks", "label")
@@ -367,18 +366,22 @@ def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     cross = cross.filter("lo <> hi").select("tok", "df")
     hits = persist(toks.join(cross, "tok"), "join-cross")
     need = F.ceil(F.col("n") * NUM / DEN)
-    able = hits.groupBy("sig", "n", "label").agg(F.count("*").alias("shared")).filter(F.col("shared") >= need)
-    able = able.join(size, "label").join(labels.select("sig", "grp"), "sig")
-    able = persist(able.select("sig", "n", "shared", "grp", F.struct("members", "label").alias("class")), "join-able")
+    # groups of the matrix: sets that agree on the smallest of the shingles in play, split to a bounded size
+    able = hits.groupBy("sig", "n", "label").agg(F.count("*").alias("shared"), F.min(F.xxhash64("tok")).alias("key"))
+    able = persist(able.filter(F.col("shared") >= need), "join-shared")
+    parts = able.groupBy("key").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
+    able = able.join(parts, "key").join(size, "label")
+    grp = F.xxhash64("key", F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("grp")
+    able = persist(able.select("sig", "n", "shared", grp, F.struct("members", "label").alias("class")), "join-able")
     rank = F.row_number().over(W.partitionBy("sig").orderBy("df", "tok"))
     probes = hits.select("sig", "tok", "df").join(able, "sig").withColumn("_r", rank)
     # the n - shared shingles of no other class lead the order
-    probes = probes.filter(F.col("_r") <= F.col("shared") - need + 1).select("tok", "sig", "n", "grp", "class")
+    probes = probes.filter(F.col("_r") <= F.col("shared") - need + 1).select("tok", "sig", "n", "class", "grp")
     probes = persist(probes, "join-probes")
     matrix = probes.groupBy("tok", F.col("grp").alias("g")).agg(F.max("class").alias("top"), F.min("n").alias("g_min"), F.max("n").alias("g_max"))
     matrix = matrix.withColumnRenamed("tok", "g_tok")
     fits = (DEN * F.col("n") >= NUM * F.col("g_min")) & (NUM * F.col("n") <= DEN * F.col("g_max"))
-    asks = probes.join(matrix, (F.col("tok") == F.col("g_tok")) & (F.col("grp") != F.col("g")) & (F.col("class") < F.col("top")) & fits)
+    asks = probes.join(matrix, (F.col("tok") == F.col("g_tok")) & (F.col("class") < F.col("top")) & fits)
     asks = persist(asks.select("sig", F.col("class.label").alias("label"), "g").distinct(), "join-asks")
     load = asks.groupBy("g").agg(F.ceil(F.count("*") / (4 * GROUP_SETS)).cast("int").alias("parts"))
     queries = asks.join(load, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
@@ -429,11 +432,11 @@ def components(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(_token_sets, "sig long, n long, toks binary").dropDuplicates(["sig"])
     sets = persist(sets, "join-tokens")
     collect_garbage(spark)
-    labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label"), "grp"), "join-labels")
+    labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label")), "join-labels")
     for perm in range(1, ROUNDS):
         heads = sets.join(labels.select(F.col("label").alias("sig")).distinct(), "sig", "left_semi")
         move = _round(heads, perm).filter("sig <> root").select(F.col("sig").alias("label"), "root")
-        labels = persist(labels.join(move, "label", "left").select("sig", F.coalesce("root", "label").alias("label"), "grp"), "join-labels")
+        labels = persist(labels.join(move, "label", "left").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
     merged = close(_between(sets, labels))
     labels = labels.join(merged, labels["label"] == merged["node"], "left").select("sig", F.coalesce("root", "label").alias("label"))
     out = rows.join(labels, "sig", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
