@@ -35,6 +35,33 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def persist_by(df: DataFrame, tag: str, column: str, values: list[int]) -> dict[int, DataFrame]:
+    """Write ``df`` once, split by an integer column; one table per value, each of which discard() can delete."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veristrata/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    _KEPT[path] = weakref.ref(spark)
+    schema = df.drop(column).schema
+    out = {}
+    for v in values:
+        part = f"{path}/{column}={v}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        out[v] = spark.read.schema(schema).parquet(part) if there else spark.createDataFrame([], schema)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that persist() or persist_by() wrote and that no later step reads."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
+    for name in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        if "/veristrata/" in name:
+            p.getFileSystem(conf).delete(p, False)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that persist() wrote in this process."""
     jvm = spark.sparkContext._jvm
@@ -45,6 +72,16 @@ def release(spark: SparkSession) -> None:
         del _KEPT[path]
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ARROW_ROWS rows: texts are long, and batches exist several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now."""
     import gc
