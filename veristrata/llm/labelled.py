@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 
 def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
@@ -45,6 +47,7 @@ def hash_text(t: str) -> int:
 
 def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows: Callable[[object, pa.Array], list[pa.Array]]) -> DataFrame:
     """doc_id, held_out and the columns that ``rows(model, texts)`` gives, for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +63,7 @@ def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows:
 
 def keep_rows(docs: DataFrame, model, keep: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` whose text ``keep(model, texts)`` accepts, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import persist
+from .storage import persist, small_batches
 
 MAX_LEN, END_ID, SALTS = 2048, 1, 64
 #: Fixed value: how byte-level BPE of this vocabulary family splits text before merging.
@@ -115,6 +115,7 @@ def _cut(ids: bytes, end: bytes, max_len: int) -> list[tuple[int, int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    small_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

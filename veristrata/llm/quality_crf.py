@@ -167,7 +167,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
-        for lo, hi, buf, offs in text_blocks(texts):
+        for lo, hi, buf, offs in text_blocks(texts, 1 << 20):
             share, some = self.share(Lines(buf, offs))
             margin = self.slope * _logit(share) + self.offset
             out[lo:hi] = np.where(some, 1 / (1 + np.exp(-np.clip(margin, -35, 35))), 0.0)
