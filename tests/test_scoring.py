@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.operators import calibration, families, scoring, statistics
+from veristrata.plans import queries, views
 
 S, R, N = "SUPPORT", "REFUTE", "NEI"
 ROWS = [
@@ -64,6 +65,22 @@ def test_mcnemar(spark):
     assert got == pytest.approx([0.5, 1.0, statistics.mcnemar_p(10, 3)])
 
 
+def test_mcnemar_long_and_whole(spark, tmp_path):
+    df = spark.createDataFrame([(0, 5), (7, 7), (200_000, 201_000), (100_000, 99_000)], "b bigint, c bigint")
+    got = [r["p"] for r in statistics.mcnemar(df).collect()]
+    assert got == pytest.approx([statistics.mcnemar_p(b, c) for b, c in ((0, 5), (7, 7), (200_000, 201_000), (100_000, 99_000))], rel=1e-6)
+    orders = spark.createDataFrame([(i, i % 7, "FOP"[i % 3]) for i in range(1, 400)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    want: dict = {}
+    for r in views.preds(spark, str(tmp_path)).collect():
+        if r["ok"]:
+            n = want.setdefault(r["d0"], [0, 0])
+            n[0] += r["b2"] == r["gold"] != r["v"]
+            n[1] += r["v"] == r["gold"] != r["b2"]
+    rows = queries.QUERIES["mcnemar_exact"](spark, str(tmp_path)).collect()
+    assert {r["stratum"]: (r["b"], r["c"], r["p"]) for r in rows} == {k: (b, c, pytest.approx(statistics.mcnemar_p(b, c), abs=1e-6)) for k, (b, c) in want.items()}
+
+
 def test_holm_and_p(spark):
     t = spark.createDataFrame([("fe_gold", 0.01), ("fe_pred", 0.04), ("macro_f1", 0.20)], "name string, p double")
     got = {r["name"]: (round(r["p_holm"], 6), r["reject"]) for r in statistics.holm(t).collect()}

@@ -46,14 +46,17 @@ def mcnemar_p(b: int, c: int) -> float:
 
 
 def mcnemar(counts: DataFrame) -> DataFrame:
-    """p as a column: a sum of binomial terms over a sequence, in log space."""
+    """p as a column: one pass over the binomial terms, each log term from the one before."""
     n, m = F.col("b") + F.col("c"), F.least("b", "c")
-    step = F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), lambda i: F.log((n - i + 1) / i))
-    terms = F.transform(
-        F.sequence(F.lit(0), m.cast("int")),
-        lambda i: F.exp(F.aggregate(F.slice(step, F.lit(1), i), F.lit(0.0), lambda s, x: s + x) - n * F.log(F.lit(2.0))),
-    )
-    return counts.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
+    none = -n * F.log(F.lit(2.0))  # log of the term of 0
+
+    def add(s: Column, i: Column) -> Column:
+        log = s["log"] + F.log((n - i + 1) / i)
+        return F.when(i > m, s).otherwise(F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum")))
+
+    first = F.struct(none.alias("log"), F.exp(none).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(m, F.lit(1)).cast("bigint")), first, add, lambda s: s["sum"])
+    return counts.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total)))
 
 
 def least_discordant(alpha: float) -> int:
