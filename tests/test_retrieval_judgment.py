@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veristrata.functions import labels as L
 from veristrata.functions import text as T
 from veristrata.operators import decompose, judgment, methods, retrieval
+from veristrata.plans import queries
 from veristrata.sources import readers, sinks
 from veristrata.streaming import ingest
 
@@ -131,6 +132,24 @@ def test_spans_and_hashes(spark):
     assert r.h == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_spans_of_long_documents(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    texts = {i: "\n".join("ü" * rng.randrange(9) for _ in range(n)) for i, n in enumerate((1, 2, 3, 50, 51, 64, 65, 3000))} | {8: "", 9: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, text in texts.items():
+        at = 0
+        for k, s in enumerate(text.split("\n") if text is not None else []):
+            want.add((i, k, at, at + len(s)))
+            at += len(s) + 1
+    got = [tuple(r) for r in queries.QUERIES["span_offsets"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    odd = spark.createDataFrame([(0, ["a", None, "b"]), (1, []), (2, None)], "i int, a array<string>").select("i", T.sentence_spans(F.col("a")).alias("s"))
+    assert {r["i"]: r["s"] and [tuple(x) for x in r["s"]] for r in odd.collect()} == {0: [(0, 1), (None, None), (None, None)], 1: [], 2: None}
+
+
 def test_decompose(spark):
     c = decompose.claims_of("Drug A reduced pain by 20% in adult patients, and it was associated with lower cost. See e.g. Smith.")
     assert [x["sentence"] for x in c] == [0, 0, 1] and c[0]["units"] == "20%" and c[1]["modality"] == "association"

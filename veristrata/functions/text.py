@@ -93,9 +93,15 @@ def abstract_text(sentences: Column) -> Column:
 
 
 def sentence_spans(sentences: Column) -> Column:
-    """array<struct<start,end>> of each sentence in the joined abstract."""
-    ends = F.transform(sentences, lambda s, i: F.aggregate(F.slice(sentences, F.lit(1), i + 1), F.lit(-1), lambda a, x: a + F.length(x) + 1))
-    return F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(sentences, i))).alias("start"), e.alias("end")))
+    """array<struct<start,end>> of each sentence in the joined abstract.
+
+    Running sums by doubling: step k adds the sum that ends 2^k places before, so n
+    sentences take log n passes over one array.
+    """
+    lengths = F.transform(sentences, lambda x: F.length(x) + 1)
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < F.size(sentences))
+    sums = F.aggregate(steps, lengths, lambda a, k: F.transform(a, lambda x, i: F.when(i < k, x).otherwise(x + F.get(a, i - k))))
+    return F.transform(sums, lambda e, i: F.struct((e - 1 - F.length(F.get(sentences, i))).alias("start"), (e - 1).alias("end")))
 
 
 def ids_sha256(ids: Column) -> Column:

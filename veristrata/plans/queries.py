@@ -648,7 +648,7 @@ select doc_id, cast(i - 1 as integer) as sentence, cast(coalesce(sum(length(s) +
 cast(sum(length(s) + 1) over (partition by doc_id order by i rows unbounded preceding) - 1 as integer) as "end" from u"""
 )
 def span_offsets(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("a")).filter(F.size("a") <= 50)
+    d = V.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("a"))
     d = d.withColumn("s", T.sentence_spans(F.col("a")))
     return d.select("doc_id", F.posexplode("s").alias("sentence", "p")).select("doc_id", "sentence", "p.start", "p.end")
 
