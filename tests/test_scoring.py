@@ -102,6 +102,30 @@ def test_family_chain(spark):
     assert {r["root"] for r in roots.collect()} == {"c000"}
 
 
+def test_components_of_the_whole_table(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    giant = [(rng.randrange(1, 300), rng.randrange(1, 200)) for _ in range(900)]  # one component holds nearly all
+    rows = [(o, p, q % 50 + 1) for q, (o, p) in enumerate([*giant, *giant[:20], (900, 900), (901, 900), (902, 901)])]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for o, p, _ in rows:
+        top[find(("o", o))] = find(("p", p))
+    least: dict = {}
+    for o in {r[0] for r in rows}:
+        least.setdefault(find(("o", o)), []).append(f"scifact:{o}")
+    want = {c: min(cs) for cs in least.values() for c in cs}
+    got = queries.QUERIES["connected_components"](spark, str(tmp_path)).collect()
+    assert {r["claim"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def test_selective(spark):
     df = spark.createDataFrame([(True, 0.9, 0), (True, 0.6, 1), (False, 0.8, 2)], "correct boolean, conf double, ord int")
     first = calibration.risk_coverage(df).orderBy("n").first()
