@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veristrata.functions import labels as L
 from veristrata.functions import text as T
-from veristrata.operators import decompose, judgment, methods, retrieval
+from veristrata.operators import checks, decompose, judgment, methods, retrieval
 from veristrata.plans import queries
 from veristrata.sources import readers, sinks
 from veristrata.streaming import ingest
@@ -173,6 +173,14 @@ def test_sources(spark, tmp_path):
     assert readers.optional_predictions(spark, None)[0] == "pending"
 
 
+def test_duplicate_keys(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5)], "l_orderkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["duplicate_keys"](spark, str(tmp_path)).collect()
+    assert sorted((r["key"], r["n"]) for r in got) == [(2, 2), (3, 3), (4, 4), (5, 5)]
+    bad = checks.duplicates(spark.read.parquet(str(tmp_path / "lineitem.parquet")), "l_orderkey").collect()
+    assert sorted(tuple(r) for r in bad) == [("duplicate l_orderkey", k) for k in "2345"]
+
+
 def test_split_and_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "t", ["A b.", "C d."], False), (2, "u", ["E."], False)], "doc_id bigint, title string, abstract array<string>, structured boolean")
     ev = {"1": [{"label": "SUPPORT", "sentences": [1]}]}

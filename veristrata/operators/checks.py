@@ -11,8 +11,13 @@ def failing(df: DataFrame, key: str, check: str, bad: Column) -> DataFrame:
     return df.filter(F.coalesce(bad, F.lit(False))).select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"))
 
 
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of every key in more than one row."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
-    return failing(df.groupBy(key).agg(F.count("*").alias("n")), key, f"duplicate {key}", F.col("n") > 1)
+    return failing(repeated(df, key), key, f"duplicate {key}", F.lit(True))
 
 
 def blank(df: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import calibration, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, statistics
+from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, statistics
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -752,8 +752,7 @@ def report_roll_up(spark, sf):
 
 @query("select l_orderkey as key, count(*) as n from lineitem group by 1 having count(*) > 4")
 def duplicate_keys(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n")).filter("n > 4")
+    return checks.repeated(V.table(spark, sf, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("key"), "n")
 
 
 @query(
