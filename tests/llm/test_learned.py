@@ -143,6 +143,34 @@ def test_lm_base(docs, rows, nothing):
     assert lm_scoring.op5(nothing).count() == 0
 
 
+def test_all_training_text_trains(monkeypatch):
+    import types
+
+    import pyarrow as pa
+    import pyspark
+
+    end = lm_scoring.VOCAB - 1
+    n = np.array([200_000, *[10] * 5000, 0, 7], np.int64)
+    held_out = np.arange(len(n)) % 5 == 1
+    tok = np.random.default_rng(4).integers(0, lm_scoring.VOCAB, n.sum()).astype(np.uint16)
+    batch = pa.RecordBatch.from_pydict({"tokens": [tok.tobytes()], "n": [n.tobytes()], "held": [held_out.tobytes()]})
+    streams = []
+    with monkeypatch.context() as m:
+        m.setattr(lm_scoring, "train", lambda w, stream, end: streams.append(stream) or w)
+        m.setattr(pyspark.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+        for number in range(2):
+            box = types.SimpleNamespace(value={"w": np.zeros(1)})
+            list(lm_scoring._train_round(box, types.SimpleNamespace(value=types.SimpleNamespace(end=end)), number)([batch]))
+    want = np.sort(tok[~np.repeat(held_out, n)])
+    assert all(s[0] == end and np.array_equal(np.sort(s[1:]), want) for s in streams) and len(streams) == 2
+    for size in (1, 2, 20, 33, 34, 64, 700, 1999):
+        seen = []
+        with monkeypatch.context() as m:
+            m.setattr(lm_scoring, "_gradient", lambda w, x, y, h, end: (seen.extend(zip(x.ravel().tolist(), y.ravel().tolist(), strict=True)), ({}, h))[1])
+            lm_scoring.train({}, np.arange(size), end)
+        assert sorted(seen) == [(i, i + 1) for i in range(size - 1)]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Clean, junk and toxic documents in three languages."""

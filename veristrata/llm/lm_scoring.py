@@ -12,8 +12,8 @@ words have ids of their own; every other word belongs to a rare class by its sha
 (end mark, non-ASCII lead bytes, length), the network predicts the class, and within
 the class the word has its smoothed corpus frequency.  So the score is the log10
 probability of the whole text over an open vocabulary.  Every segment trains on its own
-documents from common weights and the weights are averaged, for a few rounds: training
-reads more text as the corpus grows, and the network starts at the corpus unigrams.
+documents from common weights and the weights are averaged, for a few rounds: every
+round reads all training text, and the network starts at the corpus unigrams.
 
 Scoring: documents of like length step together; the state is carried from window to
 window to the end of the document, whatever its length.
@@ -41,7 +41,7 @@ SHORTLIST, RARE, HIDDEN = 991, 32, 32
 CLASS_SIZE = 32
 VOCAB = SHORTLIST + 1 + RARE  # shortlist, end, rare classes: 32 classes of 32 words
 SEGMENT_BYTES = 8 << 20
-ROUNDS, ROUND_TOKENS, STREAMS, WINDOW = 4, 12_000, 32, 20
+ROUNDS, STREAMS, WINDOW = 4, 32, 20
 END_HASH = U64(0x5BD1E9955BD1E995)
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?)\"'"]] = True
@@ -326,17 +326,20 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.nda
 
 
 def train(w: dict[str, np.ndarray], stream: np.ndarray, end: int, rate: float = 0.02) -> dict[str, np.ndarray]:
-    """Truncated back-propagation over one stream of ids cut into parallel streams (Adam)."""
+    """Truncated back-propagation over one stream of ids cut into parallel streams (Adam).
+
+    What the parallel streams leave over at the end goes on from the state of the last one.
+    """
     per = (len(stream) - 1) // STREAMS
-    if per < 2:
-        return w
-    x = stream[: per * STREAMS].reshape(STREAMS, per).T
-    y = stream[1 : per * STREAMS + 1].reshape(STREAMS, per).T
+    cut = per * STREAMS
+    x, y = stream[:cut].reshape(STREAMS, per).T, stream[1 : cut + 1].reshape(STREAMS, per).T
+    spans = [(x[at : at + WINDOW], y[at : at + WINDOW]) for at in range(0, per, WINDOW)]
+    spans += [(stream[at : at + WINDOW][: len(stream) - 1 - at, None], stream[at + 1 : at + 1 + WINDOW, None]) for at in range(cut, len(stream) - 1, WINDOW)]
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     h = np.zeros((STREAMS, HIDDEN), np.float32)
-    for k, at in enumerate(range(0, per, WINDOW), 1):
-        g, h = _gradient(w, x[at : at + WINDOW], y[at : at + WINDOW], h, end)
+    for k, (xs, ys) in enumerate(spans, 1):
+        g, h = _gradient(w, xs, ys, h[-xs.shape[1] :], end)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         for name, a in g.items():
@@ -389,15 +392,10 @@ def _train_round(shared, lexicon, number: int):
                 tok, n, held = np.frombuffer(tokens, np.uint16), np.frombuffer(n, np.int64), np.frombuffer(held, bool)
                 start = np.cumsum(n) - n
                 mine = np.random.default_rng(number).permutation(np.flatnonzero(~held))
-                upto = int(np.searchsorted(np.cumsum(n[mine]), ROUND_TOKENS)) + 1
-                parts = [tok[start[i] : start[i] + n[i]] for i in mine[:upto]]
+                parts = [tok[start[i] : start[i] + n[i]] for i in mine]
                 if not parts:
                     continue
-                stream = np.concatenate([[end], *parts]).astype(np.int64)
-                if len(stream) > 4 * ROUND_TOKENS:  # one very long document: a window of it trains this round
-                    at = int(np.random.default_rng(number).integers(len(stream) - 4 * ROUND_TOKENS))
-                    stream = stream[at : at + 4 * ROUND_TOKENS]
-                w = train(shared.value, stream, end)
+                w = train(shared.value, np.concatenate([[end], *parts]).astype(np.int64), end)
                 sums = {k: v.astype(np.float64) for k, v in w.items()} if sums is None else {k: sums[k] + v for k, v in w.items()}
                 count += 1
         if sums is not None:
