@@ -158,6 +158,26 @@ def test_decompose(spark):
     assert sum(r["checked"] for r in rows) == 8 and len(rows) == 10
 
 
+def test_decompose_preserves(spark):
+    text = "In a randomized trial the drug may reduce pain by 20% in adult patients compared with placebo after 6 weeks, and it increased blood pressure."
+    a, b = decompose.claims_of(text)
+    for c in (a, b):
+        for kept in ("in a randomized trial", "in adult patients", "compared with placebo", "after 6 weeks"):
+            assert kept in c["normalized_claim"].lower()
+        assert c["hedged"] and c["error"] is None and c["normalized_claim"] not in c["neutral_question"]
+    assert b["time"] == "6 weeks" and "increased" not in b["neutral_question"] and "blood" in b["neutral_question"]
+    mice, rats = decompose.claims_of("Drug A reduced pain in old mice, and it raised weight in young rats.")
+    assert (mice["population"], rats["population"], rats["error"]) == ("old mice", "young rats", None)
+    lost = decompose.claims_of("Drug A reduced pain in old mice, and it raised weight in young rats, and it was safe overall.")
+    assert [c["error"] for c in lost] == [None, None, "population is one of several"]
+    row = {"normalized_claim": "It causes 7 mg", "exact_source_span": "x", "neutral_question": "What of: It causes 7 mg?", "modality": "causal", "hedged": False}
+    got = decompose.violations("It may be linked with 20% in mice", "another text", {"population": ["in mice"]}, [row])[0]
+    for part in ("quantity '20%' was dropped", "quantity '7 mg' was added", "hedge 'may' was dropped", "asserted answer", "not the source", "causal claim", "population 'in mice' was dropped"):
+        assert part in got
+    out = decompose.decompose(spark.createDataFrame([("r", text)], "report_id string, conclusion string")).collect()
+    assert [r["error"] for r in out] == [None, None]
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "p.jsonl"
     p.write_text('{"claim_id":"a","label":"NEI"}\n\n{"claim_id":"b","label":"NEI"}\n')

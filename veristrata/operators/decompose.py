@@ -1,8 +1,9 @@
 """Conclusions to atomic claims (1 -> N), as a partition-wise table function.
 
 Sentences split at conjunctions outside parentheses; each clause keeps the sentence's
-quantities, population, comparator and hedge.  At most ``budget`` claims per report
-are checked; the overflow comes back as unchecked rows.
+hedge flag and its population, comparator, time and setting where the sentence has one
+of the kind.  What a split still loses or adds is named in ``error``.  At most ``budget``
+claims per report are checked; the overflow comes back as unchecked rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,18 @@ POPULATION = re.compile(r"\b(?:in|among)\s+((?:[\w-]+\s){0,4}?(?:patients|adults
 COMPARATOR = re.compile(r"\b(?:compared (?:with|to)|than|versus|relative to)\s+([\w\s-]+?)(?=[,.;]|$)", re.I)
 TIME = re.compile(r"\b(?:after|within|over|during|for)\s+(\d+\s\w+)", re.I)
 
+SETTING = re.compile(r"\b(?:in\s+)?((?:a|an)\s+randomized(?:\s+controlled)?\s+trial)\b", re.I)
+SHARED = {"population": POPULATION, "comparator": COMPARATOR, "time": TIME, "setting": SETTING}
+CAUSAL = re.compile(rf"\b(?:{'|'.join(CAUSAL_VERBS)}|causing|causation|causal)\b", re.I)
+HEDGE = re.compile(rf"\b(?:{'|'.join(HEDGES)})\b", re.I)
+# words that carry an answer (direction, negation, hedge, assertion) or no topic; a neutral question has none of them
+ANSWERS = re.compile(
+    r"(?:increas|decreas|improv|reduc|lower|rais|higher|worsen|enhanc|caus|prevent|associat|correlat|link)\w*|leads?|led|results?|resulted|"
+    rf"not|no|never|without|failed|did|does|do|was|were|is|are|had|has|have|be|{'|'.join(HEDGES)}|significantly|slightly|"
+    r"a|an|the|it|its|this|that|and|or|also|of|to|in|among|for|with|by|at|on|from|than|versus|compared|relative",
+    re.I,
+)
+
 
 def split_sentences(text: str) -> list[str]:
     out, start = [], 0
@@ -68,20 +81,63 @@ def modality(text: str) -> str:
     return "magnitude" if QUANTITY.search(text) else "effect"
 
 
+def question(text: str) -> str:
+    """The topic words of a claim and its quantities, without what it asserts of them."""
+    words = [w.strip(".,;:!?()\"'") for w in text.split()]
+    topic = list(dict.fromkeys(w for w in words if w and not ANSWERS.fullmatch(w)))
+    if not topic or len(words) < 2:  # a claim of one word is all answer
+        return "What does the evidence show?"
+    return f"What does the evidence show about: {' / '.join(topic)}?"
+
+
+def _phrases(clauses: list[str]) -> dict[str, list[str]]:
+    """The distinct phrases of each shared field; none reaches over a split."""
+    return {k: list({m.group(0).strip().casefold(): m.group(0).strip() for c in clauses for m in p.finditer(c)}.values()) for k, p in SHARED.items()}
+
+
+def violations(sentence: str, conclusion: str, phrases: dict[str, list[str]], rows: list[dict]) -> list[str | None]:
+    """What each claim of a sentence, or all of them together, loses or adds; null for a kept claim."""
+    texts = [r["normalized_claim"].casefold() for r in rows]
+    whole = "\n".join(texts)
+    common = [f"quantity {q.strip()!r} was dropped" for q in QUANTITY.findall(sentence) if q.strip().casefold() not in whole]
+    common += [f"hedge {h!r} was dropped" for h in HEDGE.findall(sentence) if h.casefold() not in whole]
+    common += [f"{k} {p!r} was dropped" for k, ps in phrases.items() if len(ps) > 1 for p in ps if p.casefold() not in whole]
+    out = []
+    for r, text in zip(rows, texts, strict=True):
+        own = [f"quantity {q.strip()!r} was added" for q in QUANTITY.findall(r["normalized_claim"]) if q.strip().casefold() not in sentence.casefold()]
+        if re.search(rf"(?<!\w){re.escape(r['normalized_claim'])}(?!\w)", r["neutral_question"]):
+            own.append("neutral question contains the asserted answer")
+        if r["exact_source_span"] != sentence or sentence not in conclusion:
+            own.append("claim span is not the source sentence")
+        if not CAUSAL.search(sentence) and (r["modality"] == "causal" or CAUSAL.search(f"{text} {r['neutral_question']}")):
+            own.append("text was upgraded to a causal claim")
+        # with several phrases of a kind a claim without one of them has lost its own
+        for k, ps in phrases.items():
+            if ps and not any(p.casefold() in text for p in ps):
+                own.append(f"{k} {ps[0]!r} was dropped" if len(ps) == 1 else f"{k} is one of several")
+        if HEDGE.search(sentence) and not r["hedged"]:
+            own.append("hedge was dropped")
+        out.append("; ".join(dict.fromkeys(common + own)) or None)
+    return out
+
+
 def claims_of(conclusion: str) -> list[dict]:
     rows: list[dict] = []
     for s, sentence in enumerate(split_sentences(conclusion)):
         first = len(rows)
         subject = None
-        for clause in split_clauses(sentence.rstrip(".!?;")):
+        clauses = split_clauses(sentence.rstrip(".!?;"))
+        phrases = _phrases(clauses)
+        for clause in clauses:
             words = clause.split()
             text = clause
             if subject and words and re.match(r"(also|did|does|was|were|is|are|had|has|\w+ed|\w+s)$", words[0], re.I):
                 text = f"{subject} {clause}"
             elif words:
                 subject = subject or words[0]
-            shared = [f for f in (POPULATION.search(sentence), COMPARATOR.search(sentence)) if f and f.group(0) not in text]
-            text = " ".join([text, *[f.group(0).strip() for f in shared]])
+            for ps in phrases.values():  # of several, none is known to be this clause's
+                if len(ps) == 1 and ps[0].casefold() not in text.casefold():
+                    text = f"{text} {ps[0]}"
             rows.append(
                 {
                     "sentence": s,
@@ -92,17 +148,19 @@ def claims_of(conclusion: str) -> list[dict]:
                     "time": _only(TIME.findall(text)),
                     "units": ",".join(q.strip() for q in QUANTITY.findall(text)) or None,
                     "modality": modality(text),
-                    "hedged": bool(set(re.findall(r"[a-z]+", text.lower())) & set(HEDGES)),
-                    "neutral_question": f"What does the evidence show about: {text}?",
+                    "hedged": bool(HEDGE.search(sentence)),
+                    "neutral_question": question(text),
                     "anchor": first,
                 }
             )
+        for row, error in zip(rows[first:], violations(sentence, conclusion, phrases, rows[first:]), strict=True):
+            row["error"] = error
     return rows
 
 
 SCHEMA = (
     "report_id string, claim_no int, checked boolean, sentence int, exact_source_span string, normalized_claim string, population string, "
-    "comparator string, time string, units string, modality string, hedged boolean, neutral_question string, depends_on int"
+    "comparator string, time string, units string, modality string, hedged boolean, neutral_question string, depends_on int, error string"
 )
 
 
