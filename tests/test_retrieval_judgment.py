@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veristrata.functions import labels as L
 from veristrata.functions import text as T
 from veristrata.operators import checks, decompose, judgment, methods, retrieval
-from veristrata.plans import queries
+from veristrata.plans import queries, views
 from veristrata.sources import readers, sinks
 from veristrata.streaming import ingest
 
@@ -41,6 +41,16 @@ def test_recall_and_jaccard(spark):
     assert j.j == pytest.approx(1 / 3)
 
 
+def test_gold_docs_are_all_that_contain(spark, tmp_path):
+    passages = ["one two three four five six", " lead one two three four", "one two", "x", "tail a b c d\n", "five  six", "p q r s", "p q r s t", None]
+    texts = ['say "one two three four five six"', "(one two three four five six)", "none two three four five sixth", "a lead one two three four b", "lead one two three four", "tail a b c d\nmore"]
+    texts += ["five  six", "five six", "zp q r sz", "zp q r s tz", "", None, "p  q r s t", "one two three four five six"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((f"scifact:{i}", k) for i, p in enumerate(passages) for k, t in enumerate(texts) if p is not None and t is not None and p in t)
+    assert sorted(tuple(r) for r in views.gold_docs(spark, str(tmp_path)).collect()) == want
+
+
 CLAIM = "Compound MX-42 increased memory retention"
 CASES = [
     (CLAIM, ["Compound MX-42 increased memory retention in mice"], "supported", "supporting_direction"),
