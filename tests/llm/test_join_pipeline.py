@@ -79,6 +79,20 @@ def test_one_of_each(docs, rows):
     assert {i for i in ids if i is not None} == want and all(n == 1 for i, n in ids.items() if i is not None)
 
 
+def test_one_row_of_each_class(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, a), (None, near(a))]  # no ids at all
+    rows += [(7, b), (None, b), (None, near(b)), (9, near(b))]
+    rows += [(5, c), (5, near(c)), (5, c), (5, d), (3, near(d)), (5, "lone row of five")]  # one id in several classes
+    rows += [(1, ""), (1, ""), (1, "of one too"), (None, ""), (None, None)]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    text = lambda i: sorted(str(t) for j, t in kept if j == i)
+    assert len(text(None)) == 3 and "" in text(None) and "None" in text(None) and len({a, near(a)} & set(text(None))) == 1
+    assert text(7) == [b] and text(9) == [] and text(3) == [near(d)] and text(1) == ["", "of one too"]
+    assert len(text(5)) == 2 and "lone row of five" in text(5) and len({c, near(c)} & set(text(5))) == 1
+
+
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("sf"))

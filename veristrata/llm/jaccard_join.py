@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import collect_garbage, parts_for, persist, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
@@ -447,19 +448,43 @@ def components(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the signature of their last column, a text, in its place."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        for lo, hi, buf, offs in text_blocks(batch.column(last)):
+            sig = _signatures(*shingle_sets(buf, offs), hi - lo)[1]
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(sig.view(np.int64))], names=[*batch.schema.names[:last], "__join_sig"])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one whose id is the class's smallest.
+    """One row of each class stays: one whose id is the class's smallest, ids before none.
 
-    An id goes only if none of its rows stands for a class; of equal rows of one id one
-    stays; rows without an id stay.
+    A row of an id of its own is known by the id; rows without an id or with a repeated one
+    are known by id and signature.  Rows without shingles are in no class: they stay, of
+    equal ones of one id one.
     """
-    c = persist(components(docs).select("doc_id", "component_id"), "join-classes")
-    ids = c.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
-    ids = persist(ids.filter("stays = 0 or rows > 1").select(F.col("doc_id").alias("__join_id"), F.col("stays").alias("__join_stays")), "join-dropped")
-    marked = docs.join(ids, docs["doc_id"] == ids["__join_id"], "left")
+    c = persist(components(docs).select("doc_id", "n_shingles", "sig", "label"), "join-classes")
+    least = c.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("b"))
+    chosen = persist(least.select(F.col("b.doc_id").alias("__join_of"), F.col("b.sig").alias("__join_set")), "join-chosen")
+    stands = chosen.filter("__join_of is not null").select(F.col("__join_of").alias("__join_id"), F.lit(True).alias("in")).distinct()
+    ids = c.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__join_id")).agg(
+        (F.count("*") > 1).alias("__join_many"), F.max(F.col("n_shingles") == 0).alias("empty")
+    )
+    ids = ids.join(stands, "__join_id", "left").filter("__join_many or not (empty or in is not null)")
+    ids = persist(ids.select("__join_id", "__join_many"), "join-dropped")
+    marked = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("__join_id"), "left")
     single = marked.filter("__join_id is null").select(*docs.columns)
-    repeated = marked.filter("__join_stays = 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    several = marked.filter("__join_many").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    signed = several.select("*", F.col("text").cast("string").alias("__join_text"))
+    signed = signed.mapInArrow(_sign, T.StructType([*docs.schema.fields, T.StructField("__join_sig", T.LongType())]))
+    empty = signed.filter("__join_sig = 0").select(*docs.columns)
+    own = signed.filter("__join_sig <> 0").join(chosen, F.col("doc_id").eqNullSafe(F.col("__join_of")) & (F.col("__join_sig") == F.col("__join_set")))
+    own = own.groupBy("__join_of", "__join_set").agg(F.min_by(F.struct(*docs.columns), "text").alias("r")).select("r.*")
+    return (
+        single.unionByName(own).unionByName(empty.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])).unionByName(empty.filter("doc_id is null"))
+    )
 
 
 def op8(docs: DataFrame) -> DataFrame:
