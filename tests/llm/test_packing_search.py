@@ -29,18 +29,77 @@ def test_encoder(tokenizer):
         assert enc.encode(t) == want, t
 
 
-def test_shortest_pack_first():
-    rng = np.random.default_rng(0)
-    hist = Counter(int(x) for x in rng.integers(1, 65, 5000))
-    packs = packing.shortest_pack_first(dict(hist), 64)
-    assert all(0 < sum(p) <= 64 and n > 0 for p, n in packs)
+def one_by_one(hist, max_len):
+    """Rooms left when every piece goes, longest first, into the pack with the most room."""
+    rooms = []
+    for length in sorted(Counter(hist).elements(), reverse=True):
+        best = max(rooms, default=-1)
+        if best < length:
+            rooms.append(max_len)
+            best = max_len
+        rooms.remove(best)
+        rooms.append(best - length)
+    return Counter(rooms)
+
+
+def rooms_of(packs, max_len):
+    out = Counter()
+    for p, n in packs:
+        assert p and n > 0
+        out[max_len - sum(length * times for length, times in p)] += n
+    assert min(out, default=0) >= 0
+    return out
+
+
+HISTOGRAMS = [
+    dict(Counter(int(x) for x in np.random.default_rng(0).integers(1, 65, 1500))),
+    dict(Counter(min(64, int(x)) for x in np.random.default_rng(1).pareto(1, 1500) * 3 + 1)),
+    {10: 1000}, {33: 70}, {32: 71}, {1: 500}, {64: 9}, {40: 30, 3: 400}, {64: 500, 20: 7, 1: 1}, {60: 10, 4: 10}, {},
+]
+
+
+@pytest.mark.parametrize("hist", HISTOGRAMS)
+def test_shortest_pack_first(hist):
+    packs = packing.shortest_pack_first(hist, 64)
     back = Counter()
     for p, n in packs:
-        for length in p:
-            back[length] += n
-    assert back == hist and len(packs) <= 128
-    assert packing.shortest_pack_first({}, 64) == []
-    assert sorted(packing.shortest_pack_first({64: 2, 40: 1, 24: 1}, 64)) == [((40, 24), 1), ((64,), 2)]
+        for length, times in p:
+            back[length] += n * times
+    assert back == Counter(hist) and len(packs) <= 3 * 64
+    assert rooms_of(packs, 64) == one_by_one(hist, 64)
+    # every place is taken once
+    seen = Counter()
+    for length, lo, times, sequence, offset in packing.slots(packs).tolist():
+        n = next(n for at, n in firsts(packs) if at == sequence)
+        for k in range(n * times):
+            seen[sequence + k // times, offset + k % times * length] += 1
+    assert sum(seen.values()) == sum(hist.values()) and set(seen.values()) <= {1}
+
+
+def firsts(packs):
+    at = 0
+    for _, n in packs:
+        yield at, n
+        at += n
+
+
+@pytest.mark.parametrize(("hist", "least"), [({100: 10000}, 0.97), ({10: 100000}, 0.99), ({2048: 500, 7: 90000}, 0.99), ({1500: 1000, 500: 1000, 40: 1200}, 0.97)])
+def test_little_padding(hist, least):
+    packs = packing.shortest_pack_first(hist)
+    used = sum(length * n for length, n in hist.items())
+    assert used >= least * 2048 * sum(n for _, n in packs)
+
+
+def test_equal_documents(spark):
+    """Many equal rows: full sequences, gapless offsets, each place once, ids null or not."""
+    df = spark.createDataFrame([(i % 7 or None, "one two three") for i in range(3000)], "doc_id long, text string")
+    got = packing.pack(df, salt_rows=100).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    length = got[0].length
+    assert len(got) == 3000 and len(by) == -(-3000 // (2048 // length))
+    assert all(sorted(v) == [(k * length, length) for k in range(len(v))] for v in by.values())
 
 
 def test_pack(docs, rows, nothing, tokenizer):

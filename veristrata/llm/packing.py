@@ -4,14 +4,17 @@ A document's tokens are its tokenizer ids and one end id.  Every full window of
 ``max_len`` tokens is a piece of its own; the rest of the document is one shorter
 piece, never cut again.  So pieces, and the checksums of their ids, are known from the
 document alone and ids are neither stored nor shuffled.  The histogram of piece
-lengths (at most ``max_len`` rows) is all that reaches the driver; shortest-pack-first
-packing turns it into counts of packing patterns, each slot of a pattern owns a run
-of ranks of its length, and pieces find their slot by their rank within their length.
-Ranks come from counts per (length, salt) and a window inside each of those, so one
-frequent length is spread over tasks.
-
-Defined results: a null or empty text is the end id alone; equal rows make pieces of
-their own; an empty table gives no piece; other columns are ignored.
+lengths (at most ``max_len`` rows) is all that reaches the driver.  Lengths go in
+longest first, each piece into the pack with the most room, as often as it fits; that
+turns the histogram into counts of packing patterns.  Each run of a pattern owns ranks
+of its length, and pieces find their place by their rank within their length.  Ranks
+come from counts per (length, salt) and a window inside each of those; a length has as
+many salts as its count asks for, so no frequent length or row meets in one task.
+
+Defined results: a null or empty text is the end id alone; a very long text gives as
+many full windows as it holds; equal rows make pieces of their own, and which of them
+takes which place is of no consequence (ties); an empty table gives no piece; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import persist, small_batches
+from .storage import lean, persist, small_batches
 
-MAX_LEN, END_ID, SALTS = 2048, 1, 64
+MAX_LEN, END_ID, SALT_ROWS = 2048, 1, 4096
 #: Fixed value: how byte-level BPE of this vocabulary family splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 QUICK_SPLIT = SPLIT.removesuffix(r"|\s+(?!\S)|\s+") + r"|\s+"
 PROBES = (" the", "It's", " naïve,", "12,345.67", " über-großen\nZeilen", " 東京タワー", "\u00a0x\u2003y", "a\tb\r\nc", " #*$%&|<>!!", "👩‍👩‍👧", "e\u0301", "\x00\x7f")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_SPREAD = PIECES + ", _spread long"
 
 
 def default_tokenizer() -> str:
@@ -46,7 +50,9 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
     The tokenizer file's vocabulary also runs as merge ranks, which is several times
-    faster; that form is used only if it agrees with the tokenizer on PROBES.  Its
+    faster; that form is used only if the file's merges come in the order of their ids,
+    make up the whole vocabulary beside the single bytes, and it agrees with the
+    tokenizer on PROBES.  Its
     split pattern has a variant without look-ahead that a plain automaton can run; the
     two differ only where white space meets white space, so a text whose ids show such
     a place (or bytes that may begin non-ASCII white space) is encoded again with the
@@ -72,8 +78,12 @@ class Encoder:
             import tiktoken
 
             full, quick = (tiktoken.Encoding("words", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (SPLIT, QUICK_SPLIT))
+            pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+            made = [ranks[bytes(letters[c] for c in a + b)] for a, b in pairs]
         except (ImportError, KeyError, ValueError):
             return
+        if made != sorted(set(made)) or len(made) + 256 != len(ranks):
+            return
         if any(np.asarray(full.encode_ordinary(p), "<u4").tobytes() != self._ids(p) for p in PROBES):
             return
         self.blank = np.zeros(max(ranks.values()) + 1, bool)
@@ -114,12 +124,15 @@ def _cut(ids: bytes, end: bytes, max_len: int) -> list[tuple[int, int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and ``_spread``, a number that tells equal rows apart."""
     small_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -129,78 +142,100 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int
                 total = np.array([r[-1][0] + r[-1][1] for r in rows], np.int64)
                 at = pa.array(np.repeat(np.arange(len(rows)), k))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), *(pa.array(flat[:, j]) for j in range(3)), pa.array(np.repeat(total, k))],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    [part.column(0).take(at), *(pa.array(flat[:, j]) for j in range(3)), pa.array(np.repeat(total, k)), pa.array(number + np.arange(len(flat)))],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_spread"],
                 )
+                number += len(flat)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SPREAD)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
+Pattern = tuple[tuple[int, int], ...]  # (length, times), in the order of their places
 
-def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[tuple[int, ...], int]]:
-    """Length -> count to (pattern of lengths, how many sequences have it).
 
-    Lengths go in longest first, always into the pack with the most room that fits.
-    A length adds at most two entries, so there are at most 2 * max_len patterns.
+def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[Pattern, int]]:
+    """Length -> count to (pattern, how many sequences have it).
+
+    Longest first; every piece goes into the pack with the most room, the one that has
+    just been opened or changed included, and opens a pack only if none has room.  All
+    pieces of a length and all packs of a pattern move at once: a length splits one
+    pattern and opens two at most, so there are at most 3 * max_len patterns.
     """
-    room: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(max_len + 1)]
+    room: list[list[tuple[Pattern, int]]] = [[] for _ in range(max_len + 1)]
     widest = 0
     for length in sorted(histogram, reverse=True):
-        left, put = histogram[length], []
-        space = widest
-        while left and space >= length:
-            if not room[space]:
-                space -= 1
+        left = histogram[length]
+        while left and widest >= length:
+            if not room[widest]:
+                widest -= 1
                 continue
-            pack, n = room[space].pop()
+            pack, n = room[widest].pop()
             used = min(n, left)
             if n > used:
-                room[space].append((pack, n - used))
-            put.append((space - length, (*pack, length), used))
+                room[widest].append((pack, n - used))
+            again = pack[-1][0] == length
+            grown = (*pack[:-1], (length, pack[-1][1] + 1)) if again else (*pack, (length, 1))
+            room[widest - length].append((grown, used))
             left -= used
-        if left:
-            put.append((max_len - length, (length,), left))
-        merged: dict[tuple[int, tuple[int, ...]], int] = {}
-        for s, pack, n in put:
-            merged[s, pack] = merged.get((s, pack), 0) + n
-        for (s, pack), n in merged.items():
-            room[s].append((pack, n))
-        widest = max((s for s in range(max_len + 1) if room[s]), default=0)
+        fit = max_len // length
+        for times, n in ((fit, left // fit), (left % fit, 1)):
+            if times and n:
+                space = max_len - times * length
+                room[space].append((((length, times),), n))
+                widest = max(widest, space)
     return [(pack, n) for s in room for pack, n in s]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) for each slot of a pattern."""
+def slots(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
+    """One row per run of a pattern: length, first rank, times, first sequence, offset; by length and rank."""
     out, taken, sequence = [], {}, 0
     for pack, n in patterns:
         offset = 0
-        for length in pack:
+        for length, times in pack:
             lo = taken.get(length, 0)
-            out.append((length, lo, lo + n, sequence, offset))
-            taken[length] = lo + n
-            offset += length
+            out.append((length, lo, times, sequence, offset))
+            taken[length] = lo + n * times
+            offset += length * times
         sequence += n
-    return out
+    rows = np.array(out, np.int64).reshape(-1, 5)
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def _place(plan):
+    """Ranked pieces -> pieces with sequence and offset; the last two columns are the rank and nothing else."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, first, times, sequence, offset = plan.value.T
+        key = length << 48 | first  # lengths below 2^15, ranks below 2^48
+        for batch in batches:
+            mine, rank = np.asarray(batch.column(2)), np.asarray(batch.column(5))
+            at = np.searchsorted(key, mine << 48 | rank, "right") - 1
+            k = rank - first[at]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sequence[at] + k // times[at]), pa.array(offset[at] + k % times[at] * mine)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
+
+    return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
     spark = docs.sparkSession
     p = persist(pieces(docs, tokenizer or default_tokenizer(), max_len, end_id), "pack-pieces")
-    p = p.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_len rows
+    salts = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "length long, _salts long")
+    salt = F.pmod(F.xxhash64("_spread"), F.col("_salts")).alias("_salt")
+    p = p.join(F.broadcast(salts), "length").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_spread", salt)
     counts = persist(p.groupBy("length", "_salt").count(), "pack-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most max_len rows
-    plan = slots(shortest_pack_first(histogram, max_len))
-    runs = spark.createDataFrame(plan, "length long, _lo long, _hi long, _seq long, _off long")
     before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("length", "_salt", before.alias("_before"))
-    inside = W.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    p = p.withColumn("_rank", F.row_number().over(inside) - 1).join(base, ["length", "_salt"])
-    p = p.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    p = p.join(F.broadcast(runs), (p["length"] == runs["length"]) & (p["_rank"] >= runs["_lo"]) & (p["_rank"] < runs["_hi"])).drop(runs["length"])
-    return p.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("_seq") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_off").alias("offset"),
-    )
+    inside = F.row_number().over(W.partitionBy("length", "_salt").orderBy("_spread")) - 1
+    p = p.withColumn("_inside", inside).join(base, ["length", "_salt"])
+    p = p.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_inside") + F.col("_before")).alias("_rank"))
+    plan = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, max_len)))
+    return p.mapInArrow(_place(plan), PIECES + ", sequence_id long, offset long")
 
 
 def op2(docs: DataFrame) -> DataFrame:
