@@ -125,33 +125,65 @@ def test_pack(docs, rows, nothing, tokenizer):
 
 
 def brute_top(vectors, k=5):
-    ok = [(i, [np.floor(256 * x) for x in e]) for i, e in vectors if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
-    out = set()
+    ok = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in vectors if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = Counter()
     for q, a in ok:
         if q % 50:
             continue
-        s = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))
-        out |= {(q, n + 1, i, -v) for n, (v, i) in enumerate(s[:k])}
+        s = [(min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q and len(a) == len(b)]
+        s = sorted((-v, i) for v, i in s)
+        out.update((q, n + 1, i, -v) for n, (v, i) in enumerate(s[:k]))
     return out
 
 
-@pytest.mark.parametrize("dim", [1, 6])
-def test_search(spark, dim):
+def vectors(dim):
     rng = np.random.default_rng(dim)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=dim)]) for i in range(330)]
     rows += [(400 + i, rows[3][1]) for i in range(60)]  # ties
-    rows += [(900, None), (901, [None] * dim), (902, [float("nan")] * dim), (903, [float("inf")] * dim), (904, [1e300] * dim if dim == 1 else [0.0] * dim), (950, [0.0] * dim), (None, [1.0] * dim), (951, [1.0, 2.0]), (1000, [3.0, 4.0])]
-    df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<double>, score int")
-    rows = [r for r in rows if r[0] != 904]
-    df = df.filter("vec_id is null or vec_id <> 904")
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.op3(df).collect()}
+    rows += [(900, None), (901, [None] * dim), (902, [float("nan")] * dim), (903, [float("inf")] * dim), (950, [0.0] * dim), (None, [1.0] * dim), (951, [1.0, 2.0]), (1000, [3.0, 4.0])]
+    rows += [(1050, [0.5] * dim), (1050, [-0.5] * dim), (1050, [0.5] * dim), (1051, [0.25] * dim), (1051, [0.25] * dim)]  # repeated queries and candidates
+    return rows
+
+
+def huge(dim):
+    rng = np.random.default_rng(dim)
+    at = [1e300, -1e300, 3e15, 1e10, -1e10, 2.0**60, 1e-300, 5.0]
+    return [(2000 + 10 * i, [float(x) for x in rng.choice(at, dim)]) for i in range(30)]
+
+
+def long_odd(dim):
+    """Scores that differ in bits a double does not hold."""
+    return [(3000 + 10 * i, [float(2**31 + i)] * dim) for i in range(12)]
+
+
+@pytest.mark.parametrize("more", [lambda dim: [], huge, long_odd])
+@pytest.mark.parametrize("dim", [1, 6])
+def test_search(spark, dim, more, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 5)
+    rows = vectors(dim) + more(dim)
+    df = spark.createDataFrame([(i, e, 1, 2, 3) for i, e in rows], "vec_id long, embedding array<double>, score int, block int, dim int")
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.op3(df).collect())
     assert got == brute_top(rows)
     assert topk_search.op3(df.limit(0)).count() == 0
 
 
 def test_threshold_stops_early():
-    """With one strong dimension the lists end long before the last row."""
+    """With one strong dimension the lists end long before the last row, and a carried floor ends them at once."""
     rng = np.random.default_rng(0)
     x = np.stack([np.arange(2000.0), rng.integers(-2, 3, 2000)], 1)
-    (rows, score), = topk_search.threshold_search(np.array([[1.0, 0.0]]), np.array([-1]), x, np.arange(2000), 3)
-    assert rows.tolist() == [1999, 1998, 1997] and score.tolist() == [1999, 1998, 1997]
+
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray) and at.ndim == 1:
+                Counted.read += len(at)
+            return super().__getitem__(at)
+
+    q, own, ids = np.array([[1.0, 0.0]]), np.array([-1]), np.arange(2000)
+    (rows, score), = topk_search.threshold_search(q, own, x.view(Counted), ids, 3)
+    assert rows.tolist() == [1999, 1998, 1997] and score == [1999, 1998, 1997] and Counted.read <= 62
+    Counted.read = 0
+    (rows, _), = topk_search.threshold_search(q, own, x.view(Counted), ids, 3, None, [[5000, 5000, 5000]])
+    assert Counted.read <= 31

@@ -91,12 +91,23 @@ def lean(run: Callable) -> Callable:
 
 
 def lean_group(run: Callable) -> Callable:
-    """The same for a function of whole groups, after each group."""
+    """The same for a function of one group's table, after each group that is not small."""
 
-    @functools.wraps(run)
-    def whole(*tables):
-        out = run(*tables)
-        if sum(t.nbytes for t in tables) > 1 << 20:
+    def whole(table):
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            give_back()
+        return out
+
+    return whole
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """The same for a function of two groups' tables."""
+
+    def whole(left, right):
+        out = run(left, right)
+        if left.nbytes + right.nbytes > 1 << 20:
             give_back()
         return out
 
