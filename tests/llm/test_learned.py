@@ -84,11 +84,16 @@ def test_gradient():
     def loss(w):
         h, total = h0, 0.0
         for t in range(4):
-            h = lm_scoring._step(w, x[t], h * (x[t] != lex.end)[:, None])[0]
+            h = lm_scoring._step(w, x[t], h * (x[t] != lex.end)[:, None])
             total -= lm_scoring.log_probs(w, h, y[t]).sum()
         return total / 12
 
-    g, _ = lm_scoring._gradient(w, x, y, h0, lex.end)
+    g = {k: np.full_like(v, 9.0) for k, v in w.items()}
+    after = lm_scoring._gradient(w, x, y, h0, lex.end, g)
+    h = h0
+    for t in range(4):
+        h = lm_scoring._step(w, x[t], h * (x[t] != lex.end)[:, None])
+    assert after == pytest.approx(h)
     for name in w:
         flat = np.flatnonzero(np.abs(g[name].ravel()) > 1e-4)
         for i in rng.choice(flat, min(4, len(flat)), replace=False):
@@ -120,7 +125,7 @@ def test_state_is_carried():
     for d in range(len(n)):
         h, x, total = np.zeros((1, lm_scoring.HIDDEN), np.float32), np.array([lex.end]), 0.0
         for y in tok[start[d] : start[d] + n[d]]:
-            h = lm_scoring._step(w, x, h)[0]
+            h = lm_scoring._step(w, x, h)
             x = np.array([y])
             total += lm_scoring.log_probs(w, h, x)[0]
         assert got[d] == pytest.approx(total / np.log(10), rel=1e-4)
@@ -146,31 +151,56 @@ def test_lm_base(docs, rows, nothing):
 def test_all_training_text_trains(monkeypatch):
     import types
 
-    import pyarrow as pa
     import pyspark
 
     end = lm_scoring.VOCAB - 1
     n = np.array([200_000, *[10] * 5000, 0, 7], np.int64)
     held_out = np.arange(len(n)) % 5 == 1
     tok = np.random.default_rng(4).integers(0, lm_scoring.VOCAB, n.sum()).astype(np.uint16)
-    batch = pa.RecordBatch.from_pydict({"tokens": [tok.tobytes()], "n": [n.tobytes()], "held": [held_out.tobytes()]})
+    batch = pa.RecordBatch.from_pydict({"seg": [7], "tokens": [tok.tobytes()], "n": [n.tobytes()], "held": [held_out.tobytes()]})
     streams = []
     with monkeypatch.context() as m:
-        m.setattr(lm_scoring, "train", lambda w, stream, end: streams.append(stream) or w)
+        m.setattr(lm_scoring, "train", lambda w, stream, end, rate: streams.append(stream) or w)
         m.setattr(pyspark.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
-        for number in range(2):
-            box = types.SimpleNamespace(value={"w": np.zeros(1)})
-            list(lm_scoring._train_round(box, types.SimpleNamespace(value=types.SimpleNamespace(end=end)), number)([batch]))
+        box = types.SimpleNamespace(value={"w": np.ones(1)})
+        made = [list(lm_scoring._train_round(box, types.SimpleNamespace(value=types.SimpleNamespace(end=end)), number, 3)([batch])) for number in range(3)]
+    # the rounds together learn every training document once, each of them whole and in one round
     want = np.sort(tok[~np.repeat(held_out, n)])
-    assert all(s[0] == end and np.array_equal(np.sort(s[1:]), want) for s in streams) and len(streams) == 2
-    for size in (1, 2, 20, 33, 34, 64, 700, 1999):
+    assert all(s[0] == end for s in streams) and len(streams) == 3 and np.array_equal(np.sort(np.concatenate([s[1:] for s in streams])), want)
+    assert any(tok[:200_000].tobytes() in s.astype(np.uint16).tobytes() for s in streams)
+    # weights count by tokens
+    assert [(r[0]["count"][0].as_py(), np.frombuffer(r[0]["weights"][0].as_py())[0]) for r in made] == [(len(s), len(s)) for s in streams]
+    for size in (1, 2, 20, 33, 34, 64, 700, 1999, 30_000):
         seen = []
+
+        def window(w, x, y, h, end, g):
+            seen.extend(zip(x.ravel().tolist(), y.ravel().tolist(), strict=True))
+            return h
+
         with monkeypatch.context() as m:
-            m.setattr(lm_scoring, "_gradient", lambda w, x, y, h, end: (seen.extend(zip(x.ravel().tolist(), y.ravel().tolist(), strict=True)), ({}, h))[1])
-            lm_scoring.train({}, np.arange(size), end)
+            m.setattr(lm_scoring, "_gradient", window)
+            lm_scoring.train({"w": np.zeros(1, np.float32)}, np.arange(size), end)
         assert sorted(seen) == [(i, i + 1) for i in range(size - 1)]
 
 
+def test_learning_lowers_the_loss():
+    """A stream with a rule: the trained network beats the unigrams it starts from by far."""
+    totals = np.zeros(2 * lm_scoring.RARE + 2, np.int64)
+    lex = lm_scoring.Lexicon(totals, np.zeros((3, 0), np.int64))
+    w = lm_scoring.initial(lex)
+    stream = np.tile([lex.end, *range(100, 140)], 1500)
+    before, after = (lm_scoring.score_documents(v, stream[1:42], np.array([41]), lex.end)[0] for v in (w, lm_scoring.train(w, stream, lex.end)))
+    assert after > before / 2
+
+
+def test_tree(spark):
+    """More rows than a task may take are added up in levels."""
+    df = spark.createDataFrame([(i, 2, np.array([float(i), 1.0]).tobytes()) for i in range(300)], lm_scoring._SUMS)
+    got = lm_scoring._tree(df, 300, lm_scoring._add_up, lm_scoring._SUMS)
+    assert 1 < len(got) <= lm_scoring.FAN and sum(r["count"] for r in got) == 600
+    assert sum(np.frombuffer(r["weights"]) for r in got).tolist() == [sum(range(300)), 300]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Clean, junk and toxic documents in three languages."""

@@ -12,21 +12,23 @@ words have ids of their own; every other word belongs to a rare class by its sha
 (end mark, non-ASCII lead bytes, length), the network predicts the class, and within
 the class the word has its smoothed corpus frequency.  So the score is the log10
 probability of the whole text over an open vocabulary.  Every segment trains on its own
-documents from common weights and the weights are averaged, for a few rounds: every
-round reads all training text, and the network starts at the corpus unigrams.
+documents from common weights and the weights are averaged by tokens, for a few
+rounds; each round learns its share of the documents, whole, and the rounds together
+learn every training document once.  The network starts at the corpus unigrams.
+Averages and corpus totals are added up in a tree.
 
 Scoring: documents of like length step together; the state is carried from window to
 window to the end of the document, whatever its length.
 
-Defined results: a null or empty text is the end token alone; equal texts score
-equally; a null doc_id counts as a training row; without training rows the base has
+Defined results: a null or empty text is the end token alone; a very long text is one
+document like any other, learned and scored to its end; equal texts score equally; a null doc_id counts as a training row; without training rows the base has
 N = V = 0, and the score falls back to the class model's initial weights; an empty table
 gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
-from .storage import collect_garbage, discard, parts_for, persist, persist_by, small_batches
+from .storage import collect_garbage, discard, lean, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 SHORTLIST, RARE, HIDDEN = 991, 32, 32
-CLASS_SIZE = 32
+CLASS_SIZE, FAN = 32, 16
 VOCAB = SHORTLIST + 1 + RARE  # shortlist, end, rare classes: 32 classes of 32 words
-SEGMENT_BYTES = 8 << 20
-ROUNDS, STREAMS, WINDOW = 4, 32, 20
+SEGMENT_BYTES, TOGETHER_BYTES = 8 << 20, 12 << 20
+ROUNDS, STREAMS, WINDOW, RATE = 4, 128, 24, 0.02
 END_HASH = U64(0x5BD1E9955BD1E995)
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?)\"'"]] = True
@@ -87,6 +89,7 @@ _CODED = "kind int, seg long, bucket int, a binary, b binary, c binary, d binary
 def _code(buckets: int):
     """Segments: documents as indices into the segment's words (kind 0); words by bucket (kind 1)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -251,102 +254,182 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    p = w["P"][x]
-    q = h @ w["U"]
-    zr = _sigmoid(p[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    qn = q[:, 2 * HIDDEN :]
-    c = np.tanh(p[:, 2 * HIDDEN :] + r * qn)
-    return c + z * (h - c), z, r, c, qn
+def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The state after reading ``x``."""
+    p, q = w["P"][x], h @ w["U"]
+    zr = p[:, : 2 * HIDDEN]
+    zr += q[:, : 2 * HIDDEN]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    c = zr[:, HIDDEN:] * q[:, 2 * HIDDEN :]
+    c += p[:, 2 * HIDDEN :]
+    np.tanh(c, out=c)
+    out = h - c
+    out *= zr[:, :HIDDEN]
+    out += c
+    return out
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
+def _log_prob(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one column; ``a`` is used up."""
+    a -= a.max(1, keepdims=True)
+    own = a[np.arange(len(a)), at]
+    np.exp(a, out=a)
+    return own - np.log(a.sum(1))
 
 
 def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of each next id: class, then word within the class."""
-    cls = y // CLASS_SIZE
-    out = _log_softmax(h @ w["Wc"].T + w["bc"])[np.arange(len(y)), cls]
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(VOCAB // CLASS_SIZE + 1))
+    order = np.argsort(y.astype(np.uint16), kind="stable")
+    h, ys = h[order], y[order]
+    cls = ys // CLASS_SIZE
+    own = _log_prob(h @ w["Wc"].T + w["bc"], cls)
+    cut = np.searchsorted(cls, np.arange(VOCAB // CLASS_SIZE + 1))
     for c in range(VOCAB // CLASS_SIZE):
-        i = order[cut[c] : cut[c + 1]]
-        if len(i):
-            words = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            out[i] += _log_softmax(h[i] @ w["Ww"][words].T + w["bw"][words])[np.arange(len(i)), y[i] - c * CLASS_SIZE]
+        i, words = slice(cut[c], cut[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
+        if cut[c] < cut[c + 1]:
+            own[i] += _log_prob(h[i] @ w["Ww"][words].T + w["bw"][words], ys[i] - c * CLASS_SIZE)
+    out = np.empty_like(own)
+    out[order] = own
     return out
 
 
-def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradient of the mean loss over a window (steps x streams) and the state after it."""
+def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: int, g: dict[str, np.ndarray]) -> np.ndarray:
+    """Gradient of the mean loss over a window (steps x streams), written to ``g``; the state after it."""
     steps, streams = x.shape
-    h, kept = h0, []
-    hs = np.empty((steps, streams, HIDDEN), np.float32)
+    kind = w["P"].dtype
+    n, half = kind.type(steps * streams), kind.type(0.5)
+    inputs = w["P"][x]
+    inputs[:, :, : 2 * HIDDEN] *= half  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+    u_zr, u_c = half * w["U"][:, : 2 * HIDDEN], np.ascontiguousarray(w["U"][:, 2 * HIDDEN :])
+    fresh = (x != end)[:, :, None]
+    ends = ~fresh.all(axis=(1, 2))
+    before, zr, c, qn, hs = (np.empty((steps, streams, k * HIDDEN), kind) for k in (1, 2, 1, 1, 1))
+    h = h0
     for t in range(steps):
-        h = h * (x[t] != end)[:, None]  # a document begins without memory
-        new, z, r, c, qn = _step(w, x[t], h)
-        kept.append((h, z, r, c, qn))
-        h = hs[t] = new
-    flat, ys = hs.reshape(-1, HIDDEN), y.ravel()
+        b, g_t, c_t, h_t = before[t], zr[t], c[t], hs[t]
+        np.multiply(h, fresh[t], out=b) if ends[t] else np.copyto(b, h)  # a document begins without memory
+        np.matmul(b, u_zr, out=g_t)
+        g_t += inputs[t, :, : 2 * HIDDEN]
+        np.tanh(g_t, out=g_t)
+        g_t *= half
+        g_t += half
+        np.matmul(b, u_c, out=qn[t])
+        np.multiply(g_t[:, HIDDEN:], qn[t], out=c_t)
+        c_t += inputs[t, :, 2 * HIDDEN :]
+        np.tanh(c_t, out=c_t)
+        np.subtract(b, c_t, out=h_t)
+        h_t *= g_t[:, :HIDDEN]
+        h_t += c_t
+        h = h_t
+    last = h
+    # positions by class, so that each class is one slice
+    ys = y.ravel()
+    order = np.argsort(ys.astype(np.uint16), kind="stable")
+    flat, ys = hs.reshape(-1, HIDDEN)[order], ys[order]
     cls = ys // CLASS_SIZE
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    d = np.exp(_log_softmax(flat @ w["Wc"].T + w["bc"]))
+    d = _softmax(flat @ w["Wc"].T + w["bc"])
     d[np.arange(len(ys)), cls] -= 1
-    g["Wc"], g["bc"] = d.T @ flat, d.sum(0)
+    d /= n
+    np.matmul(d.T, flat, out=g["Wc"])
+    d.sum(0, out=g["bc"])
     dh = d @ w["Wc"]
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(VOCAB // CLASS_SIZE + 1))
+    cut = np.searchsorted(cls, np.arange(VOCAB // CLASS_SIZE + 1))
     for k in range(VOCAB // CLASS_SIZE):
-        i = order[cut[k] : cut[k + 1]]
-        if len(i):
-            words = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            d = np.exp(_log_softmax(flat[i] @ w["Ww"][words].T + w["bw"][words]))
-            d[np.arange(len(i)), ys[i] - k * CLASS_SIZE] -= 1
-            g["Ww"][words], g["bw"][words] = d.T @ flat[i], d.sum(0)
-            dh[i] += d @ w["Ww"][words]
-    dh = dh.reshape(steps, streams, HIDDEN)
-    back = np.zeros((streams, HIDDEN), np.float32)
-    dp = np.empty((steps, streams, 3 * HIDDEN), np.float32)
+        i, words = slice(cut[k], cut[k + 1]), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
+        if cut[k] == cut[k + 1]:
+            g["Ww"][words], g["bw"][words] = 0, 0
+            continue
+        d = _softmax(flat[i] @ w["Ww"][words].T + w["bw"][words])
+        d[np.arange(len(d)), ys[i] - k * CLASS_SIZE] -= 1
+        d /= n
+        np.matmul(d.T, flat[i], out=g["Ww"][words])
+        d.sum(0, out=g["bw"][words])
+        dh[i] += d @ w["Ww"][words]
+    back_h = np.empty_like(dh)
+    back_h[order] = dh
+    dh = back_h.reshape(steps, streams, HIDDEN)
+    back = np.zeros((streams, HIDDEN), kind)
+    dp = np.empty((steps, streams, 3 * HIDDEN), kind)
+    turned = np.ascontiguousarray(w["U"].T)
+    z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+    rest = 1 - z
+    to_z = (before - c) * z * rest
+    to_c = 1 - c * c
+    to_c *= rest
+    to_r = qn * r * (1 - r)
     for t in range(steps - 1, -1, -1):
-        before, z, r, c, qn = kept[t]
-        dt = dh[t] + back
-        dc = dt * (1 - z) * (1 - c * c)
-        dz = dt * (before - c) * z * (1 - z)
-        dr = dc * qn * r * (1 - r)
-        dp[t] = np.concatenate([dz, dr, dc], 1)
-        dq = np.concatenate([dz, dr, dc * r], 1)
-        g["U"] += before.T @ dq
-        back = (dt * z + dq @ w["U"].T) * (x[t] != end)[:, None]
-    np.add.at(g["P"], x.ravel(), dp.reshape(-1, 3 * HIDDEN))
-    n = np.float32(steps * streams)
-    return {k: v / n for k, v in g.items()}, h
-
-
-def train(w: dict[str, np.ndarray], stream: np.ndarray, end: int, rate: float = 0.02) -> dict[str, np.ndarray]:
+        d_t = dp[t]
+        back += dh[t]
+        dc = np.multiply(back, to_c[t], out=qn[t])
+        np.multiply(back, to_z[t], out=d_t[:, :HIDDEN])
+        np.multiply(dc, to_r[t], out=d_t[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dc, r[t], out=d_t[:, 2 * HIDDEN :])  # of the state's part; of the input's part below
+        back *= z[t]
+        back += d_t @ turned
+        if ends[t]:
+            back *= fresh[t]
+    dp = dp.reshape(-1, 3 * HIDDEN)
+    np.matmul(before.reshape(-1, HIDDEN).T, dp, out=g["U"])
+    dp[:, 2 * HIDDEN :] = qn.reshape(-1, HIDDEN)
+    # rows of equal inputs add up
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+    xs = x.ravel()[order]
+    start = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
+    g["P"][:] = 0
+    g["P"][xs[start]] = np.add.reduceat(dp[order], start, axis=0)
+    return last
+
+
+def _softmax(a: np.ndarray) -> np.ndarray:
+    a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(1, keepdims=True)
+    return a
+
+
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays shaped as ``like``'s, in the order of their names, on one flat array."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def train(weights: dict[str, np.ndarray], stream: np.ndarray, end: int, rate: float = RATE) -> dict[str, np.ndarray]:
     """Truncated back-propagation over one stream of ids cut into parallel streams (Adam).
 
-    What the parallel streams leave over at the end goes on from the state of the last one.
+    Every id of the stream is learned once.  A short stream is cut into fewer parallel
+    ones; what they leave over at the end goes on from the state of the last one.
     """
-    per = (len(stream) - 1) // STREAMS
-    cut = per * STREAMS
-    x, y = stream[:cut].reshape(STREAMS, per).T, stream[1 : cut + 1].reshape(STREAMS, per).T
+    streams = int(np.clip(len(stream) // (4 * WINDOW), 1, STREAMS))
+    per = (len(stream) - 1) // streams
+    cut = per * streams
+    x, y = stream[:cut].reshape(streams, per).T, stream[1 : cut + 1].reshape(streams, per).T
     spans = [(x[at : at + WINDOW], y[at : at + WINDOW]) for at in range(0, per, WINDOW)]
     spans += [(stream[at : at + WINDOW][: len(stream) - 1 - at, None], stream[at + 1 : at + 1 + WINDOW, None]) for at in range(cut, len(stream) - 1, WINDOW)]
-    w = {k: v.copy() for k, v in w.items()}
-    m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    h = np.zeros((STREAMS, HIDDEN), np.float32)
+    flat = np.concatenate([weights[k].ravel() for k in sorted(weights)])
+    w, step = _views(flat, weights), np.empty_like(flat)
+    g_flat, m, v = (np.zeros_like(flat) for _ in range(3))
+    g = _views(g_flat, weights)
+    h = np.zeros((streams, HIDDEN), flat.dtype)
     for k, (xs, ys) in enumerate(spans, 1):
-        g, h = _gradient(w, xs, ys, h[-xs.shape[1] :], end)
-        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        clip = min(1.0, 1.0 / (norm + 1e-9))
-        for name, a in g.items():
-            a = a * clip
-            m[name] += 0.1 * (a - m[name])
-            v[name] += 0.01 * (a * a - v[name])
-            w[name] -= (rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+        h = _gradient(w, xs, ys, h[-xs.shape[1] :], end, g)
+        norm = float(np.sqrt(g_flat @ g_flat))
+        if norm > 1:
+            g_flat *= flat.dtype.type(1 / norm)
+        m += np.multiply(np.subtract(g_flat, m, out=step), 0.1, out=step)
+        np.multiply(g_flat, g_flat, out=g_flat)
+        v += np.multiply(np.subtract(g_flat, v, out=step), 0.01, out=step)
+        np.sqrt(v, out=step)
+        step *= flat.dtype.type((1 - 0.99**k) ** -0.5)
+        step += flat.dtype.type(1e-8)
+        np.divide(m, step, out=step)
+        step *= flat.dtype.type(rate / (1 - 0.9**k))
+        flat -= step
     return w
 
 
@@ -354,27 +437,22 @@ def score_documents(w: dict[str, np.ndarray], tokens: np.ndarray, n: np.ndarray,
     """log10 probability of the ids of each document, its state carried to its end."""
     start = np.cumsum(n) - n
     out = np.zeros(len(n))
-    order = np.argsort(n, kind="stable")
-    at = 0
-    while at < len(order):
-        group = order[at : at + 512]
-        longest = n[order[at]]
-        group = group[n[group] <= max(longest * 5 // 4, longest + 32)][::-1]  # longest first
-        at += len(group)
+    longest_first = np.argsort(-n, kind="stable")
+    for at in range(0, len(n), 4096):
+        group = longest_first[at : at + 4096]
         s, size = start[group], n[group]
-        h = np.zeros((len(group), HIDDEN), np.float32)
+        alive = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # documents longer than t lead the group
+        h = np.zeros((len(group), HIDDEN), w["P"].dtype)
         x = np.full(len(group), end)
         states, ids, rows, held = [], [], [], 0
-        for t in range(int(size[0])):
-            live = int(np.searchsorted(-size, -t, "left"))  # documents longer than t lead the group
-            h, x = h[:live], x[:live]
-            h = _step(w, x, h)[0]
-            x = tokens[s[:live] + t].astype(np.int64)
+        for t, live in enumerate(alive.tolist()):
+            h = _step(w, x[:live], h[:live])
+            x = tokens[s[:live] + t]
             states.append(h)
             ids.append(x)
             rows.append(group[:live])
             held += live
-            if held > 32768 or t + 1 == size[0]:  # a window's outputs at once
+            if held > 16384 or t + 1 == len(alive):  # a window's outputs at once
                 lp = log_probs(w, np.concatenate(states), np.concatenate(ids))
                 out += np.bincount(np.concatenate(rows), lp, len(n))
                 states, ids, rows, held = [], [], [], 0
@@ -384,69 +462,83 @@ def score_documents(w: dict[str, np.ndarray], tokens: np.ndarray, n: np.ndarray,
 # ---------------------------------------------------------------- Spark
 
 
-def _train_round(shared, lexicon, number: int):
+_SUMS = "part long, count long, weights binary"
+
+
+def _train_round(shared, lexicon, number: int, rounds: int):
+    """Weights after a segment's share of a round, times its tokens, summed over the task's segments.
+
+    A document is learned in one round, the whole of it; the rounds together learn all.
+    """
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, sums, count = lexicon.value.end, None, 0
+        from pyspark import TaskContext
+
+        end, total, count = lexicon.value.end, None, 0
         for batch in batches:
-            for tokens, n, held in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for seg, tokens, n, held in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 tok, n, held = np.frombuffer(tokens, np.uint16), np.frombuffer(n, np.int64), np.frombuffer(held, bool)
                 start = np.cumsum(n) - n
-                mine = np.random.default_rng(number).permutation(np.flatnonzero(~held))
+                mine = np.random.default_rng(seg).permutation(np.flatnonzero(~held))[number::rounds]
                 parts = [tok[start[i] : start[i] + n[i]] for i in mine]
                 if not parts:
                     continue
-                w = train(shared.value, np.concatenate([[end], *parts]).astype(np.int64), end)
-                sums = {k: v.astype(np.float64) for k, v in w.items()} if sums is None else {k: sums[k] + v for k, v in w.items()}
-                count += 1
-        if sums is not None:
-            from pyspark import TaskContext
-
-            flat = np.concatenate([sums[k].ravel() for k in sorted(sums)])
-            yield _batch([(TaskContext.get().partitionId() % 16, count, _bin(flat))], "part int, count long, weights binary")
+                stream = np.concatenate([[end], *parts]).astype(np.int64)
+                w = train(shared.value, stream, end, RATE / (1 + number))
+                flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64) * len(stream)
+                total = flat if total is None else total + flat
+                count += len(stream)
+        if total is not None:
+            yield _batch([(TaskContext.get().partitionId(), count, _bin(total))], _SUMS)
 
     return run
 
 
 def _add_up(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float64) for x in table["weights"].to_pylist())
-    return pa.Table.from_batches([_batch([(0, sum(table["count"].to_pylist()), _bin(total))], "part int, count long, weights binary")])
+    return pa.Table.from_batches([_batch([(table["part"][0].as_py(), sum(table["count"].to_pylist()), _bin(total))], _SUMS)])
 
 
-def _unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+def _tree(rows: DataFrame, parts: int, add: Callable[[pa.Table], pa.Table], schema: str) -> list:
+    """Rows numbered by ``part`` added up in a tree: a task gets FAN rows at most, and so does the driver."""
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        rows = rows.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInArrow(lean_group(add), schema)
+    return rows.collect()
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(shared, lexicon):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         for batch in batches:
-            for row in batch.to_pylist():
-                tok, n = np.frombuffer(row["tokens"], np.uint16), np.frombuffer(row["n"], np.int64)
-                rare = np.frombuffer(row["rare"], np.float64)
-                net = score_documents(shared.value, tok, n, lex.end)
+            size = np.cumsum([len(x) for x in batch.column("tokens").to_pylist()])
+            together = size // TOGETHER_BYTES  # few long documents of one segment step with those of others
+            for k in np.unique(together):
+                rows = batch.filter(pa.array(together == k)).to_pylist()
+                col = {c: np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in _ROWS}
+                n = col["n"]
+                net = score_documents(shared.value, col["tokens"], n, lex.end)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.frombuffer(row["doc"], np.int64), mask=np.frombuffer(row["isnull"], bool)),
-                        pa.array(np.frombuffer(row["held"], bool)),
-                        pa.array(n),
-                        pa.array(np.frombuffer(row["known"], np.int64)),
-                        pa.array(np.full(len(n), lex.n)),
-                        pa.array(np.frombuffer(row["base"], np.float64)),
-                        pa.array(net + rare),
+                        pa.array(col["doc"], mask=col["isnull"]), pa.array(col["held"]), pa.array(n), pa.array(col["known"]),
+                        pa.array(np.full(len(n), lex.n)), pa.array(col["base"]), pa.array(net + col["rare"]),
                     ],
                     names=[f.split()[0] for f in _SCORES.split(", ")],
-                )
+                )
 
     return run
 
 
+_ROWS = (
+    ("tokens", np.uint16), ("doc", np.int64), ("isnull", bool), ("n", np.int64), ("held", bool), ("base", np.float64), ("rare", np.float64), ("known", np.int64)
+)
+
+
 def score(docs: DataFrame, mod: int = 5, held: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -458,10 +550,11 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, rounds: int = ROUNDS) ->
     small_batches(spark)
     coded = persist_by(d.mapInArrow(_code(buckets), _CODED), "lm-coded", "kind", [0, 1])
     words = coded[1].select("bucket", "seg", "a", "b", "c")
-    answers = persist(words.groupBy("bucket").applyInArrow(_count_words, _ANSWER), "lm-answers")
+    answers = persist(words.groupBy("bucket").applyInArrow(lean_group(_count_words), _ANSWER), "lm-answers")
     discard(coded[1])
     collect_garbage(spark)
-    stats = [(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64).reshape(3, -1)) for r in _top_rows(answers)]
+    tops = _tree(answers.filter("kind = 1").select(F.col("bucket").cast("long").alias("part"), "a", "b"), buckets, _merge_tops, _TOPS)
+    stats = [(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64).reshape(3, -1)) for r in tops]
     lexicon = Lexicon(
         sum((a for a, _ in stats), np.zeros(2 * RARE + 2, np.int64)), np.concatenate([b for _, b in stats] or [np.zeros((3, 0), np.int64)], 1)
     )
@@ -471,32 +564,31 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, rounds: int = ROUNDS) ->
     )
     # s_a tokens, s_b ids, s_c null flags, s_d lengths, s_e held-out flags
     back = answers.filter("kind = 0").select("seg", "bucket", "a", "b", "c")
-    table = persist(seg.groupBy("s_seg").cogroup(back.groupBy("seg")).applyInArrow(_join_counts(lex), _DOCS), "lm-documents")
+    table = persist(seg.groupBy("s_seg").cogroup(back.groupBy("seg")).applyInArrow(lean_cogroup(_join_counts(lex)), _DOCS), "lm-documents")
     discard(coded[0])
     discard(answers)
     collect_garbage(spark)
     weights = initial(lexicon)
+    parts = table.rdd.getNumPartitions()
     for number in range(rounds):
         shared = sc.broadcast(weights)
-        sums = table.select("tokens", "n", "held").mapInArrow(_train_round(shared, lex, number), "part int, count long, weights binary")
-        rows = sums.groupBy("part").applyInArrow(_add_up, "part int, count long, weights binary").collect()  # 16 rows at most
+        rows = _tree(table.select("seg", "tokens", "n", "held").mapInArrow(_train_round(shared, lex, number, rounds), _SUMS), parts, _add_up, _SUMS)
+        shared.destroy()
         if rows:
             flat = sum(np.frombuffer(r["weights"], np.float64) for r in rows) / sum(r["count"] for r in rows)
-            weights = _unflatten(flat, weights)
+            weights = {k: v.astype(np.float32) for k, v in _views(flat, weights).items()}
     return table.mapInArrow(_score(sc.broadcast(weights), lex), _SCORES)
 
 
-def _top_rows(answers: DataFrame):
-    """Totals and frequent words of every bucket, merged in up to 16 tasks before they reach the driver."""
+_TOPS = "part long, a binary, b binary"
 
-    def merge(t: pa.Table) -> pa.Table:
-        totals = sum(np.frombuffer(x, np.int64) for x in t["a"].to_pylist())
-        words = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in t["b"].to_pylist()], 1)
-        words = words[:, np.lexsort((words[0], -words[1]))[:SHORTLIST]]
-        return pa.Table.from_batches([_batch([(_bin(totals), _bin(words))], "a binary, b binary")])
 
-    tops = answers.filter("kind = 1").select((F.col("bucket") % 16).alias("part"), "a", "b")
-    return tops.groupBy("part").applyInArrow(merge, "a binary, b binary").collect()
+def _merge_tops(t: pa.Table) -> pa.Table:
+    """Totals and frequent words of some buckets."""
+    totals = sum(np.frombuffer(x, np.int64) for x in t["a"].to_pylist())
+    words = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in t["b"].to_pylist()], 1)
+    words = words[:, np.lexsort((words[0], -words[1]))[:SHORTLIST]]
+    return pa.Table.from_batches([_batch([(t["part"][0].as_py(), _bin(totals), _bin(words))], _TOPS)])
 
 
 def op5(docs: DataFrame) -> DataFrame:
