@@ -2,50 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (local folder in local mode)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="veristrata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/veristrata/families-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .stored import dropped, stored
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(claim, doc) -> (claim, root), the root being the smallest claim id as a string.
 
-    Labels travel claim -> document -> claim, so a document cited by many claims is one
-    aggregation and never a list of pairs; a pointer jump (root of the root) each round
-    makes long chains short.  A round ends when no label changed.
+    Star rounds on claims and documents as nodes of one graph: in each, a node's larger
+    neighbours move to its smallest one, then the rest of a node's smaller ones do.  The
+    edges end as stars around the smallest node of each component.  A claim comes before
+    every document, so the root is a claim.  A node of many edges is an aggregation, and
+    joins meet it with one row, which AQE may split; rounds go on until nothing changes.
     """
-    e = edges.select("claim", "doc").distinct()
-    e = _stored(e)
-    labels = _stored(e.select("claim").distinct().withColumn("root", F.col("claim")))
-    for _ in range(most):
-        least = e.join(labels, "claim").groupBy("doc").agg(F.min("root").alias("root"))
-        reach = e.join(least, "doc").groupBy("claim").agg(F.min("root").alias("near"))
-        step = labels.join(reach, "claim").select("claim", F.least("root", "near").alias("new"), "root")
-        jump = step.select(F.col("claim").alias("new"), F.col("new").alias("far"))
-        now = _stored(step.join(jump, "new", "left").select("claim", F.least("new", F.coalesce("far", "new")).alias("next"), "root"))
-        changed = now.filter("next <> root").head(1)
-        labels = now.select("claim", F.col("next").alias("root"))
-        if not changed:
+    claim, doc = (F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in ((0, "claim"), (1, "doc")))
+    e = stored(edges.filter("claim is not null and doc is not null").select(doc.alias("a"), claim.alias("b")).distinct(), "families")
+    before = None
+    while True:
+        # large star: (node, larger neighbour) -> (larger neighbour, least of the node's closed neighbourhood)
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # small star: a node's smaller neighbours and itself -> the least of them
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = stored(small.filter("a <> b").distinct(), "families")
+        dropped(e)
+        e, mark = now, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
             break
-    return labels
+        before = mark
+    roots = e.filter("a.kind = 0").select(F.col("a.id").alias("id"), F.col("b.id").alias("root"))
+    claims = edges.filter("claim is not null and doc is not null").select("claim").distinct()
+    return claims.join(roots, claims["claim"].cast("string") == roots["id"], "left").select("claim", F.coalesce("root", claims["claim"].cast("string")).alias("root"))
 
 
 def families(claims: DataFrame) -> DataFrame:
