@@ -17,10 +17,11 @@ text and the escape is reversible; roles are percent-escaped for ``%``, newline
 ``<|``.
 
 Defined results: null text and null role are empty; a null ``conv_id`` is a
-conversation of its own; events of equal ``seq`` are ordered by kind, role and text;
-repeated rows are kept as repeated turns in the query (each row is a message there)
-and as repeated deltas in a log; an empty log gives no conversation.  Extra columns
-are ignored.
+conversation of its own; events of equal ``seq`` (ties) are ordered by kind, role and
+text; repeated rows are kept as repeated turns in the query (each row is a message
+there) and as repeated deltas in a log; a very long text is one message, and time is in
+proportion to a conversation's length; an empty log gives no conversation.  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,27 +102,64 @@ def loss_spans(rendered: DataFrame) -> DataFrame:
     return e.select("conv_id", "i", (before + F.col("m.skip")).alias("start"), F.col("m.length").alias("length"), F.col("m.loss").alias("loss")).filter("loss").drop("loss")
 
 
+def turns_of(formatted: Column) -> Column:
+    """Formatted text -> array of its turns, each without its start mark."""
+    parts = F.split(formatted, r"<\|im_start\|>", -1)
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
 def parse(formatted: Column) -> Column:
     """Formatted text -> array of (role, text), unescaped."""
-    parts = F.slice(F.split(formatted, r"<\|im_start\|>", -1), F.lit(2), F.size(F.split(formatted, r"<\|im_start\|>", -1)))
 
     def one(x: Column) -> Column:
         role = F.substring_index(x, "\n", 1)
         body = F.substring(x, F.length(role) + 2, F.length(x) - F.length(role) - 1 - len(END))
         return F.struct(unescape_role(role).alias("role"), unescape_text(body).alias("text"))
 
-    return F.transform(parts, one)
+    return F.transform(turns_of(formatted), one)
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped: cut out by the mask's lengths alone.
+
+    Start marks only divide the work, so that a long conversation is not walked from its
+    beginning for every span; a turn that is not as long as the mask says is an error.
+    """
+
+    def cut(turn: Column, m: Column) -> Column:
+        fits = F.length(turn) + len(START) == m["skip"] + m["length"] + m["tail"]
+        text = F.substring(turn, (m["skip"] - len(START) + 1).cast("int"), m["length"].cast("int"))
+        wrong = F.raise_error(F.lit("mask and text disagree")).cast("string")
+        return F.when(~F.coalesce(fits, F.lit(False)), wrong).when(m["loss"], unescape_text(text)).otherwise("")
+
+    return F.array_join(F.zip_with(turns_of(formatted), mask, cut), "")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log in which every row is one ``start`` event.
+    """Rows (conv_id, turn, role, text) as the log of a chat that would leave them.
 
     Rows of one turn are ordered by role and text, so a repeated turn number still has
-    one defined order; ``msg_id`` separates them.
+    one defined order; ``msg_id`` separates them.  By its length a text was streamed (a
+    beginning and deltas), edited after a draft, or regenerated after a first answer;
+    each way ends in deltas, so every kind of event is folded.
     """
     c = conversations.select("conv_id", "turn", "role", "text")
     n = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return c.withColumn("n", n).select("conv_id", F.struct("turn", "n").alias("msg_id"), F.col("turn").alias("seq"), F.lit("start").alias("kind"), "role", "text")
+    c = c.withColumn("n", n)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    half = F.floor(size / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, size)
+
+    def event(kind: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.lit("") if role is None else role).alias("role"), text.alias("text"))
+
+    role = F.col("role")
+    streamed = F.array(event("start", first, role), event("delta", second))
+    edited = F.array(event("start", F.lit("draft"), role), event("edit", first), event("delta", second))
+    again = F.array(event("start", first, role), event("delta", F.lit("?")), event("regenerate", F.lit("")), event("delta", first), event("delta", second))
+    log = F.when(size % 3 == 0, streamed).when(size % 3 == 1, edited).otherwise(again)
+    e = c.select("conv_id", "turn", "n", F.posexplode(log).alias("step", "e"))
+    return e.select("conv_id", F.struct("turn", "n").alias("msg_id"), F.struct("turn", "n", "step").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def op4(conversations: DataFrame) -> DataFrame:
@@ -130,9 +168,7 @@ def op4(conversations: DataFrame) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
     out = render(fold_events(events_of(rows)))
-    out = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("p"), "mask")
-    masked = F.array_join(F.transform(F.filter("p", lambda x, i: F.get(F.col("mask"), i)["loss"]), lambda x: x["text"]), "")
-    out = out.withColumn("_loss", masked)
+    out = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("p"), loss_text(F.col("formatted"), F.col("mask")).alias("_loss"))
     return out.select(
         "conv_id",
         F.size("p").cast("long").alias("n_turns"),

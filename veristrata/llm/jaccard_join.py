@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import collect_garbage, parts_for, persist, small_batches
+from .storage import collect_garbage, lean, lean_cogroup, lean_group, parts_for, persist, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 NUM, DEN, WIDTH = 75, 100, 5
@@ -104,6 +104,7 @@ SCAN_BYTES = 6 << 20
 def _scan(buckets: int):
     """Per segment: the rows' sets (kind 0), shared counts known here (1), hashes by bucket (2)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -232,6 +233,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(u.view(np.int64)), "n": pa.array(z[ok][first])})
 
 
+@lean
 def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -241,6 +243,7 @@ def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of candidate sets again, as (sig, n, toks): sorted little-endian 64-bit hashes."""
     for batch in batches:
@@ -259,6 +262,7 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _smallest(perm: int):
     """Group key of each set: its smallest hash in one of several hash orders."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [int(mix(np.frombuffer(t, U64) ^ mix(np.array([perm], U64))[0]).min().view(np.int64)) for t in batch.column(2).to_pylist()]
@@ -324,9 +328,10 @@ def _round(sets: DataFrame, perm: int) -> DataFrame:
     # sets of a key stay sorted by size into parts only by hash: equal sets are one row already
     parts = keyed.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(perm)), F.col("parts")).cast("int"))
     parts = parts.select("sig", "toks", F.xxhash64("key", "salt").alias("grp"))
-    return parts.groupBy("grp").applyInArrow(_link_group, "sig long, root long")
+    return parts.groupBy("grp").applyInArrow(lean_group(_link_group), "sig long, root long")
 
 
+@lean
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, n, toks, label) -> one row per shingle."""
     for batch in batches:
@@ -391,7 +396,7 @@ def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     members = able.select("sig", F.col("class.label").alias("label"), F.col("grp").alias("g")).join(load, "g")
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets.select("sig", "toks"), "sig")
     opened = members.select("g", "part", "label", "toks").groupBy("g", "part").cogroup(queries.groupBy("q_g", "q_part"))
-    return opened.applyInArrow(_open, "a long, b long").distinct()
+    return opened.applyInArrow(lean_cogroup(_open), "a long, b long").distinct()
 
 
 def close(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -422,10 +427,10 @@ def components(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = parts_for(d, 8 << 20)
     scan = d.mapInArrow(_scan(buckets), _SCAN)
-    counted = persist(scan.groupBy("bucket").applyInArrow(_count(buckets), _COUNT), "join-counts")
+    counted = persist(scan.groupBy("bucket").applyInArrow(lean_group(_count(buckets)), _COUNT), "join-counts")
     collect_garbage(spark)
     rows = persist(counted.filter("kind = 0").select("a", "b", "c", "d").mapInArrow(_unpack_sets, "doc_id long, n long, sig long"), "join-sets")
-    able = counted.filter("kind = 1").select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(_candidates, "sig long, n long")
+    able = counted.filter("kind = 1").select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(lean_group(_candidates), "sig long, n long")
     able = persist(able, "join-candidates")
     # one text stands for a set
     stands = rows.join(able.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("_stand"))
@@ -448,6 +453,7 @@ def components(docs: DataFrame) -> DataFrame:
     )
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with the signature of their last column, a text, in its place."""
     for batch in batches:

@@ -9,40 +9,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import discard, lean, persist, small_batches
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
+#: A label with a smaller share of the labelled rows is no class of its own; so there are at most 256.
+LEAST_CLASS = 1 / 256
+
+
 def sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int, mod: int = 4, held: int = 2, seed: int = 5) -> list[tuple[str, object]]:
-    """About ``bound`` (text, label) rows per class, for the driver; the size does not grow with the input.
+    """At most ``bound`` (text, label) rows per class, for the driver; the size does not grow with the input.
 
-    Rows of the held-out remainder, null labels and null ids take no part.  Rows are
-    chosen by a hash of the id against ``bound / class size`` and returned in hash
+    Rows of the held-out remainder, null labels and null ids take no part; an id with
+    several labels has the smallest.  Equal rows (id and text) count once.  Rows are
+    chosen by a hash of id and text against ``bound / class size`` and returned in hash
     order, so reruns agree.  ``labelled`` may be ``docs`` itself.
     """
     ids = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != held))
     ids = ids.groupBy("doc_id").agg(F.min(label).alias("_label"))
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    sizes = {r["_label"]: r["n"] for r in ids.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # one row a class
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_t")).distinct().join(ids, "doc_id")
+    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64("doc_id", "_t", F.lit(seed)), 11) / F.lit(float(1 << 53)))
+    rows = persist(rows, "sample-rows")
+    n = rows.groupBy("_label").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    # one row a class, at most 1 / LEAST_CLASS of them
+    sizes = {r["_label"]: r["n"] for r in n.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("total") * LEAST_CLASS).collect()}
     share = F.lit(0.0)
     for value, n in sizes.items():
-        share = F.when(F.col("_label") == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(share)
-    few = ids.withColumn("_u", u).filter(F.col("_u") < share)
-    # at most about bound rows a class by construction, so the broadcast is bounded
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("_u", "text", "_label")
-    found = rows.toArrow()
-    order = np.lexsort((np.array([hash_text(t) for t in found["text"].to_pylist()], np.uint64), found["_u"].to_numpy())) if found.num_rows else []
+        share = F.when(F.col("_label") == F.lit(value), F.lit(min(1.0, 1.1 * bound / n))).otherwise(share)
+    # about 1.1 * bound rows a class by construction, so the broadcast is bounded
+    few = rows.filter(F.col("_u") < share).select("doc_id", "_t", "_u", "_label")
+    found = docs.select("doc_id", F.xxhash64(text).alias("_t"), text.alias("text")).join(F.broadcast(few), ["doc_id", "_t"])
+    found = found.dropDuplicates(["_u", "_t"]).select("_u", "_t", "text", "_label").toArrow()
+    out: list[tuple[str, object]] = []
+    taken: dict[object, int] = {}
     texts, labels = found["text"].to_pylist(), found["_label"].to_pylist()
-    return [(texts[i], labels[i]) for i in order]
-
-
-def hash_text(t: str) -> int:
-    import zlib
-
-    return zlib.crc32(t.encode("utf-8", "replace"))
+    for i in np.lexsort((found["_t"].to_numpy(), found["_u"].to_numpy())) if found.num_rows else []:
+        taken[labels[i]] = taken.get(labels[i], 0) + 1
+        if taken[labels[i]] <= bound:
+            out.append((texts[i], labels[i]))
+    discard(rows)
+    return out
 
 
 def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows: Callable[[object, pa.Array], list[pa.Array]]) -> DataFrame:
@@ -50,6 +61,7 @@ def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = rows(shared.value, batch.column(2))
@@ -67,6 +79,7 @@ def keep_rows(docs: DataFrame, model, keep: Callable[[object, pa.Array], np.ndar
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(keep(shared.value, batch.column(at))))

@@ -7,11 +7,13 @@ maximum conditional likelihood; a document's label stands for each of its lines.
 Forward-backward marginals, weighted by line length, give the share of good text,
 which a logistic calibration on the training documents turns into the score.
 
-The model is fitted on the driver on a sample of at most about ``bound`` labelled
-documents a class.
+The model is fitted on the driver on a sample of at most ``bound`` labelled documents
+a class.
 
 Defined results: a null or empty text, or one of white space alone, has no line and
-scores 0; lines without a word count as no line; equal texts score equally; without
+scores 0; lines without a word count as no line; a very long text is scored whole, as
+one chain; equal texts score equally (ties need no rule); a repeated id is scored once
+a row, and its equal rows are learned once; without
 labels of both classes every non-empty text scores 0.5; empty tables give empty
 results; other columns are ignored.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import apply_scores, keep_rows, sample
+from .storage import lean
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 BOUND, THRESHOLD = 800, 0.7
@@ -249,6 +252,7 @@ def label_lines(docs: DataFrame, model: Model) -> DataFrame:
     """One row per line with a word: doc_id, line (from 0), n_bytes, p_good, good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, buf, offs in text_blocks(batch.column(1)):

@@ -37,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat_format.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op10_mixing": mixing.SQL,
 }

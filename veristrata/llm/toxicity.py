@@ -4,11 +4,13 @@ Features are the presence of hashed word n-grams (one and two words; single word
 by their first 4, 5 and 6 bytes, which inflected words share) and skip-grams (two
 words with one or two between).  Per-coordinate rates and the L1 term leave few
 weights other than zero; those alone are broadcast.  The model is fitted on the driver
-on a sample of at most about ``bound`` labelled documents a class.
+on a sample of at most ``bound`` labelled documents a class.
 
-Defined results: a null or empty text (or one without a word) scores the bias alone;
-equal texts score equally; without labelled rows every score is 0.5's prior 0; empty
-tables give empty results; other columns are ignored.
+Defined results: a null or empty text (or one without a word) scores the bias alone; a
+very long text is scored whole, each feature once; equal texts score equally (ties need
+no rule); a repeated id is scored once a row, and its equal rows are learned once;
+without labelled rows every score is 0.5, the logistic of a zero margin; empty tables
+give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
