@@ -64,6 +64,35 @@ def test_chains_and_passages(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_many_rows_without_own_ids(spark):
+    """Near copies among rows that have no id or one id for all, and a class with a third of all rows."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for doc_id in (None, 7, "own"):
+        for _ in range(3):
+            base = [word() for _ in range(60)]
+            for k in range(25):
+                w = [*base]
+                w[rng.randrange(60)] = f"x{k}"
+                rows.append((len(rows) + 1000 if doc_id == "own" else doc_id, " ".join(w)))
+    hot = [word() for _ in range(300)]
+    rows += [(5000 + k, " ".join([*hot[:k], f"y{k}", *hot[k + 1 :]])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op8(df).collect())
+    assert got == brute(rows)
+
+
+def test_hot_labels(spark, monkeypatch):
+    """Joins by label give the same rows whether or not a label is dealt to parts."""
+    big = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(3000)], "sig long, label long")
+    small = spark.createDataFrame([(1, 10), (3, 30), (9999, 0)], "label long, root long")
+    hot = jaccard_join._hot(big, 3000)
+    assert [tuple(r) for r in hot.collect()] == [(1, 8)]
+    got = sorted((r.sig, r.label, r.root or 0) for r in jaccard_join._by_label(big, small, hot, "sig").collect())
+    assert got == sorted((r.sig, r.label, r.root or 0) for r in big.join(small, "label", "left").collect())
+
+
 def test_close(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 60), (60, 100), (7, 7)]
     got = {r.node: r.root for r in jaccard_join.close(spark.createDataFrame(edges, "a long, b long")).collect()}

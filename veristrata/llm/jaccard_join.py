@@ -23,8 +23,9 @@ at least 0.75; a document's class is its component of links.  The join is exact
 Defined results: null or empty texts, and texts of white space, have no shingle, are
 their own component and link with nothing; with fewer than five words the whole
 sequence is one shingle; equal rows link (two rows of one doc_id are two documents
-that may share a class); a null doc_id is an id that sorts last; an empty table gives
-an empty result; other columns are ignored.
+that may share a class); a null doc_id is an id that sorts last; a very long text is one
+set, whatever its size; the smallest id of a class is its name (ties need no rule); an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import collect_garbage, lean, lean_cogroup, lean_group, parts_for, persist, small_batches
+from .storage import collect_garbage, discard, lean, lean_cogroup, lean_group, parts_for, persist, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 NUM, DEN, WIDTH = 75, 100, 5
@@ -143,13 +144,12 @@ def _segment(seg: int, ids: pa.Array, buf: np.ndarray, offs: np.ndarray, buckets
     order = np.lexsort((v & U64(0xFFFFFFFF), b))
     h, owner, b = (v[order] & U64(0xFFFFFFFF)).astype(np.uint32), owner[order], b[order]
     cut = np.searchsorted(b, np.arange(buckets + 1, dtype=U64))
-    for j in range(buckets):
+    for j in np.flatnonzero(np.diff(cut)).tolist():
         part = slice(cut[j], cut[j + 1])
-        if cut[j] < cut[j + 1]:
-            who, idx = np.unique(owner[part], return_inverse=True)
-            wide = np.uint16 if len(who) < 65536 else np.uint32
-            mine = np.maximum(who, 0)
-            out.append((j, 2, seg, _bin(h[part]), _bin(idx.astype(wide)), _bin(np.where(who < 0, U64(0), sig[mine])), _bin(np.where(who < 0, 0, n[mine]).astype(np.int64))))
+        who, idx = np.unique(owner[part], return_inverse=True)
+        wide = np.uint16 if len(who) < 65536 else np.uint32
+        mine = np.maximum(who, 0)
+        out.append((j, 2, seg, _bin(h[part]), _bin(idx.astype(wide)), _bin(np.where(who < 0, U64(0), sig[mine])), _bin(np.where(who < 0, 0, n[mine]).astype(np.int64))))
     return _batch(out, _SCAN)
 
 
@@ -359,7 +359,23 @@ def _open(groups: pa.Table, queries: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
 
-def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _hot(labels: DataFrame, total: int) -> DataFrame:
+    """Labels of many rows and the number of parts that each is dealt to; 10,000 rows at most."""
+    least = max(256, total // 10_000)
+    n = labels.groupBy("label").agg(F.count("*").alias("members"))
+    return n.filter(F.col("members") >= least).select("label", F.ceil(F.col("members") / least).cast("int").alias("_parts"))
+
+
+def _by_label(big: DataFrame, small: DataFrame, hot: DataFrame, spread: str) -> DataFrame:
+    """Left join on label of many rows a label with one; a hot label's rows meet copies of it in several parts."""
+    parts = F.coalesce("_parts", F.lit(1))
+    big = big.join(F.broadcast(hot), "label", "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    small = small.join(F.broadcast(hot), "label", "left")
+    small = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return big.join(small, ["label", "_part"], "left").drop("_part")
+
+
+def _between(sets: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """Links between different classes, each class pair at most a few times: (a, b).
 
     A set asks the groups that hold, on one of its rarest shingles, a member of a larger
@@ -376,7 +392,7 @@ def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     able = hits.groupBy("sig", "n", "label").agg(F.count("*").alias("shared"), F.min(F.xxhash64("tok")).alias("key"))
     able = persist(able.filter(F.col("shared") >= need), "join-shared")
     parts = able.groupBy("key").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
-    able = able.join(parts, "key").join(size, "label")
+    able = _by_label(able.join(parts, "key"), size, hot, "sig")
     grp = F.xxhash64("key", F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("grp")
     able = persist(able.select("sig", "n", "shared", grp, F.struct("members", "label").alias("class")), "join-able")
     rank = F.row_number().over(W.partitionBy("sig").orderBy("df", "tok"))
@@ -399,27 +415,46 @@ def _between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return opened.applyInArrow(lean_cogroup(_open), "a long, b long").distinct()
 
 
-def close(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(a, b) -> (node, root): smallest node of each component, by star rounds over stored tables."""
+def close(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (node, root): smallest node of each component, by star rounds over stored tables to the fixed point."""
     e = persist(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "close")
     before = None
-    for _ in range(most):
-        if not e.head(1):
+    while True:
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now["n"]:
             break
+        before = now
         # large star: larger neighbours to the smallest; small star: the rest of a node's smaller ones
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = persist(small.filter("a <> b").distinct(), "close")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        old, e = e, persist(small.filter("a <> b").distinct(), "close")
+        discard(old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _texts(d: DataFrame, rows: DataFrame, able: DataFrame) -> DataFrame:
+    """(text, sig): one text for each candidate set.
+
+    A text is found by its id; where no row of a set has an id of its own, rows without an
+    id or with a repeated one are signed again and found by their set.
+    """
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("sig").alias("sig"))
+    ids = persist(ids, "join-ids")
+    own = ids.filter("k = 1 and doc_id is not null")
+    stands = persist(own.join(able.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("_stand")), "join-stands")
+    found = d.join(stands.hint("shuffle_hash"), d["doc_id"] == stands["_stand"]).select("text", "sig")
+    left = persist(able.select("sig").join(stands, "sig", "left_anti"), "join-left")
+    if not left.head(1):
+        return found
+    odd = d.join(ids.filter("k > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").union(d.filter("doc_id is null"))
+    signed = odd.select("doc_id", "text", F.col("text").alias("_again")).mapInArrow(_sign, "doc_id long, text string, __join_sig long")
+    signed = signed.filter("__join_sig <> 0").groupBy(F.col("__join_sig").alias("sig")).agg(F.min("text").alias("text"))
+    return found.unionByName(signed.join(left, "sig").select("text", "sig"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``, and the set's signature."""
     spark = docs.sparkSession
@@ -432,25 +467,26 @@ def components(docs: DataFrame) -> DataFrame:
     rows = persist(counted.filter("kind = 0").select("a", "b", "c", "d").mapInArrow(_unpack_sets, "doc_id long, n long, sig long"), "join-sets")
     able = counted.filter("kind = 1").select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(lean_group(_candidates), "sig long, n long")
     able = persist(able, "join-candidates")
-    # one text stands for a set
-    stands = rows.join(able.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("_stand"))
-    texts = d.join(stands.hint("shuffle_hash"), d["doc_id"].eqNullSafe(stands["_stand"])).select("text", "sig")
-    sets = texts.mapInArrow(_token_sets, "sig long, n long, toks binary").dropDuplicates(["sig"])
+    discard(counted)
+    sets = _texts(d, rows, able).mapInArrow(_token_sets, "sig long, n long, toks binary").dropDuplicates(["sig"])
     sets = persist(sets, "join-tokens")
     collect_garbage(spark)
     labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label")), "join-labels")
+    total = labels.count()
     for perm in range(1, ROUNDS):
         heads = sets.join(labels.select(F.col("label").alias("sig")).distinct(), "sig", "left_semi")
         move = _round(heads, perm).filter("sig <> root").select(F.col("sig").alias("label"), "root")
-        labels = persist(labels.join(move, "label", "left").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
-    merged = close(_between(sets, labels))
-    labels = labels.join(merged, labels["label"] == merged["node"], "left").select("sig", F.coalesce("root", "label").alias("label"))
-    out = rows.join(labels, "sig", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
-    out = persist(out, "join-out")
-    least = out.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return out.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "sig", "label"
-    )
+        labels = persist(_by_label(labels, move, _hot(labels, total), "sig").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
+    hot = persist(_hot(labels, total), "join-hot")
+    merged = close(_between(sets, labels, hot)).withColumnRenamed("node", "label")
+    labels = persist(_by_label(labels, merged, hot, "sig").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
+    out = rows.filter("n > 0").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    out = persist(out.withColumn("_row", F.monotonically_increasing_id()), "join-out")
+    least = out.groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = _by_label(out, least, _hot(out, out.count()), "_row")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "sig", "label")
+    empty = rows.filter("n = 0")
+    return out.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig", F.lit(None).cast("long").alias("label")))
 
 
 @lean

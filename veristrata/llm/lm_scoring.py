@@ -124,10 +124,9 @@ def _code(buckets: int):
                 num = np.asarray(ids.fill_null(0)).astype(np.int64)
                 rows = [(0, seg, 3 if small else 4, _bin(tokens), _bin(num), _bin(null), _bin((n + 1).astype(np.int64)), _bin(held))]
                 cut = np.searchsorted(b[order], np.arange(buckets + 1))
-                for j in range(buckets):
+                for j in np.flatnonzero(np.diff(cut)).tolist():
                     i = order[cut[j] : cut[j + 1]]
-                    if len(i):
-                        rows.append((1, seg, j, _bin(u[i]), _bin(count[i].astype(np.uint32)), _bin(cls[i]), b"", b""))
+                    rows.append((1, seg, j, _bin(u[i]), _bin(count[i].astype(np.uint32)), _bin(cls[i]), b"", b""))
                 yield _batch(rows, _CODED)
                 seg += 1
 
