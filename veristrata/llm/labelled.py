@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, lean, persist, small_batches
+from .storage import collect_garbage, discard, lean, persist, small_batches
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
@@ -34,10 +34,8 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int, mod: in
     rows = docs.select("doc_id", F.xxhash64(text).alias("_t")).distinct().join(ids, "doc_id")
     rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64("doc_id", "_t", F.lit(seed)), 11) / F.lit(float(1 << 53)))
     rows = persist(rows, "sample-rows")
-    n = rows.groupBy("_label").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    # one row a class, at most 1 / LEAST_CLASS of them
-    sizes = {r["_label"]: r["n"] for r in n.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("total") * LEAST_CLASS).collect()}
+    n = rows.groupBy("_label").agg(F.count("*").alias("n")).filter(F.col("n") >= rows.count() * LEAST_CLASS)
+    sizes = {r["_label"]: r["n"] for r in n.collect()}  # one row a class, at most 1 / LEAST_CLASS of them
     share = F.lit(0.0)
     for value, n in sizes.items():
         share = F.when(F.col("_label") == F.lit(value), F.lit(min(1.0, 1.1 * bound / n))).otherwise(share)
@@ -59,6 +57,7 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int, mod: in
 def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows: Callable[[object, pa.Array], list[pa.Array]]) -> DataFrame:
     """doc_id, held_out and the columns that ``rows(model, texts)`` gives, for every row of ``docs``."""
     small_batches(docs.sparkSession)
+    collect_garbage(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @lean
@@ -76,6 +75,7 @@ def apply_scores(docs: DataFrame, model, mod: int, held: int, schema: str, rows:
 def keep_rows(docs: DataFrame, model, keep: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` whose text ``keep(model, texts)`` accepts, with all their columns."""
     small_batches(docs.sparkSession)
+    collect_garbage(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

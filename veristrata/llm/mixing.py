@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running
-from .storage import persist
+from .storage import collect_garbage, persist
 
 WORD = r"[^\x20\x09-\x0D]+"
 OCTAVE_PARTS, BUCKET_PARTS = 64, 256
@@ -92,6 +92,7 @@ def mix(
 
     ``part`` words beyond the complete epochs come from the document's beginning.
     """
+    collect_garbage(docs.sparkSession)
     rows = persist(keyed(docs, seed), "mix-keys")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import lean, persist, small_batches
+from .storage import collect_garbage, lean, persist, small_batches
 
 MAX_LEN, END_ID, SALT_ROWS = 2048, 1, 4096
 #: Fixed value: how byte-level BPE of this vocabulary family splits text before merging.
@@ -223,6 +223,7 @@ def _place(plan):
 def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
     spark = docs.sparkSession
+    collect_garbage(spark)
     p = persist(pieces(docs, tokenizer or default_tokenizer(), max_len, end_id), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_len rows
     salts = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "length long, _salts long")

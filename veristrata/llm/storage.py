@@ -10,6 +10,7 @@ import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEPT: dict[str, weakref.ref] = {}
 
@@ -138,11 +139,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now."""
+    """Let go of what finished jobs left: shuffle files and broadcasts, and the heaps and allocators that held their rows.
+
+    A JVM keeps the most heap that it ever used until it collects in full, so stage after
+    stage would add to it; the executors are asked by one small task a core.
+    """
     import gc
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    give_back()
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        n = sc.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
