@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import NATIVE
+from .ordered import running
 
 
 def one_hot(label: Column) -> Column:
@@ -50,9 +50,23 @@ def ece(binned: DataFrame) -> DataFrame:
 
 
 def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
-    """(probs, gold) -> (t, nll) for each temperature."""
-    t = rows.select("probs", "gold", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("t"))
-    return t.groupBy("t").agg(F.avg(nll(at_temperature(F.col("probs"), F.col("t")), F.col("gold"))).alias("nll"))
+    """(probs, gold) -> (t, nll) for each temperature: one pass with one sum per temperature.
+
+    With logs of the probabilities shifted by their largest, the loss at t is the log of
+    the summed exponentials over t less the gold class's share; no array is built per t.
+    """
+    logs = F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+    r = rows.select(F.transform(logs, lambda x: x - F.array_max(logs)).alias("l"), F.array_position(F.array(*[F.lit(c) for c in NATIVE]), F.col("gold")).alias("g"))
+    each = [F.get("l", F.lit(i)) for i in range(len(NATIVE))]
+    r = r.select(*[c.alias(f"l{i}") for i, c in enumerate(each)], F.get("l", (F.col("g") - 1).cast("int")).alias("own"))
+    names = [f"t{i}" for i in range(len(grid))]
+
+    def loss(t: float) -> Column:
+        total = sum((F.exp(F.col(f"l{i}") / t) for i in range(1, len(NATIVE))), F.exp(F.col("l0") / t))
+        return -F.log(F.greatest(F.exp(F.col("own") / t) / total, F.lit(1e-12)))
+
+    wide = r.agg(*[F.avg(loss(float(t))).alias(n) for t, n in zip(grid, names, strict=True)])
+    return wide.select(F.expr("stack(" + ", ".join([str(len(grid)), *[f"cast({float(t)} as double), {n}" for t, n in zip(grid, names, strict=True)]]) + ") as (t, nll)"))
 
 
 def fit_temperature(rows: DataFrame, grid: list[float]) -> DataFrame:
@@ -63,14 +77,14 @@ def fit_temperature(rows: DataFrame, grid: list[float]) -> DataFrame:
 def risk_coverage(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, conf, ord, correct) -> cumulative accuracy by falling confidence.
 
-    The curve is a running sum, one window per key; a batched call passes its
-    (run, method) as keys, which is what spreads it over tasks.
+    Running sums over range partitions, so one method with all rows is spread too.
     """
-    w = W.partitionBy(*(keys or [])).orderBy(F.desc("conf"), "ord")
-    n = F.row_number().over(w)
-    total = F.count("*").over(W.partitionBy(*(keys or [])))
-    right = F.sum(F.col("correct").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("*", n.alias("n"), (n / total).alias("coverage"), (right / n).alias("accuracy"))
+    names, right = list(keys or []), F.col("correct").cast("int")
+    r = running(rows, [-F.col("conf"), F.col("ord")], {"_n": F.lit(1), "_right": right}, names, "coverage")
+    total = rows.groupBy(*names).agg(F.count("*").alias("_total"))
+    r = r.join(F.broadcast(total), names) if names else r.join(F.broadcast(total))  # one row a method
+    n = F.col("_n") + 1
+    return r.select(*rows.columns, n.cast("int").alias("n"), (n / F.col("_total")).alias("coverage"), ((F.col("_right") + right) / n).alias("accuracy"))
 
 
 def selective(rows: DataFrame, threshold: float) -> DataFrame:

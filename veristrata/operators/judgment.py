@@ -149,8 +149,8 @@ def field_names(schema) -> set[str]:
     for f in schema.fields:
         out.add(f.name)
         kind = f.dataType
-        while hasattr(kind, "elementType"):
-            kind = kind.elementType
+        while hasattr(kind, "elementType") or hasattr(kind, "valueType"):
+            kind = kind.elementType if hasattr(kind, "elementType") else kind.valueType
         if hasattr(kind, "fields"):
             out |= field_names(kind)
     return out

@@ -137,9 +137,9 @@ def last_write_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(newest).select("row.*")
 
 
-def usage(rows: DataFrame, prompt_rate: float | None = None, completion_rate: float | None = None) -> DataFrame:
-    """(prompt_tokens, completion_tokens, latency) -> one row of totals, exact median and p95."""
-    a = rows.agg(
+def usage(rows: DataFrame, prompt_rate: float | None = None, completion_rate: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, prompt_tokens, completion_tokens, latency) -> totals, exact median and p95, one row a key (or one in all)."""
+    a = rows.groupBy(*(keys or [])).agg(
         F.count("*").alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), F.sum("latency").alias("latency_sum"),
         F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.5)).alias("latency_p50"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),

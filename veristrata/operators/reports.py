@@ -59,7 +59,7 @@ def accuracy_cost(metrics: DataFrame, usage: DataFrame, keys: list[str]) -> Data
 def measured_costs(runs: DataFrame, least_calls: int = 100) -> DataFrame:
     """(family, condition, ord, n_calls, tokens) -> the run with most calls; the first wins a tie."""
     best = F.max_by(F.struct("ord", "n_calls", "tokens"), F.struct(F.col("n_calls"), -F.col("ord"))).alias("b")
-    return runs.filter(F.col("n_calls") >= least_calls).groupBy("family", "condition").agg(best).select("family", "condition", "b.n_calls", "b.tokens")
+    return runs.filter(F.col("n_calls") >= least_calls).groupBy("family", "condition").agg(best).select("family", "condition", "b.ord", "b.n_calls", "b.tokens")
 
 
 def main_table(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .stored import stored
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,13 @@ class Index:
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
-    return docs.select("doc_id", F.explode(T.tokenize(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return _postings(docs, text).drop("dl")
+
+
+def _postings(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, term, tf, dl): the length comes along with the tokens, so texts are read once."""
+    t = docs.select("doc_id", T.tokenize(F.col(text)).alias("t"))
+    return t.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
 
 
 def doc_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,9 +66,12 @@ def idf(post: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
 
 
 def build_index(docs: DataFrame, text: str = "text", config: Bm25 = Bm25()) -> Index:
-    post, lengths = postings(docs, text), doc_stats(docs, text)
-    stats = corpus_stats(lengths)
-    return Index(post.join(lengths, "doc_id"), idf(post, stats, config.epsilon), stats)
+    """Postings are stored once; document frequencies and the average length are read off them."""
+    post = stored(_postings(docs, text), "bm25-postings")
+    n = docs.agg(F.count("*").alias("n_docs"))
+    total = post.agg(F.sum("tf").alias("total"))
+    stats = stored(n.join(F.broadcast(total)).select("n_docs", F.try_divide(F.coalesce("total", F.lit(0)).cast("double"), F.col("n_docs")).alias("avgdl")), "bm25-stats")
+    return Index(post, stored(idf(post, stats, config.epsilon), "bm25-idf"), stats)
 
 
 def scores(queries: DataFrame, index: Index, keys: list[str], config: Bm25 = Bm25()) -> DataFrame:
@@ -69,6 +79,8 @@ def scores(queries: DataFrame, index: Index, keys: list[str], config: Bm25 = Bm2
 
     Query terms meet postings by one equi-join on the term, so only documents that
     share a term are ever scored; a repeated query term counts as often as it comes.
+    The queries' terms are the small side: broadcast while they are small, else AQE
+    splits the postings of a frequent term.
     """
     terms = queries.select(*keys, F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
     weighted = terms.join(index.idf.select("term", "idf"), "term").join(index.postings, "term").join(F.broadcast(index.stats.select("avgdl")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import execution_ok
+from .ordered import running
 from .scoring import ratio
 
 
@@ -70,8 +71,7 @@ def family_totals(paired: DataFrame, methods: dict[str, str]) -> DataFrame:
     """Sufficient statistics per family: (family, ord, n_gold, fe_<method>...)."""
     sums = [F.count_if((F.col(c) == "SUPPORT") & (F.col("gold") != "SUPPORT")).alias(f"fe_{m}") for m, c in methods.items()]
     f = paired.groupBy("family").agg(F.count_if(F.col("gold") != "SUPPORT").alias("n_gold"), *sums)
-    # one short row a family: the ordinal is the only step in a single task
-    return f.withColumn("ord", F.row_number().over(W.orderBy("family")))
+    return running(f, [F.col("family")], {"_before": F.lit(1)}, tag="families").withColumn("ord", F.col("_before") + 1).drop("_before")
 
 
 def draw(resample: Column, slot: Column, n: Column) -> Column:
@@ -94,13 +94,15 @@ def bootstrap(families: DataFrame, methods: list[str], resamples: int) -> DataFr
     return hit.select("r", *[ratio(F.col(x), F.col("n")).alias(x) for x in methods])
 
 
-def interval(draws: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    return draws.agg(F.percentile(column, F.lit(low)).alias("ci_low"), F.percentile(column, F.lit(high)).alias("ci_high"))
+def interval(draws: DataFrame, column: str, low: float = 0.025, high: float = 0.975, keys: list[str] | None = None) -> DataFrame:
+    ends = F.percentile(column, F.lit(low)).alias("ci_low"), F.percentile(column, F.lit(high)).alias("ci_high")
+    return draws.groupBy(*(keys or [])).agg(*ends)
 
 
 def two_sided_p(draws: DataFrame, column: str, observed: Column) -> DataFrame:
+    """Share of draws at least as far from 0 as what was observed (a constant column); nothing observed gives 1."""
     hits = F.count_if(F.abs(F.col(column)) >= F.abs(observed))
-    return draws.agg(F.when(F.max(observed) == 0, 1.0).otherwise((hits + 1) / (F.count("*") + 1)).alias("p"))
+    return draws.agg(F.max(observed).alias("observed"), F.when(F.max(observed) == 0, 1.0).otherwise((hits + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def holm(tests: DataFrame, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,12 +13,14 @@ from . import schemas
 
 def json_lines(spark: SparkSession, path: str, ddl: str, strict: bool = True) -> DataFrame:
     """One typed record a line; blank lines are skipped, bad lines are an error (or ``_bad``)."""
-    df = spark.read.schema(f"{ddl}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    df = lines.select(F.from_json("value", f"{ddl}, _bad STRING", how).alias("r")).select("r.*")
     if not strict:
         return df
-    bad = F.raise_error(F.concat(F.lit(f"bad JSON line in {path}: "), F.substring("_bad", 1, 80)))
-    first = df.columns[0]
-    return df.withColumn(first, F.when(F.col("_bad").isNotNull(), bad.cast(df.schema[first].dataType)).otherwise(F.col(first))).drop("_bad")
+    bad = F.raise_error(F.concat(F.lit(f"bad JSON line in {path}: "), F.substring("_bad", 1, 80))).cast("boolean")
+    # a predicate: whatever columns are asked for, every line is checked
+    return df.filter(F.when(F.col("_bad").isNotNull(), bad).otherwise(F.lit(True))).drop("_bad")
 
 
 def json_object(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -94,20 +95,27 @@ def optional_predictions(spark: SparkSession, path: str | None) -> tuple[str, Da
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Stored rows, the last line of a claim winning (by file and position in it)."""
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("line"))
-    rows = raw.filter(F.trim("value") != "").select("f", "line", F.from_json("value", schemas.PREDICTION).alias("r"))
-    last = F.row_number().over(W.partitionBy("r.claim_id").orderBy(F.desc("f"), F.desc("line")))
-    return rows.withColumn("_n", last).filter("_n = 1").select("r.*")
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.text(path).select(F.col("value"), at.alias("at"))  # a block is read by one task, in its order
+    rows = raw.filter(F.trim("value") != "").select("at", F.from_json("value", schemas.PREDICTION).alias("r"))
+    return rows.groupBy("r.claim_id").agg(F.max_by("r", "at").alias("row")).select("row.*")
 
 
 def registry(spark: SparkSession, entries: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(family, split, condition, path) of many runs read as one scan, joined on the file's folder."""
-    table = spark.createDataFrame(entries, "family string, split string, condition string, path string")
-    paths = [p for *_, p in entries]
-    rows = spark.read.schema(schemas.PREDICTION).json([f"{p}/predictions.jsonl" for p in paths]).select("*", F.col("_metadata.file_path").alias("_file"))
-    name = F.regexp_extract("_file", r"([^/]+)/predictions\.jsonl$", 1)
-    folder = F.regexp_extract("path", r"([^/]+)/?$", 1)
-    return rows.withColumn("_dir", name).join(F.broadcast(table.withColumn("_dir", folder)), "_dir").drop("_dir", "_file", "path")
+    """(family, split, condition, path) of many runs read as one scan, joined on the whole path; runs without a file are skipped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = []
+    for family, split_name, condition, path in entries:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/predictions.jsonl")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            there.append((family, split_name, condition, fs.makeQualified(p).toString()))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    table = spark.createDataFrame(there, "family string, split string, condition string, _path string").withColumn("_path", plain("_path"))
+    if not there:
+        return spark.createDataFrame([], schemas.PREDICTION).join(table.drop("_path"))
+    rows = spark.read.schema(schemas.PREDICTION).json([p for *_, p in there]).select("*", plain(F.col("_metadata.file_path")).alias("_path"))
+    return rows.join(F.broadcast(table), "_path").drop("_path")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,21 @@ def append_predictions(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """All or nothing: the committer publishes files only when every task ended."""
-    df.write.mode("overwrite").json(path)
+    """All or nothing: written beside, then renamed; the old data goes when the new is in place."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    new, old, to = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{mark}", f"{path}.old-{mark}", path))
+    df.write.json(new.toString())
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = fs.exists(to)
+    if before and not fs.rename(to, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(new, to):
+        if before:
+            fs.rename(old, to)
+        raise OSError(f"cannot replace {path}")
+    if before:
+        fs.delete(old, True)
 
 
 def bundles(nested: DataFrame, path: str, ids: DataFrame) -> None:
