@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import NATIVE
+from ..functions.labels import NATIVE, execution_ok
 from .ordered import running
 
 
@@ -94,3 +94,9 @@ def selective(rows: DataFrame, threshold: float) -> DataFrame:
         F.avg(kept.cast("double")).alias("coverage"),
         F.coalesce(F.avg(F.when(kept, F.col("correct").cast("double"))), F.lit(0.0)).alias("accuracy"),
     )
+
+
+def input_rows(rows: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """Rows fit for calibration: they ran, have gold, and state a number as confidence."""
+    c = F.col(confidence).cast("string").try_cast("double")
+    return rows.withColumn("conf", c).filter(execution_ok(F.col("execution_status")) & F.col("gold").isNotNull() & c.isNotNull() & ~F.isnan(c))

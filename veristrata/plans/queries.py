@@ -12,11 +12,12 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, statistics
 from ..streaming import ingest
+from . import contracts
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(contracts.QUERIES)
+ORACLES: dict[str, str] = dict(contracts.ORACLES)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

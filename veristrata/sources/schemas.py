@@ -18,3 +18,4 @@ SIDECAR = (
 )
 HIT = "STRUCT<doc_id:BIGINT,rank:INT,score:DOUBLE>"
 BUNDLE = f"claim_id STRING, query STRING, queries ARRAY<STRUCT<form:STRING,query:STRING,hits:ARRAY<{HIT}>>>, retrieval_round INT, corpus_hash STRING, passages ARRAY<{HIT}>"
+RUN = "run STRUCT<run_id:STRING,split:STRING,corpus_hash:STRING>, run_id STRING"
