@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
 from .stored import dropped, stored
 
 
@@ -17,8 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     every document, so the root is a claim.  A node of many edges is an aggregation, and
     joins meet it with one row, which AQE may split; rounds go on until nothing changes.
     """
-    claim, doc = (F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in ((0, "claim"), (1, "doc")))
-    e = stored(edges.filter("claim is not null and doc is not null").select(doc.alias("a"), claim.alias("b")).distinct(), "families")
+    cited = stored(edges.filter("claim is not null and doc is not null").select(F.col("claim").cast("string").alias("claim"), F.col("doc").cast("string").alias("doc")).distinct(), "families")
+    # nodes as numbers, claims in the order of their ids and before all documents: rounds compare and hash longs
+    claims = stored(running(cited.select("claim").distinct(), [F.col("claim")], {"b": F.lit(1).cast("long")}, tag="families"), "families")
+    docs = stored(cited.select("doc").distinct().select("doc", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("a")), "families")
+    e = stored(cited.join(claims, "claim").join(docs, "doc").select("a", "b"), "families")
     before = None
     while True:
         # large star: (node, larger neighbour) -> (larger neighbour, least of the node's closed neighbourhood)
@@ -34,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-    roots = e.filter("a.kind = 0").select(F.col("a.id").alias("id"), F.col("b.id").alias("root"))
-    claims = edges.filter("claim is not null and doc is not null").select("claim").distinct()
-    return claims.join(roots, claims["claim"].cast("string") == roots["id"], "left").select("claim", F.coalesce("root", claims["claim"].cast("string")).alias("root"))
+    roots = e.filter(F.col("a") < F.lit(1 << 62)).select(F.col("a").alias("b"), F.col("b").alias("_root"))
+    named = claims.join(roots, "b", "left").select("claim", F.coalesce("_root", "b").alias("_root"))
+    return named.join(claims.select(F.col("claim").alias("root"), F.col("b").alias("_root")), "_root").select("claim", "root")
 
 
 def families(claims: DataFrame) -> DataFrame:

@@ -83,10 +83,30 @@ def scores(queries: DataFrame, index: Index, keys: list[str], config: Bm25 = Bm2
     splits the postings of a frequent term.
     """
     terms = queries.select(*keys, F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(index.idf.select("term", "idf"), "term").join(index.postings, "term").join(F.broadcast(index.stats.select("avgdl")))
+    hit = terms.join(weights(index, config), "term")
+    return hit.groupBy(*keys, "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
+
+
+def weights(index: Index, config: Bm25 = Bm25()) -> DataFrame:
+    """(term, doc_id, w): what one query term adds to a document's score, worked out once a posting."""
+    p = index.postings.join(index.idf.select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))
     norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (config.k1 + 1) / norm
-    return weighted.groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return p.select("term", "doc_id", (F.col("idf") * F.col("tf") * (config.k1 + 1) / norm).alias("w"))
+
+
+def form_scores(claims: DataFrame, index: Index, forms: tuple[tuple[str, str], ...], config: Bm25 = Bm25()) -> DataFrame:
+    """(claim_id, form, form_ord, doc_id, score) of all query forms of (claim_id, text).
+
+    The forms of a claim share most of its terms, so a claim's term meets its postings
+    once, with one weight per form.
+    """
+    t = query_forms(claims, forms).select("claim_id", "form_ord", F.explode(T.tokenize(F.col("query"))).alias("term"))
+    t = t.groupBy("claim_id", "term").agg(*[F.count_if(F.col("form_ord") == i).alias(f"q{i}") for i in range(len(forms))])
+    hit = t.join(weights(index, config), "term").groupBy("claim_id", "doc_id")
+    one = lambda i: F.struct(F.lit(forms[i][0]).alias("form"), F.lit(i).alias("form_ord"), F.round(F.col(f"s{i}"), 9).alias("score"))
+    wide = hit.agg(*[F.sum(F.col(f"q{i}") * F.col("w")).alias(f"s{i}") for i in range(len(forms))], *[F.max(f"q{i}").alias(f"n{i}") for i in range(len(forms))])
+    rows = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, one(i)) for i in range(len(forms))]), lambda x: x.isNotNull())
+    return wide.select("claim_id", "doc_id", F.explode(rows).alias("f")).select("claim_id", "f.form", "f.form_ord", "doc_id", "f.score")
 
 
 def top_k(scored: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
@@ -127,7 +147,8 @@ def rerank(candidates: DataFrame, docs: DataFrame, limit: int = 8, text: str = "
 
 def gather(claims: DataFrame, docs: DataFrame, index: Index, top: int = 20, limit: int = 8, forms=FORMS) -> tuple[DataFrame, DataFrame]:
     """All claims at once: (hit log per form, passages of the bundles)."""
-    hits = search(query_forms(claims, forms), index, ["claim_id", "form", "form_ord"], top)
+    hits = top_k(form_scores(claims, index, forms), ["claim_id", "form", "form_ord"], top).filter("score > 0")
+    hits = stored(hits, "gather-hits")  # the log and the bundles read the same hits
     return hits, rerank(best_form(hits), docs, limit)
 
 
