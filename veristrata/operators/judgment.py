@@ -164,6 +164,7 @@ def assert_isolated(df: DataFrame, forbidden: set[str] = FORBIDDEN) -> DataFrame
     return df
 
 
+#: Fixed value: what a reader says that found nothing to quote.
 NO_ANSWER = "No reviewed passage shares content terms with the neutral question."
 
 
@@ -185,6 +186,7 @@ def read_evidence(questions: DataFrame, passages: DataFrame) -> DataFrame:
 def claim_cards(rows: DataFrame) -> DataFrame:
     """(claim_id, claim_text, label, cited, spans map, adequacy, note) -> card text; unknown spans are an error."""
     known = F.size(F.array_except("cited", F.map_keys("spans"))) == 0
+    # fixed values: the headings of a card
     why = F.transform("cited", lambda c: F.concat(F.lit("Why: "), F.element_at("spans", c), F.lit(" ["), c, F.lit("]")))
     lines = F.concat(
         F.array(F.concat(F.lit("Claim: "), F.col("claim_text")), F.concat(F.lit("Verdict: "), F.col("label"))),
