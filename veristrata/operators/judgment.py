@@ -55,22 +55,30 @@ def decide(stances: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, label.alias("label"), "code", cited.alias("cited"))
 
 
-def audit(claims: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """D0 audit: (claim_id, claim_text) and (claim_id, ord, span_id, text, provenance, access_scope).
+def with_defects(claims: DataFrame, citations: DataFrame) -> DataFrame:
+    """Claims beside their D0 citations, with ``defects`` of each and whether it is ``usable``.
 
-    Returns a flag per citation and a judgment per claim; a claim without citations
-    fails closed.
+    A claim without citations keeps one row, which misses its citation.
     """
     guard = F.when(F.col("access_scope") != "D0", F.raise_error(F.lit("the audit reads D0 evidence only")).cast("string")).otherwise(F.col("access_scope"))
-    c = claims.join(citations.withColumn("access_scope", guard), "claim_id", "left")
+    c = claims.join(citations.withColumn("access_scope", guard).withColumn("_cited", F.lit(True)), "claim_id", "left")
     defects = F.filter(
         F.array(
             F.when(F.col("span_id").isNull() | (F.coalesce("text", F.lit("")) == ""), "missing_required_citation"),
-            F.when(F.coalesce("provenance", F.lit("")) != "original", "missing_provenance"),
+            F.when(F.col("_cited") & (F.coalesce("provenance", F.lit("")) != "original"), "missing_provenance"),
         ),
         lambda d: d.isNotNull(),
     )
-    c = with_stance(c.withColumn("defects", defects)).withColumn("usable", F.size("defects") == 0)
+    return c.withColumn("defects", defects).withColumn("usable", F.size("defects") == 0).drop("_cited")
+
+
+def audit(claims: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D0 audit: (claim_id, claim_text) and (claim_id, ord, span_id, text, provenance, access_scope).
+
+    Returns a flag per citation and a judgment per claim; a claim without citations
+    fails closed.
+    """
+    c = with_stance(with_defects(claims, citations))
     single = decide(c.filter("usable"), ["claim_id", "ord"]).select("claim_id", "ord", F.col("label").alias("own_label"), F.col("code").alias("own_code"))
     f = c.join(single, ["claim_id", "ord"], "left")
     adequacy = F.when(~F.col("usable"), "inadequate").when(F.col("own_label") == "supported", "adequate").when(F.col("own_label") == "underdetermined", "unverifiable").otherwise("inadequate")
@@ -183,14 +191,59 @@ def read_evidence(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return a.select("claim_id", "neutral_question", "answer", "cited", T.seal(F.col("neutral_question"), F.col("answer"), F.col("cited")).alias("seal"))
 
 
+# What a card advises next, by the first reason that is known.
+NEXT_CHECK = {
+    "missing_required_citation": "Attach the original cited spans. The citation audit has no D0 passage to check.",
+    "missing_provenance": "Record original-citation provenance. The citation audit cannot verify this span.",
+    "conflicting_results": "Compare the cited passages that disagree.",
+    "inconclusive_relevant_evidence": "The cited passages address the claim without a resolved direction.",
+    "causal_overreach": "Separate association from causation using the cited passages.",
+    "no_addressing_passage": "No cited passage addresses the claim in this record.",
+    "citation_not_addressing": "The original citation does not address the claim.",
+}
+NO_CHECK = "No further check is recorded on this claim."
+
+
+def next_check(reasons: Column) -> Column:
+    """The advice of the first reason in order that has one."""
+    known = F.create_map(*[F.lit(x) for kv in NEXT_CHECK.items() for x in kv])
+    said = F.filter(F.transform(reasons, lambda r: F.element_at(known, r)), lambda a: a.isNotNull())
+    return F.coalesce(F.get(said, F.lit(0)), F.lit(NO_CHECK))
+
+
+def reconciler_note(j0: Column, s0: Column, j1: Column, s1: Column) -> Column:
+    """The sentence on both labels, without its full stop."""
+    # fixed values: the sentences of a card
+    same = F.concat(F.lit("D0 and D1 both assign "), j0, F.lit(", and no D0 versus D1 conflict is recorded"))
+    apart = F.concat(
+        F.lit("D0 assigns "), j0, F.lit(" ("), s0, F.lit(") and D1 assigns "), j1, F.lit(" ("), s1,
+        F.lit("), and independent evidence is not used to repair the original citation"),
+    )
+    return F.when(agree(j0, j1, s0, s1), same).otherwise(apart)
+
+
 def claim_cards(rows: DataFrame) -> DataFrame:
-    """(claim_id, claim_text, label, cited, spans map, adequacy, note) -> card text; unknown spans are an error."""
-    known = F.size(F.array_except("cited", F.map_keys("spans"))) == 0
+    """One card text per claim; a span that is not on record is an error.
+
+    Columns: claim_id, claim_text, label and cited (of D1), d0_cited, spans (map span
+    id -> text), uncertain and checks (reasons, in order), scope, adequacy, note, link.
+    """
+    marks = lambda c: F.transform(c, lambda x: F.concat(F.lit("["), x, F.lit("]")))
+    cites = F.concat(marks("d0_cited"), marks("cited"))
+    spaced = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(" "), F.array_join(c, " "))).otherwise("")
+    doubts = F.array_join(F.array_distinct("uncertain"), ", ")
     # fixed values: the headings of a card
-    why = F.transform("cited", lambda c: F.concat(F.lit("Why: "), F.element_at("spans", c), F.lit(" ["), c, F.lit("]")))
     lines = F.concat(
-        F.array(F.concat(F.lit("Claim: "), F.col("claim_text")), F.concat(F.lit("Verdict: "), F.col("label"))),
-        why,
-        F.array(F.concat(F.lit("Original citations: "), F.col("adequacy"), F.lit(".")), F.concat(F.lit("Reconciler: "), F.col("note"))),
+        F.array(F.concat(F.lit("Claim: "), F.col("claim_text")), F.concat(F.lit("Evidence verdict: "), F.col("label"), spaced(marks("cited")), F.lit("."))),
+        F.transform("cited", lambda c: F.concat(F.lit("Why: "), F.element_at("spans", c), F.lit(" ["), c, F.lit("]"))),
+        F.array(
+            F.concat(F.lit("What is uncertain: "), F.when(doubts == "", "None recorded").otherwise(doubts), F.lit(".")),
+            F.concat(F.lit("Search scope: "), F.col("scope"), F.lit(".")),
+            F.concat(F.lit("Original citations: "), F.col("adequacy"), F.lit(".")),
+            F.concat(F.lit("Reconciler: "), F.col("note"), spaced(cites), F.lit(". Inference link: "), F.col("link"), F.lit(".")),
+            F.concat(F.lit("Next useful check: "), next_check(F.col("checks"))),
+        ),
     )
-    return rows.select("claim_id", F.when(known, F.array_join(lines, "\n")).otherwise(F.raise_error(F.lit("card cites an unknown span")).cast("string")).alias("card"))
+    card = F.array_join(lines, "\n")
+    unknown = F.size(F.array_except(F.concat("d0_cited", "cited", T.span_ids(card)), F.map_keys("spans"))) > 0
+    return rows.select("claim_id", F.when(unknown, F.raise_error(F.lit("card cites an unknown span")).cast("string")).otherwise(card).alias("card"))

@@ -41,6 +41,30 @@ def single_judge(items: DataFrame, adaptation: str, seed: int = 7) -> DataFrame:
     )
 
 
+def same_evidence(items: DataFrame, docs: DataFrame, template: str, seed: int = 7) -> DataFrame:
+    """Offline three-stage method B2: question, isolated reader, comparison; all claims at once.
+
+    ``items``: claim_id, claim.  ``docs``: claim_id, doc_id, the D0 documents, which the
+    reader sees in an order drawn from the seed (a hash order); repeated rows count once.
+    A claim without documents is read all the same; an empty claim is an error.
+    """
+    q = items.select("claim_id", "claim", T.neutral_question(F.lit(template), F.col("claim")).alias("question"))
+    own = F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), "claim_id", F.col("doc_id").cast("string")), 256).alias("o"), "doc_id")
+    seen = docs.filter("doc_id is not null").groupBy("claim_id").agg(F.transform(F.sort_array(F.collect_set(own)), lambda x: x["doc_id"]).alias("ids"))
+    j = q.join(seen, "claim_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast(seen.schema["ids"].dataType)))
+    listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    digest = F.substring(F.sha2(F.concat_ws("\n", F.lit(str(seed)), "question", listed), 256), 1, 12)
+    # fixed values: what the offline reader answers
+    notes = F.concat(F.lit("mock-reader: evidence-only notes; n_docs="), F.size("ids").cast("string"), F.lit("; digest="), digest)
+    bare = F.concat(F.lit("mock-reader: no D0 abstracts were attached; digest="), digest)
+    j = j.withColumn("answer", F.when(F.size("ids") > 0, notes).otherwise(bare))
+    label = hash_label(F.concat_ws("\n", F.lit(str(seed)), "claim_id", "question", "claim", "answer", listed))
+    return j.select(
+        "claim_id", label.alias("label"), F.lit("B2").alias("method_id"), F.col("question").alias("neutral_question"), F.col("answer").alias("reader_answer"),
+        F.col("ids").alias("reader_cited"), F.lit("mock").alias("inference_mode"), F.lit("ok").alias("execution_status"),
+    )
+
+
 def evidence_text(parts: DataFrame) -> DataFrame:
     """(claim_id, ord, text) -> evidence of a claim, parts in order, a blank line between."""
     a = parts.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"))
@@ -101,7 +125,7 @@ def with_retry(call: Callable[[str], str], retries: int = 2, backoff: float = 0.
     return run
 
 
-def model_stage(items: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt") -> DataFrame:
+def model_stage(items: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt", backoff: float = 0.5) -> DataFrame:
     """Add the model's reply, status and latency; the client is made once per task.
 
     An error becomes a failed row, never a failed job.
@@ -109,7 +133,7 @@ def model_stage(items: DataFrame, client: Callable[[], Callable[[str], str]], pr
     schema = f"{items._jdf.schema().toDDL()}, reply string, execution_status string, latency double"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(client())
+        call = with_retry(client(), backoff=backoff)
         for batch in batches:
             replies, states, spent = [], [], []
             for text in batch[prompt]:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, statistics
+from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, staged, statistics
 from ..streaming import ingest
-from . import contracts
+from . import chains, contracts  # noqa: F401 - chains adds its queries to those of contracts
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -789,13 +789,24 @@ def evidence_reader_seal(spark, sf):
     return judgment.read_evidence(q, p.select("claim_id", T.span_id(F.lit("D1"), F.col("doc_id"), F.lit(0), F.length("text")).alias("span_id"), "text"))
 
 
-@query()
+@query(
+    f"""with {_STANCE}, w as (select claim_id, label, code, span_id, ord, stance from lb join st using (claim_id) where addresses and (code in ('conflicting_results', 'inconclusive_relevant_evidence') or (code in ('supporting_direction', 'causal_overreach') and stance = 'support')
+or (code = 'contradicting_direction' and stance = 'contradict'))), c as (select claim_id, string_agg('[' || span_id || ']', ' ' order by ord) as cites, string_agg('Why: ' || stance || ' [' || span_id || ']' || chr(10), '' order by ord) as why from w group by 1)
+select claim_id, 'Claim: ' || claim_id || chr(10) || 'Evidence verdict: ' || label || coalesce(' ' || cites, '') || '.' || chr(10) || coalesce(why, '') || 'What is uncertain: ' || case when code in ('supporting_direction', 'contradicting_direction') then 'None recorded' else code end || '.' || chr(10)
+|| 'Search scope: all orders.' || chr(10) || 'Original citations: adequate.' || chr(10) || 'Reconciler: D0 assigns supported (completed) and D1 assigns ' || label || ' (failed), and independent evidence is not used to repair the original citation' || coalesce(' ' || cites, '')
+|| '. Inference link: unresolved.' || chr(10) || 'Next useful check: ' || case code {" ".join(f"when '{k}' then '{v}'" for k, v in judgment.NEXT_CHECK.items())} else '{judgment.NO_CHECK}' end as card from lb left join c using (claim_id)"""
+)
 def claim_cards(spark, sf):
     s = _stances(spark, sf)
     d = judgment.decide(s, ["claim_id"])
     spans = s.groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct("span_id", "stance"))).alias("spans"))
-    j = d.join(spans, "claim_id").withColumn("claim_text", F.col("claim_id").cast("string"))
-    return judgment.claim_cards(j.withColumn("adequacy", F.lit("adequate")).withColumn("note", F.lit("labels_agree")))
+    doubt = staged.reasons(F.col("code"))
+    note = judgment.reconciler_note(F.lit("supported"), F.lit("completed"), F.col("label"), F.lit("failed"))
+    j = d.join(spans, "claim_id").select(
+        "claim_id", F.col("claim_id").cast("string").alias("claim_text"), "label", "cited", staged.none().alias("d0_cited"), "spans", doubt.alias("uncertain"), doubt.alias("checks"),
+        F.lit("all orders").alias("scope"), F.lit("adequate").alias("adequacy"), note.alias("note"), F.lit("unresolved").alias("link"),
+    )
+    return judgment.claim_cards(j)
 
 
 def _offline_client() -> Callable[[str], str]:
