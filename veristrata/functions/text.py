@@ -40,8 +40,9 @@ def raw_tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    topical = F.array_except(raw_tokens(text), words([*STOPWORDS, *INCREASE, *DECREASE]))
-    return F.filter(topical, lambda t: F.length(t) > 2)
+    """Distinct tokens of three letters or more that carry a topic."""
+    long = F.regexp_extract_all(casefold(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.array_except(long, words([*STOPWORDS, *INCREASE, *DECREASE]))
 
 
 def normalize_passage(text: Column) -> Column:
@@ -51,7 +52,11 @@ def normalize_passage(text: Column) -> Column:
 
 def polarity(text: Column) -> Column:
     """increase, decrease, mixed or null; a negation turns a single direction."""
-    t = raw_tokens(text)
+    return polarity_of(raw_tokens(text), text)
+
+
+def polarity_of(t: Column, text: Column) -> Column:
+    """polarity() of a text whose raw tokens are at hand."""
     up, down = F.arrays_overlap(t, words(INCREASE)), F.arrays_overlap(t, words(DECREASE))
     turned = casefold(text).rlike(NEGATION)
     return (

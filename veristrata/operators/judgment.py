@@ -9,18 +9,24 @@ from ..functions import text as T
 
 
 def with_stance(passages: DataFrame) -> DataFrame:
-    """(claim_text, text) -> + addresses, stance, and causal flags, row by row."""
-    p = passages.withColumn("addresses", F.size(F.array_intersect(T.content_tokens(F.col("claim_text")), T.content_tokens(F.col("text")))) >= 2)
-    p = p.withColumn("stance", T.stance(T.polarity(F.col("claim_text")), T.polarity(F.col("text"))))
+    """(claim_text, text) -> + addresses, stance, and causal flags, row by row.
+
+    Tokens and polarities are columns of their own first, so each is worked out once a row.
+    """
+    claim, text = F.col("claim_text"), F.col("text")
+    p = passages.withColumn("addresses", F.size(F.array_intersect(T.content_tokens(claim), T.content_tokens(text))) >= 2)
+    p = p.withColumns({"_c": T.raw_tokens(claim), "_t": T.raw_tokens(text)})
+    p = p.withColumns({"_cp": T.polarity_of(F.col("_c"), claim), "_tp": T.polarity_of(F.col("_t"), text)})
     causal = T.words(T.CAUSAL)
-    return p.withColumn("claim_causal", F.arrays_overlap(T.raw_tokens(F.col("claim_text")), causal)).withColumn(
-        "text_causal", F.arrays_overlap(T.raw_tokens(F.col("text")), causal)
-    )
+    p = p.withColumns({"stance": T.stance(F.col("_cp"), F.col("_tp")), "claim_causal": F.arrays_overlap("_c", causal), "text_causal": F.arrays_overlap("_t", causal)})
+    return p.drop("_c", "_t", "_cp", "_tp")
 
 
-def decide(stances: DataFrame, keys: list[str]) -> DataFrame:
+def decide(stances: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """(keys, ord, span_id, addresses, stance, claim_causal, text_causal) -> (keys, label, code, cited).
 
+    ``more``: further aggregates of a key, kept beside these.
+
     Order of the rules: nothing addresses the claim; conflict; no direction; a
     supported causal claim on evidence without causal words; else support or
     contradiction, citing the decisive passages only.
@@ -31,7 +37,7 @@ def decide(stances: DataFrame, keys: list[str]) -> DataFrame:
     a = stances.groupBy(*keys).agg(
         F.coalesce(F.bool_or(on), F.lit(False)).alias("any"), has("mixed").alias("mixed"), has("support").alias("sup"), has("contradict").alias("con"),
         F.coalesce(F.bool_or(F.col("claim_causal")), F.lit(False)).alias("causal"), F.coalesce(F.bool_or(on & F.col("text_causal")), F.lit(False)).alias("shown"),
-        F.sort_array(F.collect_list(F.when(on, span))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(on, span))).alias("spans"), *more,
     )
     conflict = F.col("mixed") | (F.col("sup") & F.col("con"))
     none = ~F.col("sup") & ~F.col("con")
@@ -52,7 +58,8 @@ def decide(stances: DataFrame, keys: list[str]) -> DataFrame:
     decisive = F.when(F.col("code").isin("supporting_direction", "causal_overreach"), "support").when(F.col("code") == "contradicting_direction", "contradict")
     a = a.withColumn("code", code)
     cited = F.transform(F.filter("spans", lambda s: decisive.isNull() | (s["stance"] == decisive)), lambda s: s["span_id"])
-    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"))
+    kept = [c for c in a.columns if c not in {*keys, "any", "mixed", "sup", "con", "causal", "shown", "spans", "code"}]
+    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"), *kept)
 
 
 def with_defects(claims: DataFrame, citations: DataFrame) -> DataFrame:
@@ -79,22 +86,42 @@ def audit(claims: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame
     fails closed.
     """
     c = with_stance(with_defects(claims, citations))
-    single = decide(c.filter("usable"), ["claim_id", "ord"]).select("claim_id", "ord", F.col("label").alias("own_label"), F.col("code").alias("own_code"))
-    f = c.join(single, ["claim_id", "ord"], "left")
-    adequacy = F.when(~F.col("usable"), "inadequate").when(F.col("own_label") == "supported", "adequate").when(F.col("own_label") == "underdetermined", "unverifiable").otherwise("inadequate")
-    reasons = F.when(~F.col("usable"), F.col("defects")).when(F.col("own_label") == "supported", F.array().cast("array<string>")).otherwise(F.array("own_code"))
-    flags = f.select("claim_id", "ord", "span_id", adequacy.alias("adequacy"), reasons.alias("defects"))
-    whole = decide(c.filter("usable"), ["claim_id"])
-    state = c.groupBy("claim_id").agg(F.bool_or(~F.col("usable")).alias("failed"), F.bool_or("usable").alias("any"))
-    j = state.join(whole, "claim_id", "left").select(
+    return flags_of(c), judged_of(c)
+
+
+def flags_of(c: DataFrame) -> DataFrame:
+    """Rows of with_stance(with_defects()) -> a flag each: the label policy on that citation alone."""
+    on, kind = F.coalesce("addresses", F.lit(False)), F.col("stance")
+    code = (
+        F.when(~on, "no_addressing_passage")
+        .when(kind == "mixed", "conflicting_results")
+        .when(~F.coalesce(kind.isin("support", "contradict"), F.lit(False)), "inconclusive_relevant_evidence")
+        .when((kind == "support") & F.coalesce("claim_causal", F.lit(False)) & ~F.coalesce("text_causal", F.lit(False)), "causal_overreach")
+        .when(kind == "support", "supporting_direction")
+        .otherwise("contradicting_direction")
+    )
+    f = c.withColumn("_code", code)
+    adequacy = (
+        F.when(~F.col("usable") | F.col("_code").isin("no_addressing_passage", "contradicting_direction"), "inadequate")
+        .when(F.col("_code") == "supporting_direction", "adequate")
+        .otherwise("unverifiable")
+    )
+    found = F.when(~F.col("usable"), F.col("defects")).when(F.col("_code") == "supporting_direction", F.array().cast("array<string>")).otherwise(F.array("_code"))
+    return f.select("claim_id", "ord", "span_id", adequacy.alias("adequacy"), found.alias("defects"))
+
+
+def judged_of(c: DataFrame) -> DataFrame:
+    """Rows of with_stance(with_defects()) -> one judgment per claim; unusable citations do not count but fail it."""
+    usable = F.col("usable")
+    whole = decide(c.withColumn("addresses", F.col("addresses") & usable), ["claim_id"], F.bool_or(~usable).alias("failed"), F.bool_or(usable).alias("some"))
+    return whole.select(
         "claim_id",
         F.lit("D0").alias("evidence_scope"),
-        F.when(F.col("any"), F.col("label")).otherwise("unaddressed").alias("label"),
-        F.when(F.col("any"), F.col("code")).otherwise("missing_required_citation").alias("code"),
-        F.coalesce("cited", F.array().cast("array<string>")).alias("cited"),
+        F.when(F.col("some"), F.col("label")).otherwise("unaddressed").alias("label"),
+        F.when(F.col("some"), F.col("code")).otherwise("missing_required_citation").alias("code"),
+        "cited",
         F.when(F.col("failed"), "failed").otherwise("completed").alias("status"),
     )
-    return flags, j
 
 
 def rollup_adequacy(flags: DataFrame) -> DataFrame:
@@ -108,8 +135,8 @@ def agree(d0: Column, d1: Column, s0: Column, s1: Column) -> Column:
     return (d0 == d1) & (s0 == "completed") & (s1 == "completed")
 
 
-def reconcile(j: DataFrame) -> DataFrame:
-    """(claim_id, d0_label, d1_label, d0_status, d1_status, d0_code, d1_code, n_dependencies) -> conflict, link, label.
+def reconciled() -> list[Column]:
+    """note, link, label and status over d0_label, d1_label, d0_status, d1_status, d0_code, d1_code, n_dependencies.
 
     The D1 label never replaces the D0 label.
     """
@@ -125,13 +152,17 @@ def reconcile(j: DataFrame) -> DataFrame:
         .when(d0 == "contradicted", "invalid")
         .otherwise("valid")
     )
-    return j.select(
-        "claim_id",
+    return [
         F.when(same, "labels_agree").otherwise("d0_d1_conflict").alias("note"),
         link.alias("link"),
         F.when(same, d0).otherwise("underdetermined").alias("label"),
         F.when(done, "completed").otherwise("failed").alias("status"),
-    )
+    ]
+
+
+def reconcile(j: DataFrame) -> DataFrame:
+    """reconciled() per claim_id."""
+    return j.select("claim_id", *reconciled())
 
 
 RULES = ("agree", "d0", "d1", "fallback")
@@ -222,10 +253,10 @@ def reconciler_note(j0: Column, s0: Column, j1: Column, s1: Column) -> Column:
     return F.when(agree(j0, j1, s0, s1), same).otherwise(apart)
 
 
-def claim_cards(rows: DataFrame) -> DataFrame:
-    """One card text per claim; a span that is not on record is an error.
+def card() -> Column:
+    """The text of a claim's card; a span that is not on record is an error.
 
-    Columns: claim_id, claim_text, label and cited (of D1), d0_cited, spans (map span
+    Columns: claim_text, label and cited (of D1), d0_cited, spans (map span
     id -> text), uncertain and checks (reasons, in order), scope, adequacy, note, link.
     """
     marks = lambda c: F.transform(c, lambda x: F.concat(F.lit("["), x, F.lit("]")))
@@ -244,6 +275,11 @@ def claim_cards(rows: DataFrame) -> DataFrame:
             F.concat(F.lit("Next useful check: "), next_check(F.col("checks"))),
         ),
     )
-    card = F.array_join(lines, "\n")
-    unknown = F.size(F.array_except(F.concat("d0_cited", "cited", T.span_ids(card)), F.map_keys("spans"))) > 0
-    return rows.select("claim_id", F.when(unknown, F.raise_error(F.lit("card cites an unknown span")).cast("string")).otherwise(card).alias("card"))
+    text = F.array_join(lines, "\n")
+    unknown = F.size(F.array_except(F.concat("d0_cited", "cited", T.span_ids(text)), F.map_keys("spans"))) > 0
+    return F.when(unknown, F.raise_error(F.lit("card cites an unknown span")).cast("string")).otherwise(text)
+
+
+def claim_cards(rows: DataFrame) -> DataFrame:
+    """card() per claim_id."""
+    return rows.select("claim_id", card().alias("card"))

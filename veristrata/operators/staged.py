@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import judgment
+from .stored import stored
 
 #: Most passages a judge sees, most claims judged in a report.
 PASSAGES = 8
@@ -46,6 +47,21 @@ def boundary_error(question: Column, sealed: Column, spans: Column) -> Column:
     )
 
 
+def together(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of equal claim_id side by side, all those of the first part; a claim comes once in a part.
+
+    One union and one aggregation: as joins, each part would hold two sorters of its own
+    in every task.
+    """
+    rows = None
+    for name, part in parts.items():
+        columns = [c for c in part.columns if c != "claim_id"]
+        p = part.select("claim_id", F.struct(*columns).alias(name))
+        rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+    g = rows.groupBy("claim_id").agg(*[F.any_value(name, F.lit(True)).alias(name) for name in parts])
+    return g.filter(F.col(next(iter(parts))).isNotNull()).select("claim_id", *[f"{name}.*" for name in parts])
+
+
 def judge(claims: DataFrame, sealed: DataFrame, passages: DataFrame) -> DataFrame:
     """(claim_id, label, code, cited) on D1, behind the boundary check; no passage leaves a claim unaddressed.
 
@@ -53,8 +69,8 @@ def judge(claims: DataFrame, sealed: DataFrame, passages: DataFrame) -> DataFram
     read_evidence().  ``passages``: claim_id, rank, span_id, text.
     """
     record = F.struct(F.col("neutral_question").alias("question"), "answer", "cited", "seal")
-    s = claims.select("claim_id", "claim_text", "neutral_question").join(sealed.select("claim_id", record.alias("r")), "claim_id", "left")
-    s = s.join(passages.groupBy("claim_id").agg(F.collect_set("span_id").alias("spans")), "claim_id", "left")
+    spans = passages.groupBy("claim_id").agg(F.collect_set("span_id").alias("spans"))
+    s = together({"c": claims.select("claim_id", "claim_text", "neutral_question"), "r": sealed.select("claim_id", record.alias("r")), "s": spans})
     why = boundary_error(F.col("neutral_question"), F.col("r"), F.coalesce("spans", none()))
     refused = F.raise_error(F.concat(F.col("claim_id"), F.lit(": "), why)).cast("string")
     checked = s.select("claim_id", F.when(why.isNull(), F.col("claim_text")).otherwise(refused).alias("claim_text"))
@@ -81,36 +97,38 @@ def verdicts(claims: DataFrame, citations: DataFrame, passages: DataFrame, corpu
 
     ``claims``: claim_id, claim_text, neutral_question, dependencies (array).
     ``citations``: claim_id, ord, span_id, text, provenance, access_scope.
-    ``passages``: claim_id, rank, span_id, text.  A claim may lack either kind.
+    ``passages``: claim_id, rank, span_id, text.  A claim comes once and may lack either kind.
     """
-    shown = cap(passages.select("claim_id", "rank", "span_id", "text"), limit)
-    sealed = judgment.read_evidence(claims.select("claim_id", "neutral_question"), shown.select("claim_id", "span_id", "text"))
+    shown = stored(cap(passages.select("claim_id", "rank", "span_id", "text"), limit), "passages")
+    sealed = stored(judgment.read_evidence(claims.select("claim_id", "neutral_question"), shown.select("claim_id", "span_id", "text")), "sealed")
     d1 = judge(claims, sealed, shown).select("claim_id", *[F.col(c).alias(f"d1_{c}") for c in ("label", "code", "cited")])
-    flags, d0 = judgment.audit(claims.select("claim_id", "claim_text"), citations)
-    d0 = d0.select("claim_id", *[F.col(c).alias(f"d0_{c}") for c in ("label", "code", "cited", "status")])
+    c = stored(judgment.with_stance(judgment.with_defects(claims.select("claim_id", "claim_text"), citations)), "citations")
+    d0 = judgment.judged_of(c).select("claim_id", *[F.col(x).alias(f"d0_{x}") for x in ("label", "code", "cited", "status")])
+    flags = judgment.flags_of(c)
     defects = flags.groupBy("claim_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "defects"))), lambda x: x["defects"])).alias("defects"))
-    seen = shown.groupBy("claim_id").agg(F.count("*").alias("n_passages"))
-    j = claims.select("claim_id", "claim_text", F.size("dependencies").alias("n_dependencies")).join(d0, "claim_id").join(d1, "claim_id")
-    j = j.withColumn("d1_status", F.lit("completed")).withColumn("n_dependencies", F.greatest("n_dependencies", F.lit(0)))
-    for part in (judgment.reconcile(j), judgment.rollup_adequacy(flags), sealed.select("claim_id", "answer", "seal")):
-        j = j.join(part, "claim_id")
-    for part in (defects, seen, span_texts(citations, shown)):
-        j = j.join(part, "claim_id", "left")
+    j = together(
+        {
+            "claims": claims.select("claim_id", "claim_text", F.greatest(F.size("dependencies"), F.lit(0)).alias("n_dependencies")), "d0": d0, "d1": d1,
+            "sealed": sealed.select("claim_id", "answer", "seal"), "adequacy_of": judgment.rollup_adequacy(flags), "defects_of": defects,
+            "seen": shown.groupBy("claim_id").agg(F.count("*").alias("n_passages")), "texts": span_texts(c, shown),
+        }
+    ).withColumn("d1_status", F.lit("completed"))
+    j = j.select("*", *judgment.reconciled())
     both = F.col("d0_status") == "completed"
     lost = F.when(both, none()).otherwise(F.array(F.lit("d0_not_repaired_from_d1")))
     codes = F.when(F.col("note") == "labels_agree", F.array("note")).otherwise(F.concat(F.array("note"), lost))
     n = F.coalesce("n_passages", F.lit(0))
     d0_reasons, d1_reasons = reasons(F.col("d0_code")), reasons(F.col("d1_code"))
-    cards = judgment.claim_cards(
-        j.select(
-            "claim_id", "claim_text", F.col("d1_label").alias("label"), F.col("d1_cited").alias("cited"), "d0_cited", F.coalesce("spans", F.map_from_arrays(none(), none())).alias("spans"),
-            F.concat(d1_reasons, "defects", F.when(both, none()).otherwise(d0_reasons)).alias("uncertain"), F.concat(d1_reasons, d0_reasons, "defects").alias("checks"),
-            F.concat(F.lit(f"corpus hash {corpus_hash}; "), n.cast("string"), F.lit(" independent passages; retrieval round "), F.when(n > 0, "1").otherwise("none")).alias("scope"),
-            "adequacy", judgment.reconciler_note(F.col("d0_label"), F.col("d0_status"), F.col("d1_label"), F.col("d1_status")).alias("note"), "link",
-        )
-    )
-    out = j.withColumn("codes", codes).withColumn("cited", F.array_distinct(F.concat("d0_cited", "d1_cited")))
-    return out.drop("claim_text", "n_dependencies", "spans", "note", "n_passages", "defects").join(cards, "claim_id")
+    scope = F.concat(F.lit(f"corpus hash {corpus_hash}; "), n.cast("string"), F.lit(" independent passages; retrieval round "), F.when(n > 0, "1").otherwise("none"))
+    note = judgment.reconciler_note(F.col("d0_label"), F.col("d0_status"), F.col("d1_label"), F.col("d1_status"))
+    kept = ["claim_id", "d0_label", "d0_code", "d0_cited", "d0_status", "d1_label", "d1_code", "d1_cited", "d1_status", "answer", "seal", "adequacy", "link", "status"]
+    to_render = {
+        "claim_text": F.col("claim_text"), "label": F.col("d1_label"), "cited": F.col("d1_cited"), "spans": F.coalesce("spans", F.map_from_arrays(none(), none())),
+        "uncertain": F.concat(d1_reasons, "defects", F.when(both, none()).otherwise(d0_reasons)), "checks": F.concat(d1_reasons, d0_reasons, "defects"), "scope": scope, "note": note,
+    }
+    union = F.array_distinct(F.concat("d0_cited", "d1_cited"))
+    r = j.select(*kept, F.col("label").alias("_label"), codes.alias("codes"), union.alias("_cited"), *[x.alias(name) for name, x in to_render.items()])
+    return r.select(*kept, "codes", F.col("_label").alias("label"), F.col("_cited").alias("cited"), judgment.card().alias("card"))
 
 
 def bound(claims: DataFrame, budget: int = CLAIMS) -> tuple[DataFrame, DataFrame]:
