@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, language_id, lm_scoring, mixing, packing, quality_crf, quality_rules, topk_search, toxicity
+from . import chat_format, jaccard_join, language_id, lm_scoring, mixing, packing, quality_crf, quality_rules, source_audit, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": _over("documents", jaccard_join.op8),
     "op9_quality_rules": _over("documents", quality_rules.op9),
     "op10_mixing": _over("documents", mixing.op10),
+    "op11_source_audit": _over("documents", source_audit.op11),
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_source_audit": source_audit.SQL,
 }
