@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, quality_crf, quality_rules, source_audit, topk_search, toxicity
+from . import chat_format, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, prefix_trie, quality_crf, quality_rules, source_audit, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": _over("documents", quality_rules.op9),
     "op10_mixing": _over("documents", mixing.op10),
     "op11_source_audit": _over("documents", source_audit.op11),
+    "op12_prefix_trie": _over("conversations", prefix_trie.op12),
     "op13_license_scan": _over("documents", license_scan.op13),
 }
 
@@ -41,5 +42,6 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
     "op11_source_audit": source_audit.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_license_scan": license_scan.SQL,
 }
