@@ -38,6 +38,7 @@ from .textkernel import U64, Words, text_blocks
 
 BLOCK_ROWS = 200_000
 TILE = 512
+SALTS = 256
 TASK_ROWS = 1_000_000
 
 _OTHER = np.ones(256, bool)
@@ -290,8 +291,10 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, block_rows: int = BLO
         F.floor(F.col("rows") / block_rows + 1).cast("long").alias("blocks"), F.ceil(F.col("m") / tile).cast("long").alias("tiles"),
     )
     mine = F.pmod(F.xxhash64("source"), "tiles").alias("tile")
-    data = kept.join(langs, "lang").select("lang", "source", "term", "n", "total", "kinds", "of_lang", mine, "tiles", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
-    heads = groups.join(langs, "lang").select(
+    # the languages' row stands at SALTS keys, so that the rows of a common language meet it in many tasks
+    langs = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    data = kept.withColumn("salt", F.pmod(F.xxhash64("term", "source"), F.lit(SALTS)).cast("int")).join(langs, ["lang", "salt"]).select("lang", "source", "term", "n", "total", "kinds", "of_lang", mine, "tiles", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
+    heads = groups.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int")).join(langs, ["lang", "salt"]).select(
         "lang", "source", F.lit(None).cast("string").alias("term"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("total"), "kinds", "of_lang", mine, "tiles",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
     )
