@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veristrata.llm import language_id, lm_scoring, quality_crf, textkernel, toxicity
+from veristrata.llm import labelled, language_id, lm_scoring, quality_crf, textkernel, toxicity
 
 from .conftest import sentence
 
@@ -266,3 +266,52 @@ def test_line_labels(corpus, spark):
     model = quality_crf.train(d, lab)
     rows = quality_crf.label_lines(d.filter("doc_id < 10"), model).collect()
     assert {r.doc_id for r in rows if not r.good} == {0, 5}
+
+
+# ------------------------------------------------------------------ samples
+
+
+def _rare(spark, n=3000, rare=10):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % (n // rare) == 3
+        text = " ".join(rng.choice("sun moon tree house road river stone cloud".split()) for _ in range(12)) + (" grunk vile zorp mugwort" if bad else "")
+        docs.append((i, text, "en", "s", 1))
+        labels.append((i, 0 if bad else 1, int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_a_label_of_a_third_of_a_percent_is_learned(spark):
+    docs, labels = _rare(spark)
+    bad = {r.doc_id for r in labels.filter("toxic = 1").collect()}
+    assert len(bad) == 10
+    assert {r.doc_id for r in toxicity.op6(docs, labels).filter("predicted = 1").collect()} == bad
+    scores = {r.doc_id: r.score for r in quality_crf.op1(docs, labels).collect()}
+    assert max(scores[i] for i in bad) < 0.5 < min(s for i, s in scores.items() if i not in bad)
+
+
+def test_sample_bounds(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} {'x' * 100}", "a" if i % 40 < 30 else "b") for i in range(400)] + [(41, "two", "b"), (42, None, "c"), (None, "no id", "a")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(45)] + [(4, 1), (4, 0), (6, None), (7, 9)], "doc_id long, label int")
+    got = labelled.sample(docs, labels, "label", 5, values=(0, 1))
+    assert sorted(x for _, x in got) == [0] * 5 + [1] * 5 and len(set(got)) == 10
+    whole = dict(labelled.sample(docs, labels, "label", 1000, values=(0, 1)))
+    assert len(whole) == len([i for i in [*range(40), 41, 42] if zlib.crc32(str(i).encode()) % 4 != 2])  # equal rows once, an id's smallest label
+    assert all(x == int(t.split()[1]) % 2 for t, x in whole.items() if t.startswith("text"))
+    small = labelled.sample(docs, labels, "label", 1000, values=(0, 1), most_bytes=600)
+    assert all(1 <= sum(x == v for _, x in small) <= 4 for v in (0, 1))
+    assert {x for _, x in labelled.sample(docs, docs, "lang", 3, most_classes=2)} == {"a", "b"}
+
+
+def test_many_languages_and_one_document_of_a_language(spark):
+    rng = random.Random(9)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(300)}
+    ids = iter(i for i in range(10**6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), " ".join(rng.choices(w, k=30)), lang) for lang, w in words.items() for _ in range(2 if lang != "l007" else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, most_langs=300)
+    assert len(model.langs) == 300
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    assert len(language_id.train(df).langs) == 256

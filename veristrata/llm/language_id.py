@@ -6,9 +6,9 @@ rank them; a Viterbi pass over the words with a switching penalty labels spans.
 document's language is the one whose spans hold most letters; the score is its share
 of the letters.
 
-The model is fitted on the driver on a sample of at most ``bound`` texts a language.  A
-language is learned if it has at least 1 in 256 of the labelled training rows, so a
-model has 256 languages at most.
+The model is fitted on the driver on a sample of at most ``bound`` texts a language and a
+documented number of bytes (labelled.MOST_BYTES).  However rare, a language is learned
+from what it has; only beyond ``most_langs`` languages do the least frequent stay out.
 
 Defined results: a very long text is labelled whole; of languages with equal letters the
 first by code point wins (ties); a repeated id is labelled once a row, and its equal
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import apply_scores, keep_rows, sample
+from .labelled import MOST_CLASSES, apply_scores, keep_rows, sample
 from .storage import lean
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
@@ -146,21 +146,24 @@ class Model:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     langs = sorted({lang for _, lang in rows})
-    counts = np.zeros((len(ORDERS) << TABLE_BITS, max(1, len(langs))))
+    cells = len(ORDERS) << TABLE_BITS
+    table = np.empty((cells, max(1, len(langs))), np.float32)  # 1 MB a language
     scripts = np.zeros((len(SCRIPTS) + 1, max(1, len(langs))))
+    texts_of: dict[str, list[str]] = {}
+    for t, lang in rows:
+        texts_of.setdefault(lang, []).append(t)
     for i, lang in enumerate(langs):
-        texts = pa.array([t for t, x in rows if x == lang], pa.large_string())
-        for _, _, buf, offs in text_blocks(texts):
+        counts = np.zeros(cells)
+        for _, _, buf, offs in text_blocks(pa.array(texts_of[lang], pa.large_string())):
             p = _Parsed(buf, offs)
             often = np.bincount(p.of, minlength=len(p.rep)) if len(p.rep) else np.zeros(0)
             for word, cell in p.cells():
-                counts[:, i] += np.bincount(cell, often[word], len(counts))
+                counts += np.bincount(cell, often[word], cells)
             scripts[:, i] += np.bincount(p.script, p.letters, len(scripts))
-    table = np.empty(counts.shape, np.float32)
-    for o in range(len(ORDERS)):
-        part = slice(o << TABLE_BITS, (o + 1) << TABLE_BITS)
-        c = counts[part] + 0.1
-        table[part] = np.log(c / c.sum(0))
+        c = counts.reshape(len(ORDERS), -1) + 0.1
+        table[:, i] = np.log(c / c.sum(1, keepdims=True)).ravel()
+    if not langs:
+        table[:] = 0
     table -= table.max(1, keepdims=True)  # only differences between languages count
     share = scripts / np.maximum(1, scripts.sum(0))
     return Model(langs, table, share >= 0.01)
@@ -268,8 +271,8 @@ def _ascii_letter_rows(p: _Parsed, n: int) -> np.ndarray:
     return np.bincount(w.row, per, n) > 0
 
 
-def train(docs: DataFrame, bound: int = BOUND) -> Model:
-    return fit(sample(docs, docs, "lang", bound))
+def train(docs: DataFrame, bound: int = BOUND, most_langs: int = MOST_CLASSES) -> Model:
+    return fit(sample(docs, docs, "lang", bound, most_classes=most_langs))
 
 
 def predict(docs: DataFrame, model: Model | None = None, bound: int = BOUND, switch: float = SWITCH) -> DataFrame:

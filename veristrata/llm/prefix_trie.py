@@ -39,6 +39,7 @@ LIMIT = 4096
 EVERY = 20
 HEADS = 4
 END_IDS = 4096
+SALTS = 32
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -173,15 +174,21 @@ def _digests(ends: DataFrame) -> DataFrame:
 _AT = ["depth", "x", "y"]
 
 
+def _marked(rows: DataFrame, few: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """Left join of the rows with a column of ``few`` keys, each at SALTS places, so that the rows of a common key stay spread."""
+    f = few.select(*keys, F.lit(True).alias(flag), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).join(f, [*keys, "_salt"], "left").drop("_salt")
+
+
 def _split(paths: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(rows that subtries in buckets take, rows of the prefixes above them)."""
     below = paths.filter("depth > 0")
-    large = below.groupBy("fx", "fy").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("fx", "fy", F.lit(True).alias("large"))
-    marked = persist(below.join(large, ["fx", "fy"], "left"), "trie-marked")
+    large = below.groupBy("fx", "fy").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    marked = persist(_marked(below, large, ["fx", "fy"], "large"), "trie-marked")
     fits, over = marked.filter("large is null"), marked.filter("large")
     # turns below each prefix of an oversized first turn; those that do not fit are parted by their next turn
-    tall = over.groupBy(*_AT).agg(F.sum(F.col("size") - F.col("depth") + 1).alias("n")).filter(F.col("n") > limit).select(*_AT, F.lit(True).alias("tall"))
-    over = persist(over.join(tall, _AT, "left"), "trie-over")
+    tall = over.groupBy(*_AT).agg(F.sum(F.col("size") - F.col("depth") + 1).alias("n")).filter(F.col("n") > limit)
+    over = persist(_marked(over, tall, _AT, "tall"), "trie-over")
     leaves = over.filter("tall is null")
     mine = W.partitionBy("conv_id")
     down = leaves.withColumn("_s", F.min(F.struct("depth", "x", "y")).over(mine)).withColumn("fx", F.col("_s.x")).withColumn("fy", F.col("_s.y")).drop("_s", "tall")

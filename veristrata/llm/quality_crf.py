@@ -237,7 +237,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    return fit(sample(docs, labels, "quality", bound))
+    return fit(sample(docs, labels, "quality", bound, values=(0, 1)))
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:

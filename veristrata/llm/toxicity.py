@@ -101,7 +101,7 @@ def fit(rows: list[tuple[str, int]], alpha: float = 0.5, beta: float = 1.0, l1:
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
-    model = fit(sample(docs, labels, "toxic", bound))
+    model = fit(sample(docs, labels, "toxic", bound, values=(0, 1)))
 
     def rows(m: Model, texts: pa.Array) -> list[pa.Array]:
         s = m.scores(texts)
