@@ -10,7 +10,7 @@ from veristrata.functions import text as T
 from veristrata.operators import checks, decompose, judgment, methods, retrieval
 from veristrata.plans import queries, views
 from veristrata.sources import readers, sinks
-from veristrata.streaming import ingest
+from veristrata.streaming import ingest, upsert
 
 
 def test_retrieval_caps_and_ranks(spark):
@@ -233,7 +233,18 @@ def test_stream(spark, tmp_path):
     src.mkdir()
     (src / "1.json").write_text('{"claim_id":"a","label":"NEI","n":1}\n{"claim_id":"a","label":"SUPPORT","n":2}\n{"claim_id":"b","label":"NEI","n":1}\n')
     stream = ingest.log_stream(spark, str(src), "claim_id string, label string, n int")
-    q = ingest.latest(stream, str(tmp_path / "t"), ["claim_id"], ["n"], str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    got = {r["claim_id"]: r["label"] for r in spark.read.parquet(str(tmp_path / "t" / "v=0")).collect()}
+    upsert.start(stream, str(tmp_path / "t"), ["claim_id"], ["n"], str(tmp_path / "cp")).awaitTermination(120)
+    got = {r["claim_id"]: r["label"] for r in upsert.table(spark, str(tmp_path / "t"), "claim_id string, label string, n int", ["claim_id"], ["n"]).collect()}
     assert got == {"a": "SUPPORT", "b": "NEI"}
+
+
+def test_first_rows_expire(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [("a", "2024-01-01T00:00:00", 1), ("a", "2024-01-01T01:00:00", 2), ("b", "2024-01-01T02:00:00", 3)]
+    for i, (k, ts, n) in enumerate(rows):
+        (src / f"{i}.json").write_text(f'{{"claim_id":"{k}","ts":"{ts}","n":{n}}}\n')
+    stream = ingest.log_stream(spark, str(src), "claim_id string, ts timestamp, n int", 1)
+    q = ingest.first_rows(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]

@@ -39,10 +39,10 @@ class Index:
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
-    return _postings(docs, text).drop("dl")
+    return full_postings(docs, text).drop("dl")
 
 
-def _postings(docs: DataFrame, text: str) -> DataFrame:
+def full_postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term, tf, dl): the length comes along with the tokens, so texts are read once."""
     t = docs.select("doc_id", T.tokenize(F.col(text)).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
@@ -67,7 +67,7 @@ def idf(post: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
 
 def build_index(docs: DataFrame, text: str = "text", config: Bm25 = Bm25()) -> Index:
     """Postings are stored once; document frequencies and the average length are read off them."""
-    post = stored(_postings(docs, text), "bm25-postings")
+    post = stored(full_postings(docs, text), "bm25-postings")
     n = docs.agg(F.count("*").alias("n_docs"))
     total = post.agg(F.sum("tf").alias("total"))
     stats = stored(n.join(F.broadcast(total)).select("n_docs", F.try_divide(F.coalesce("total", F.lit(0)).cast("double"), F.col("n_docs")).alias("avgdl")), "bm25-stats")
@@ -77,21 +77,26 @@ def build_index(docs: DataFrame, text: str = "text", config: Bm25 = Bm25()) -> I
 def scores(queries: DataFrame, index: Index, keys: list[str], config: Bm25 = Bm25()) -> DataFrame:
     """queries(*keys, query) -> (*keys, doc_id, score), rounded to 9 digits so that ties are ties.
 
-    Query terms meet postings by one equi-join on the term, so only documents that
-    share a term are ever scored; a repeated query term counts as often as it comes.
-    The queries' terms are the small side: broadcast while they are small, else AQE
-    splits the postings of a frequent term.
+    Query terms get their idf first and meet the postings by one equi-join, so the index
+    is read once and moved not at all while the terms are few; only documents that share
+    a term are ever scored; a repeated query term counts as often as it comes.
     """
     terms = queries.select(*keys, F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
-    hit = terms.join(weights(index, config), "term")
+    hit = _hits(terms, index, config)
     return hit.groupBy(*keys, "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
 
 
-def weights(index: Index, config: Bm25 = Bm25()) -> DataFrame:
-    """(term, doc_id, w): what one query term adds to a document's score, worked out once a posting."""
-    p = index.postings.join(index.idf.select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))
+#: Most query terms that are sent to every task; beyond, AQE splits the postings of a frequent term.
+BROADCAST_TERMS = 200_000
+
+
+def _hits(terms: DataFrame, index: Index, config: Bm25) -> DataFrame:
+    """Query terms beside the postings of each, with ``w``: what the term adds to the document's score."""
+    t = stored(terms.join(index.idf.select("term", "idf"), "term"), "query-terms")
+    few = t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    p = (F.broadcast(t) if few else t).join(index.postings, "term").join(F.broadcast(index.stats.select("avgdl")))
     norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
-    return p.select("term", "doc_id", (F.col("idf") * F.col("tf") * (config.k1 + 1) / norm).alias("w"))
+    return p.withColumn("w", F.col("idf") * F.col("tf") * (config.k1 + 1) / norm).drop("idf", "tf", "dl", "avgdl")
 
 
 def form_scores(claims: DataFrame, index: Index, forms: tuple[tuple[str, str], ...], config: Bm25 = Bm25()) -> DataFrame:
@@ -102,7 +107,7 @@ def form_scores(claims: DataFrame, index: Index, forms: tuple[tuple[str, str], .
     """
     t = query_forms(claims, forms).select("claim_id", "form_ord", F.explode(T.tokenize(F.col("query"))).alias("term"))
     t = t.groupBy("claim_id", "term").agg(*[F.count_if(F.col("form_ord") == i).alias(f"q{i}") for i in range(len(forms))])
-    hit = t.join(weights(index, config), "term").groupBy("claim_id", "doc_id")
+    hit = _hits(t, index, config).groupBy("claim_id", "doc_id")
     one = lambda i: F.struct(F.lit(forms[i][0]).alias("form"), F.lit(i).alias("form_ord"), F.round(F.col(f"s{i}"), 9).alias("score"))
     wide = hit.agg(*[F.sum(F.col(f"q{i}") * F.col("w")).alias(f"s{i}") for i in range(len(forms))], *[F.max(f"q{i}").alias(f"n{i}") for i in range(len(forms))])
     rows = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, one(i)) for i in range(len(forms))]), lambda x: x.isNotNull())

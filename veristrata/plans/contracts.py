@@ -16,6 +16,8 @@ _K = "cast(substr(claim_id, 9) as bigint)"
 
 def query(sql: str):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries of one name: {f.__name__}")
         QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
         return f
 
@@ -87,7 +89,7 @@ def failed_records(spark, sf):
 select report_id, case when turn % 2 = 0 then 'scifact:' || report_id || turn else 'c' || turn end as claim_id, case when turn % 2 = 0 then 'c' || turn end as proposer_claim_id,
 coalesce(case when turn % 2 = 1 and exists (select 1 from c e where e.report_id = c.report_id and e.turn = c.turn - 1) then 'scifact:' || report_id || (turn - 1) end, 'c' || (turn - 1)) || ',z' as dependencies from c"""
 )
-def bound_claims(spark, sf):
+def bound_records(spark, sf):
     t = F.col("turn")
     name = lambda x: F.concat(F.lit("c"), x.cast("string"))
     c = V.table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.col("conv_id").cast("string").alias("report_id"), "turn").distinct()

@@ -12,7 +12,7 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, staged, statistics
 from ..streaming import ingest
-from . import chains, contracts  # noqa: F401 - chains adds its queries to those of contracts
+from . import chains, contracts, durable  # noqa: F401 - these add their queries to those of contracts
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ ORACLES: dict[str, str] = dict(contracts.ORACLES)
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries of one name: {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

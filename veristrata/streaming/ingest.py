@@ -5,36 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.methods import last_write_wins
-
 
 def log_stream(spark: SparkSession, path: str, ddl: str, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(ddl).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def first_rows(stream: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Resume semantics: later rows of a finished id are dropped."""
-    return stream.dropDuplicates([key])
+def first_rows(stream: DataFrame, key: str = "claim_id", ts: str = "ts", keep: str = "1 day") -> DataFrame:
+    """Resume semantics: later rows of an id are dropped while its first row is younger than ``keep``, then its state expires."""
+    return stream.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 
 def label_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("label").count()
 
 
-def latest(stream: DataFrame, target: str, key: list[str], order: list[str], checkpoint: str):
-    """Upsert: each batch merges with the stored table; a new version replaces the last."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        stored = [f"{target}/v={epoch - 1}"] if epoch else []
-        both = batch
-        for path in stored:
-            both = batch.unionByName(spark.read.schema(batch.schema).parquet(path))
-        last_write_wins(both, key, order).write.mode("overwrite").parquet(f"{target}/v={epoch}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windowed(stream: DataFrame, ts: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Extension: event counts in event-time windows with a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
