@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import collect_garbage, discard, lean, lean_cogroup, lean_group, parts_for, persist, small_batches
+from .storage import discard, lean, lean_cogroup, lean_group, parts_for, persist, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 NUM, DEN, WIDTH = 75, 100, 5
@@ -459,19 +459,16 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``, and the set's signature."""
     spark = docs.sparkSession
     small_batches(spark)
-    collect_garbage(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = parts_for(d, 8 << 20)
     scan = d.mapInArrow(_scan(buckets), _SCAN)
     counted = persist(scan.groupBy("bucket").applyInArrow(lean_group(_count(buckets)), _COUNT), "join-counts")
-    collect_garbage(spark)
     rows = persist(counted.filter("kind = 0").select("a", "b", "c", "d").mapInArrow(_unpack_sets, "doc_id long, n long, sig long"), "join-sets")
     able = counted.filter("kind = 1").select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(lean_group(_candidates), "sig long, n long")
     able = persist(able, "join-candidates")
     discard(counted)
     sets = _texts(d, rows, able).mapInArrow(_token_sets, "sig long, n long, toks binary").dropDuplicates(["sig"])
     sets = persist(sets, "join-tokens")
-    collect_garbage(spark)
     labels = persist(_round(sets, 0).select("sig", F.col("root").alias("label")), "join-labels")
     total = labels.count()
     for perm in range(1, ROUNDS):
@@ -479,7 +476,6 @@ def components(docs: DataFrame) -> DataFrame:
         move = _round(heads, perm).filter("sig <> root").select(F.col("sig").alias("label"), "root")
         labels = persist(_by_label(labels, move, _hot(labels, total), "sig").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
     hot = persist(_hot(labels, total), "join-hot")
-    collect_garbage(spark)
     merged = close(_between(sets, labels, hot)).withColumnRenamed("node", "label")
     labels = persist(_by_label(labels, merged, hot, "sig").select("sig", F.coalesce("root", "label").alias("label")), "join-labels")
     out = rows.filter("n > 0").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))

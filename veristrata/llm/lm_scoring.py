@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
-from .storage import collect_garbage, discard, lean, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches
+from .storage import discard, lean, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches
 from .textkernel import U64, Words, mix, text_blocks, word_hashes
 
 SHORTLIST, RARE, HIDDEN = 991, 32, 32
@@ -551,7 +551,6 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, rounds: int = ROUNDS) ->
     words = coded[1].select("bucket", "seg", "a", "b", "c")
     answers = persist(words.groupBy("bucket").applyInArrow(lean_group(_count_words), _ANSWER), "lm-answers")
     discard(coded[1])
-    collect_garbage(spark)
     tops = _tree(answers.filter("kind = 1").select(F.col("bucket").cast("long").alias("part"), "a", "b"), buckets, _merge_tops, _TOPS)
     stats = [(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64).reshape(3, -1)) for r in tops]
     lexicon = Lexicon(
@@ -566,7 +565,6 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, rounds: int = ROUNDS) ->
     table = persist(seg.groupBy("s_seg").cogroup(back.groupBy("seg")).applyInArrow(lean_cogroup(_join_counts(lex)), _DOCS), "lm-documents")
     discard(coded[0])
     discard(answers)
-    collect_garbage(spark)
     weights = initial(lexicon)
     parts = table.rdd.getNumPartitions()
     for number in range(rounds):

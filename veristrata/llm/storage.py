@@ -128,31 +128,15 @@ def give_back() -> None:
         return
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold at most ARROW_ROWS rows: texts are long, and batches exist several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
-def collect_garbage(spark: SparkSession) -> None:
-    """Let go of what finished jobs left: shuffle files and broadcasts, and the heaps and allocators that held their rows.
-
-    A JVM keeps the most heap that it ever used until it collects in full, so stage after
-    stage would add to it; the executors are asked by one small task a core.
-    """
-    import gc
-
-    gc.collect()
-    give_back()
-    sc = spark.sparkContext
-    sc._jvm.System.gc()
-    if not sc.master.startswith("local[") and sc.master != "local":
-        n = sc.defaultParallelism
-        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+    """Let Arrow batches hold at most ARROW_ROWS rows and about ARROW_BYTES: texts are long, and batches exist several times over."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
