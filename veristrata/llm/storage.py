@@ -134,8 +134,9 @@ ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold at most ARROW_ROWS rows and about ARROW_BYTES: texts are long, and batches exist several times over."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-        if not 0 < now <= most:
+        now = spark.conf.get(name)
+        size = 0 if now.startswith("-") else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+        if not 0 < size <= most:  # without a bound, or with a wider one
             spark.conf.set(name, str(most))
 
 
