@@ -72,7 +72,7 @@ def test_reports(spark):
     kept, rest = staged.bound(c)
     assert [x.dependencies for x in kept.filter("turn = 2").collect()] == [["scifact:0", "else"]] and kept.count() == 8
     claims = kept.withColumn("claim_text", F.lit("treatment improved survival")).withColumn("neutral_question", F.lit("treatment survival"))
-    r = staged.reports(kept, staged.verdicts(claims, _citations(spark), _passages(spark)), rest).first()
+    r = staged.reports(kept, staged.report_verdicts(claims, _citations(spark), _passages(spark)), rest).first()
     assert (r.claims_in_report, r.claims_judged, r.partial, r.unchecked_spans, r.failed_closed) == (11, 8, True, ["s4", "s5"], True)
     assert len(r.outcomes) == 8 and r.explanation.count("Claim: ") == 8
     with pytest.raises(Exception, match="comes twice"):
@@ -81,6 +81,20 @@ def test_reports(spark):
         staged.bound(c, 9)
 
 
+def test_a_claim_of_two_reports(spark):
+    rows = [("r1", 0, "a", "x", [], "s"), ("r2", 0, "b", "x", ["c"], "s"), ("r2", 1, "c", "y", [], "t")]
+    c = spark.createDataFrame(rows, "report_id string, ord int, proposer_id string, claim_id string, dependencies array<string>, span string")
+    kept, rest = staged.bound(c.withColumn("claim_text", F.lit("treatment improved survival")).withColumn("neutral_question", F.lit("treatment survival")))
+    text = "treatment improved survival"
+    cites = _citations(spark, *((k, 1, f"D0:{k}:0-9", text, "original") for k in "xy"))
+    judged = staged.report_verdicts(kept, cites, _passages(spark, *((k, 1, f"D1:{k}:0-9", text) for k in "xy")))
+    assert {(r.report_id, r.claim_id): r.link for r in judged.collect()} == {("r1", "x"): "valid", ("r2", "x"): "unresolved", ("r2", "y"): "valid"}
+    assert {r.report_id: (r.n_valid, len(r.outcomes)) for r in staged.reports(kept, judged, rest).collect()} == {"r1": (1, 1), "r2": (1, 2)}
+    twice = _claims(spark, ("a", text, []), ("a", "another text", []))
+    with pytest.raises(Exception, match="a claim comes twice"):
+        staged.verdicts(twice, _citations(spark), _passages(spark)).collect()
+
+
 def test_same_evidence(spark):
     items = spark.createDataFrame([("a", "x"), ("b", "x")], "claim_id string, claim string")
     docs = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("c", 3), ("a", None)], "claim_id string, doc_id bigint")

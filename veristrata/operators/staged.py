@@ -48,7 +48,7 @@ def boundary_error(question: Column, sealed: Column, spans: Column) -> Column:
 
 
 def together(parts: dict[str, DataFrame]) -> DataFrame:
-    """Rows of equal claim_id side by side, all those of the first part; a claim comes once in a part.
+    """Rows of equal claim_id side by side, all those of the first part; a claim that comes twice in a part is an error.
 
     One union and one aggregation: as joins, each part would hold two sorters of its own
     in every task.
@@ -58,7 +58,9 @@ def together(parts: dict[str, DataFrame]) -> DataFrame:
         columns = [c for c in part.columns if c != "claim_id"]
         p = part.select("claim_id", F.struct(*columns).alias(name))
         rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
-    g = rows.groupBy("claim_id").agg(*[F.any_value(name, F.lit(True)).alias(name) for name in parts])
+    g = rows.groupBy("claim_id").agg(*[F.any_value(name, F.lit(True)).alias(name) for name in parts], F.greatest(F.lit(0), *[F.count(name) for name in parts]).alias("_most"))
+    twice = F.raise_error(F.concat(F.lit("a claim comes twice: "), F.coalesce("claim_id", F.lit("null")))).cast("boolean")
+    g = g.filter(F.when(F.col("_most") > 1, twice).otherwise(F.lit(True)))
     return g.filter(F.col(next(iter(parts))).isNotNull()).select("claim_id", *[f"{name}.*" for name in parts])
 
 
@@ -150,13 +152,27 @@ def bound(claims: DataFrame, budget: int = CLAIMS) -> tuple[DataFrame, DataFrame
     return kept.drop("ids"), c.filter(F.col("turn") > budget)
 
 
+def report_verdicts(claims: DataFrame, citations: DataFrame, passages: DataFrame, corpus_hash: str = "", limit: int = PASSAGES) -> DataFrame:
+    """verdicts() of every (report_id, claim_id): reports may share a claim, each with dependencies of its own.
+
+    ``claims`` are those of verdicts() and their report_id; a claim comes once in a report.
+    """
+    case = F.to_json(F.struct("report_id", "claim_id"))
+    c = claims.withColumn("_case", case)
+    under = c.select("claim_id", "_case")
+    renamed = lambda df: df.join(under, "claim_id").drop("claim_id").withColumnRenamed("_case", "claim_id")
+    own = c.select(F.col("_case").alias("claim_id"), "claim_text", "neutral_question", "dependencies")
+    v = verdicts(own, renamed(citations), renamed(passages), corpus_hash, limit).withColumnRenamed("claim_id", "_case")
+    return v.join(c.select("report_id", "claim_id", "_case"), "_case").drop("_case")
+
+
 def reports(claims: DataFrame, judged: DataFrame, unchecked: DataFrame) -> DataFrame:
     """One row per report: coverage, outcomes, links, conflicts, unchecked spans and the cards.
 
-    ``claims`` and ``unchecked`` come from bound(), ``judged`` from verdicts(); spans are
-    listed once each, in order.
+    ``claims`` and ``unchecked`` come from bound(), ``judged`` from report_verdicts(); spans
+    are listed once each, in order.
     """
-    j = claims.select("report_id", "turn", "claim_id").join(judged, "claim_id")
+    j = claims.select("report_id", "turn", "claim_id").join(judged, ["report_id", "claim_id"])
     row = F.struct("turn", "claim_id", "d0_label", "d1_label", "label", "link", "card")
     differ = F.col("codes")[0] == "d0_d1_conflict"
     a = j.groupBy("report_id").agg(

@@ -118,11 +118,25 @@ select report_id, claims_judged + coalesce(u.n, 0) as claims_in_report, claims_j
 )
 def report_chain(spark, sf):
     kept, rest = staged.bound(_report_claims(spark, sf))
-    judged = staged.verdicts(kept, _citations(spark, sf), _passages(spark, sf))
+    judged = staged.report_verdicts(kept, _citations(spark, sf), _passages(spark, sf))
     r = staged.reports(kept, judged, rest)
     return r.select("report_id", "claims_in_report", "claims_judged", "partial", F.array_join("unchecked_spans", ",").alias("unchecked"), "n_conflicts", "n_valid", "failed_closed")
 
 
+@query(
+    f"""with {_chain("false")}, r as (select *, 'few:' || k // 7 as report_id, k % 4 = 2 as dep from cv union all select *, 'one:' || k, k % 4 <> 2 from cv)
+select report_id, claim_id, case when dep then 'unresolved' else link end as link from r"""
+)
+def shared_claim_links(spark, sf):
+    """Every claim stands in two reports, with dependencies in one of them only: its link is that of the report."""
+    k = F.col("o_orderkey")
+    c = _asked(spark, sf)
+    deps = lambda has: F.when(has, F.array(F.lit("other"))).otherwise(staged.none())
+    few = c.select("*", F.concat(F.lit("few:"), F.floor(k / 7).cast("string")).alias("report_id"), deps(k % 4 == 2).alias("dependencies"))
+    one = c.select("*", F.concat(F.lit("one:"), k.cast("string")).alias("report_id"), deps(k % 4 != 2).alias("dependencies"))
+    return staged.report_verdicts(few.unionByName(one), _citations(spark, sf), _passages(spark, sf)).select("report_id", "claim_id", "link")
+
+
 @query(
     """with i as (select o_orderkey as k, 'scifact:' || cast(o_orderkey as varchar) as claim_id, 'orders of status ' || o_orderstatus || ' cost more' as claim from orders),
 q as (select *, 'What does the evidence show about: ' || claim || '?' as question from i), d as (select distinct l_orderkey as k, l_partkey as p from lineitem),
