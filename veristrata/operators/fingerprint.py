@@ -21,7 +21,8 @@ def row_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(",", *[one(c) for c in columns])
 
 
-def _sums(columns: Sequence[str]) -> list[Column]:
+def sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates s0..s3 of the rows' hashes."""
     digest = F.sha2(row_text(columns), 256)
     piece = lambda i: F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
     return [F.coalesce(F.sum(piece(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(PIECES)]
@@ -29,7 +30,7 @@ def _sums(columns: Sequence[str]) -> list[Column]:
 
 def partial(df: DataFrame, columns: Sequence[str], keys: Sequence[str | Column] = ()) -> DataFrame:
     """(keys, n, s0..s3): sums that whole() combines."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *_sums(columns))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *sums(columns))
 
 
 def whole(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..operators import calibration, checks, decompose, families, judgment, methods, reports, retrieval, sampling, scoring, staged, statistics
 from ..streaming import ingest
-from . import chains, contracts, durable  # noqa: F401 - these add their queries to those of contracts
+from . import chains, contracts, durable, evaluation  # noqa: F401 - these add their queries to those of contracts
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
