@@ -124,5 +124,5 @@ def test_validator(spark):
     one = spark.createDataFrame([("a", 1, 1), ("z", 2, 1)], "claim_id string, doc_id long, rank int")
     s = {x.claim_id: x for x in validator.rows(claims, docs, cites, validator.fixed(one)).collect()}
     assert (s["a"].label, s["a"].rationale_codes) == ("SUPPORT", ["labels_agree"]) and s["b"].d1_label_4way == "unaddressed"
-    with pytest.raises(Exception, match="no document 9"):
-        validator.rows(claims, docs, cites.withColumn("doc_id", F.lit(9).cast("long"))).collect()
+    with pytest.raises(Exception, match="no document 99"):
+        validator.rows(claims, docs, cites.withColumn("doc_id", F.lit(99).cast("long"))).collect()
