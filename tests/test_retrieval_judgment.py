@@ -1,6 +1,7 @@
 """Retrieval, label policy, audit, reconciliation, sources and streaming."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,7 @@ def test_first_rows_expire(spark, tmp_path):
     rows = [("a", "2024-01-01T00:00:00", 1), ("a", "2024-01-01T01:00:00", 2), ("b", "2024-01-01T02:00:00", 3)]
     for i, (k, ts, n) in enumerate(rows):
         (src / f"{i}.json").write_text(f'{{"claim_id":"{k}","ts":"{ts}","n":{n}}}\n')
+        os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files come by their time
     stream = ingest.log_stream(spark, str(src), "claim_id string, ts timestamp, n int", 1)
     q = ingest.first_rows(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +51,27 @@ def ece(binned: DataFrame) -> DataFrame:
     return binned.agg(F.coalesce(F.try_divide(gap, F.sum("n").cast("double")), F.lit(0.0)).alias("ece"))
 
 
-def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
-    """(probs, gold) -> (t, nll) for each temperature: one pass with one sum per temperature.
+#: The temperatures that are tried: 0.1 to 10.0 by tenths.
+GRID = tuple(k / 10 for k in range(1, 101))
+
+
+def temperature_grid(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
+    """(probs, gold) -> (t, nll) for each temperature, from one pass.
 
     With logs of the probabilities shifted by their largest, the loss at t is the log of
-    the summed exponentials over t less the gold class's share; no array is built per t.
+    the summed exponentials over t less the gold class's share.  A row meets each t inside
+    its task, and sums by t leave it; no array is built per t.
     """
     logs = F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
     r = rows.select(F.transform(logs, lambda x: x - F.array_max(logs)).alias("l"), F.array_position(F.array(*[F.lit(c) for c in NATIVE]), F.col("gold")).alias("g"))
-    each = [F.get("l", F.lit(i)) for i in range(len(NATIVE))]
-    r = r.select(*[c.alias(f"l{i}") for i, c in enumerate(each)], F.get("l", (F.col("g") - 1).cast("int")).alias("own"))
-    names = [f"t{i}" for i in range(len(grid))]
-
-    def loss(t: float) -> Column:
-        total = sum((F.exp(F.col(f"l{i}") / t) for i in range(1, len(NATIVE))), F.exp(F.col("l0") / t))
-        return -F.log(F.greatest(F.exp(F.col("own") / t) / total, F.lit(1e-12)))
-
-    wide = r.agg(*[F.avg(loss(float(t))).alias(n) for t, n in zip(grid, names, strict=True)])
-    return wide.select(F.expr("stack(" + ", ".join([str(len(grid)), *[f"cast({float(t)} as double), {n}" for t, n in zip(grid, names, strict=True)]]) + ") as (t, nll)"))
+    r = r.select(*[F.get("l", F.lit(i)).alias(f"l{i}") for i in range(len(NATIVE))], F.get("l", (F.col("g") - 1).cast("int")).alias("own"))
+    r = r.select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("t"))
+    total = sum((F.exp(F.col(f"l{i}") / F.col("t")) for i in range(1, len(NATIVE))), F.exp(F.col("l0") / F.col("t")))
+    loss = -F.log(F.greatest(F.exp(F.col("own") / F.col("t")) / total, F.lit(1e-12)))
+    return r.groupBy("t").agg(F.avg(loss).alias("nll"))
 
 
-def fit_temperature(rows: DataFrame, grid: list[float]) -> DataFrame:
+def fit_temperature(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
     g = temperature_grid(rows, grid)
     return g.agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("t"), F.min("nll").alias("nll"))
 

@@ -36,8 +36,12 @@ def partial(df: DataFrame, columns: Sequence[str], keys: Sequence[str | Column]
 def whole(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n, fingerprint) of partial() rows."""
     a = parts.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(PIECES)])
-    said = F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(PIECES)])
-    return a.select(*keys, "n", F.sha2(said, 256).alias("fingerprint"))
+    return a.select(*keys, "n", digest(F.col("n")).alias("fingerprint"))
+
+
+def digest(n: Column) -> Column:
+    """Fingerprint of a row count and sums s0..s3."""
+    return F.sha2(F.concat_ws(":", n.cast("string"), *[F.col(f"s{i}").cast("string") for i in range(PIECES)]), 256)
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str | Column] = ()) -> DataFrame:

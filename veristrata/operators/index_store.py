@@ -11,15 +11,18 @@ appears whole or not at all, and older ones stay readable until ``prune``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.commits import Ledger, numbered
-from . import fingerprint, retrieval
+from . import checks, fingerprint, retrieval
+from .stored import stored
 
 _POSTINGS = "doc_id long, term string, tf long, dl long"
+_HASHES = "doc_id long, sha256 string"
 
 
 @dataclass(frozen=True)
@@ -70,10 +73,12 @@ def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, co
         mine = docs.withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets)).filter(F.col("bucket").isin(changed))
         post = retrieval.full_postings(mine.drop("bucket"), text).withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets))
         post.write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}")
+        texts = mine.select("doc_id", _sha(F.col(text)).alias("sha256"), "bucket")
+        texts.repartition("bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}-texts")
         back = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{ledger.path}/{folder}")
         tokens = {str(r["bucket"]): r["t"] for r in back.groupBy("bucket").agg(F.sum("tf").alias("t")).collect()}
         for k in map(str, changed):
-            parts[k] = {"n": now[k]["n"], "fingerprint": now[k]["fingerprint"], "tokens": tokens.get(k, 0), "folder": folder if k in tokens else ""}
+            parts[k] = {"n": now[k]["n"], "fingerprint": now[k]["fingerprint"], "tokens": tokens.get(k, 0), "folder": folder if k in tokens else "", "texts": f"{folder}-texts"}
     whole = spark.createDataFrame([(int(k), p["n"], p["fingerprint"]) for k, p in parts.items()], "bucket int, n long, fingerprint string")
     new = {
         "config": said, "parts": parts, "terms": f"terms-{uuid.uuid4().hex}", "n_docs": sum(p["n"] for p in parts.values()), "n_tokens": sum(p["tokens"] for p in parts.values()),
@@ -84,18 +89,71 @@ def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, co
     stats = spark.createDataFrame([(new["n_docs"],)], "n_docs long")
     retrieval.idf(post, stats, config.epsilon).sortWithinPartitions("term").write.parquet(f"{ledger.path}/{new['terms']}")
     if not ledger.commit(numbered("index-", version + 1), new):
-        for lost in (folder, new["terms"]):
+        for lost in (folder, f"{folder}-texts", new["terms"]):
             ledger.delete(lost)
         return ensure(docs, path, text, buckets, config, refuse)  # another writer was first
     return Stored(_read(spark, ledger.path, new), version + 1, new["fingerprint"], changed)
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def text_hashes(spark: SparkSession, path: str, only: Sequence[int] | None = None) -> DataFrame:
+    """(doc_id, sha256) of the texts as the latest version indexed them, of some buckets or all."""
+    ledger = Ledger(spark, path)
+    parts = ledger.latest("index-")[1]["parts"]
+    folders = [f"{ledger.path}/{p['texts']}/bucket={k}" for k, p in parts.items() if only is None or int(k) in set(only)]
+    return spark.read.schema(_HASHES).parquet(*folders) if folders else spark.createDataFrame([], _HASHES)
+
+
+def checked(passages: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Passages (doc_id, text as it was read, ...) with ``error``: null where the index was built from that very text.
+
+    Only the buckets that were hit are read, and of those the hashes alone.
+    """
+    spark = passages.sparkSession
+    record = Ledger(spark, path).latest("index-")[1]
+    if record is None:
+        raise CorpusChanged(f"no index at {path}")
+    at = fingerprint.bucket(F.col("doc_id"), record["config"]["buckets"])
+    hit = [r["b"] for r in passages.select(at.alias("b")).distinct().collect()]  # at most one a bucket
+    h = text_hashes(spark, path, hit).withColumnRenamed("sha256", "_sha256")
+    j = passages.join(h, "doc_id", "left")
+    error = F.when(F.col("_sha256").isNull(), "document is not in the index").when(F.col("_sha256") != _sha(F.col(text)), "text is not what was indexed")
+    return j.select(*passages.columns, error.alias("error"))
+
+
+def write_bundles(passages: DataFrame, path: str, index: str, limit: int = 8, buckets: int = 64) -> DataFrame:
+    """Store the bundles of claims whose passages all pass, by claim bucket; (check, key) of what did not.
+
+    ``passages``: claim_id, doc_id, rank, score, text.  A passage must be what was indexed,
+    and a claim's ranks must run from 1 without gaps, by falling score, within the limit.
+    """
+    c = stored(checked(passages, index), "bundle-passages")
+    wrong = checks.failing(c, "claim_id", "passage", F.col("error").isNotNull()).unionByName(checks.ranks(c, ["claim_id"], limit)).distinct()
+    wrong = stored(wrong, "bundle-faults")
+    good = c.join(wrong.select(F.col("key").alias("claim_id")).distinct(), "claim_id", "left_anti").drop("error")
+    good.withColumn("bucket", fingerprint.bucket(F.col("claim_id"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    return wrong
+
+
+def read_bundles(spark: SparkSession, path: str, schema, claims: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Stored passages, of the buckets of some claims or all."""
+    df = spark.read.schema(f"{schema}, bucket int").parquet(path)
+    if claims is not None:
+        ids = spark.createDataFrame([(c,) for c in claims], "claim_id string")
+        at = sorted({r["b"] for r in ids.select(fingerprint.bucket(F.col("claim_id"), buckets).alias("b")).collect()})
+        df = df.filter(F.col("bucket").isin(at)).join(F.broadcast(ids), "claim_id", "left_semi")
+    return df.drop("bucket")
+
+
 def prune(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """Delete the folders that only versions before the last ``keep`` name; their names."""
     ledger = Ledger(spark, path)
     names = ledger.names("index-")
     records = {n: ledger.read(n) for n in names}
-    of = lambda r: {r["terms"], *(p["folder"] for p in r["parts"].values())} - {""}
+    of = lambda r: {r["terms"], *(p["folder"] for p in r["parts"].values()), *(p["texts"] for p in r["parts"].values())} - {""}
     alive = set().union(*[of(records[n]) for n in names[-keep:]]) if names else set()
     gone = sorted(set().union(*[of(r) for r in records.values()], set()) - alive)
     for name in names[:-keep]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: dict[str, weakref.ref] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder in local mode only."""
@@ -26,6 +30,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veristrata/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT[path] = weakref.ref(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,3 +40,24 @@ def dropped(df: DataFrame) -> None:
     for name in {f.rpartition("/")[0] for f in df.inputFiles() if "/veristrata/" in f}:
         p = jvm.org.apache.hadoop.fs.Path(name)
         p.getFileSystem(conf).delete(p, True)
+        _KEPT.pop(name, None)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that stored() wrote in this process; results that still read one end here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_KEPT):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        del _KEPT[path]
+
+
+@atexit.register
+def _at_exit() -> None:
+    for ref in set(_KEPT.values()):
+        spark = ref()
+        try:
+            if spark is not None and spark.sparkContext._jsc is not None:
+                release(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fingerprint, index_store, methods, runs, schema_contract
+from ..operators import fingerprint, index_store, methods, paced, retrieval, runs, schema_contract
 from ..operators.stored import shared_folder
 from ..streaming import upsert
 from . import views as V
@@ -156,3 +156,49 @@ def record_contract(spark, sf):
     text = F.concat(F.lit("{"), F.array_join(F.array_compact(fields), ","), F.when(k == 5, F.lit("")).otherwise("}"))
     r = V.table(spark, sf, "documents").select("doc_id", text.alias("record"))
     return schema_contract.violations(r, "doc_id", "record", RECORD).groupBy("check").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------- passages and paced calls
+
+
+@query(
+    f"""with {V.BM25}, claims as (select 'scifact:' || cast(item_id as varchar) as claim_id, text from benchmark), q as (select claim_id, text as query from claims), {V.bm25_hits('q', 'claim_id')}
+select claim_id, cast(rank as integer) as rank, case when rank = 8 then 'document is not in the index' when doc_id % 5 = 0 then 'text is not what was indexed' end as error from hits where rank <= 8"""
+)
+def passage_integrity(spark, sf):
+    """Top passages against the index: one in five texts was changed after indexing, the last document is unknown."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    path = _place(spark, "index")
+    index = index_store.ensure(docs, path, buckets=_BUCKETS).index
+    hits = retrieval.search(V.claims(spark, sf).withColumnRenamed("text", "query"), index, ["claim_id"], 8)
+    p = hits.join(docs, "doc_id").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    p = p.withColumn("doc_id", F.when(F.col("rank") == 8, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    return index_store.checked(p.select("claim_id", "rank", "doc_id", "text"), path).select("claim_id", "rank", "error")
+
+
+def _shaky():
+    """Answers by the prompt's hash; every third kind is busy once, every seventh refuses."""
+    import hashlib
+
+    seen: set[str] = set()
+
+    def ask(prompt: str) -> str:
+        byte = hashlib.sha256(prompt.encode()).digest()[0]
+        if byte % 7 == 0:
+            raise paced.TransportError(400)
+        if byte % 3 == 0 and prompt not in seen:
+            seen.add(prompt)
+            raise paced.TransportError(503)
+        return str(byte)
+
+    return ask
+
+
+@query(
+    """with b as (select o_orderkey, cast('0x' || substr(sha256('order ' || o_orderkey), 1, 2) as bigint) as b from orders)
+select o_orderkey, case when b % 7 = 0 then 'failed' else 'ok' end as execution_status, cast(case when b % 7 > 0 and b % 3 = 0 then 2 else 1 end as integer) as attempts, case when b % 7 = 0 then 'TransportError: HTTP 400' else cast(b as varchar) end as reply from b"""
+)
+def paced_calls(spark, sf):
+    items = V.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    pace = paced.Pace(per_second=1_000_000, tasks=8, in_flight=1, backoff=0.0)
+    return paced.stage(items, _shaky, pace).select("o_orderkey", "execution_status", "attempts", "reply")

@@ -405,20 +405,19 @@ def ece_total(spark, sf):
     return calibration.ece(calibration.reliability(_conf(spark, sf))).select(*_r("ece"))
 
 
-_GRID = [0.1, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
-_TEMP = f"""t as (select unnest([{", ".join(map(str, _GRID))}])::double as t), l as (select t, ln(greatest(conf, 1e-12)) / t as a, ln(greatest((1 - conf) / 2, 1e-12)) / t as o, correct from pg, t),
+_TEMP = f"""t as (select unnest([{", ".join(map(str, calibration.GRID))}])::double as t), l as (select t, ln(greatest(conf, 1e-12)) / t as a, ln(greatest((1 - conf) / 2, 1e-12)) / t as o, correct from pg, t),
 e as (select t, exp(a - greatest(a, o)) as ea, exp(o - greatest(a, o)) as eo, correct from l),
 g as (select t, avg(-ln(greatest(case when correct then ea / (ea + 2 * eo) else eo / (ea + 2 * eo) end, 1e-12))) as nll from e group by t)"""
 
 
 @query(f"with {V.PREDS}, {_PG}, {_TEMP} select t, round(nll, 6) as nll from g")
 def temperature_grid(spark, sf):
-    return calibration.temperature_grid(_conf(spark, sf), _GRID).select("t", *_r("nll"))
+    return calibration.temperature_grid(_conf(spark, sf)).select("t", *_r("nll"))
 
 
 @query(f"with {V.PREDS}, {_PG}, {_TEMP} select t, round(nll, 6) as nll from g order by round(nll, 12), t limit 1")
 def temperature_fit(spark, sf):
-    return calibration.fit_temperature(_conf(spark, sf), _GRID).select("t", *_r("nll"))
+    return calibration.fit_temperature(_conf(spark, sf)).select("t", *_r("nll"))
 
 
 @query(
@@ -783,12 +782,25 @@ def decompose_claims(spark, sf):
     return decompose.decompose(r)
 
 
-@query()
+_TALK = f"list_filter(regexp_extract_all(replace(lower({{0}}), 'ß', 'ss'), '[a-z0-9]+'), lambda x: len(x) > 2 and not list_contains([{_STOP}], x))"
+
+
+@query(
+    f"""{_ONE}, b as (select claim_id, 'What does the evidence show about: ' || text || '?' as q from claims),
+p as (select claim_id, 'D1:' || doc_id || ':0-' || length(text) as span_id, text from hits join documents using (doc_id) where rank <= 8),
+s as (select claim_id, q, span_id, text from b join p using (claim_id) where len(list_intersect({_TALK.format("q")}, {_TALK.format("text")})) >= 2),
+a as (select claim_id, string_agg(text || ' [' || span_id || ']', ' ' order by sha256(q || chr(10) || span_id)) as answer, string_agg('"' || span_id || '"', ',' order by sha256(q || chr(10) || span_id)) as cited from s group by claim_id),
+r as (select claim_id, q as neutral_question, coalesce(answer, '{judgment.NO_ANSWER}') as answer, coalesce(cited, '') as ids from b left join a using (claim_id))
+select claim_id, neutral_question, sha256(answer) as answer_sha256, ids as cited,
+sha256('{{"answer":' || to_json(answer)::varchar || ',"cited_span_ids":[' || ids || '],"neutral_question":' || to_json(neutral_question)::varchar || '}}') as seal from r"""
+)
 def evidence_reader_seal(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
     p = _hits(spark, sf).filter("rank <= 8").join(docs, "doc_id")
     q = V.claims(spark, sf).select("claim_id", F.concat(F.lit("What does the evidence show about: "), "text", F.lit("?")).alias("neutral_question"))
-    return judgment.read_evidence(q, p.select("claim_id", T.span_id(F.lit("D1"), F.col("doc_id"), F.lit(0), F.length("text")).alias("span_id"), "text"))
+    r = judgment.read_evidence(q, p.select("claim_id", T.span_id(F.lit("D1"), F.col("doc_id"), F.lit(0), F.length("text")).alias("span_id"), "text"))
+    cited = F.array_join(F.transform("cited", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ",")
+    return r.select("claim_id", "neutral_question", F.sha2("answer", 256).alias("answer_sha256"), cited.alias("cited"), "seal")
 
 
 @query(

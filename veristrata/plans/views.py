@@ -68,23 +68,35 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("scifact:"), F.col("item_id").cast("string")).alias("claim_id"), "text")
 
 
+#: Passages and words that are sent to every task; a benchmark beyond them is joined by shuffle.
+FEW_PASSAGES, FEW_WORDS = 20_000, 1_000_000
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(claim_id, doc_id): documents that hold a benchmark passage word for word.
 
-    White space bounds the inner words of a passage wherever it stands, so documents meet
-    passages on the first three inner words, and the containment test runs on those.
-    Passages of fewer words are tested against every document.
+    White space bounds the inner words of a passage wherever it stands.  A first pass
+    counts, over all documents, those words only; a passage is looked up by its rarest
+    one, and the containment test runs on the documents that have it.  A passage without an
+    inner word is tested against every document.
     """
     b = claims(spark, sf_dir).withColumnRenamed("text", "passage").withColumn("w", F.split("passage", r"\s+"))
-    keyed = F.size("w") >= 5  # the first and the last part may be glued to what surrounds the passage
-    long = b.filter(keyed).select("claim_id", F.array_join(F.slice("w", 2, 3), " ").alias("key"), "passage")
-    short = b.filter(~keyed).select("claim_id", "passage")
+    inner = b.select("claim_id", "passage", F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))).alias("inner"))
+    long, short = inner.filter(F.size("inner") > 0), inner.filter(F.size("inner") == 0).select("claim_id", "passage")
+    words = long.select("claim_id", "passage", F.explode("inner").alias("word"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = d.select("doc_id", F.split("text", r"\s+").alias("w"))
-    starts = w.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, 3), " ")))).alias("key"))
-    cand = starts.join(F.broadcast(long), "key").join(d, "doc_id").filter(F.contains("text", "passage"))
-    rest = d.join(F.broadcast(short), F.contains("text", "passage"))
-    return cand.select("claim_id", "doc_id").unionByName(rest.select("claim_id", "doc_id")).distinct()
+    own = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    df = own.join(_small(words.select("word").distinct(), FEW_WORDS), "word").groupBy("word").agg(F.count("*").alias("df"))
+    key = words.join(df, "word").groupBy("claim_id", "passage").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    cand = own.join(_small(key, FEW_PASSAGES), "word").select("claim_id", "passage", "doc_id")
+    found = cand.join(d, "doc_id").filter(F.contains("text", "passage")).select("claim_id", "doc_id")
+    if short.head(1):
+        found = found.unionByName(d.join(_small(short, FEW_PASSAGES), F.contains("text", "passage")).select("claim_id", "doc_id"))
+    return found.distinct()
 
 
 BM25 = r"""tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import checks
+from ..operators import checks, fingerprint
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
@@ -44,11 +44,24 @@ def ok_rows(df: DataFrame) -> DataFrame:
 
 
 def sidecar(rows: DataFrame, run_id: str, config_hash: str) -> DataFrame:
-    return rows.agg(
+    """One row for a run; its ids go into a hash of partial sums, so they never meet in one row."""
+    a = rows.agg(
         F.lit(run_id).alias("run_id"), F.lit(config_hash).alias("config_hash"), F.count("*").alias("n_rows"),
         F.count_if(F.coalesce("execution_status", F.lit("ok")) == "ok").alias("n_ok"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list("claim_id")), "\n"), 256).alias("ids_sha256"),
+        *fingerprint.sums(["claim_id"]),
     )
+    ids = fingerprint.digest(F.col("n_rows"))
+    return a.select("run_id", "config_hash", "n_rows", "n_ok", ids.alias("ids_fingerprint"))
+
+
+def drop_failed(df: DataFrame, path: str) -> DataFrame:
+    """The ok rows in place of a stored run, the whole run kept beside it; returns what was kept."""
+    spark = df.sparkSession
+    backup = f"{path}.before-{uuid.uuid4().hex}"
+    df.write.json(backup)
+    kept = spark.read.schema(df.schema).json(backup)
+    replace(ok_rows(kept), path)
+    return kept
 
 
 def markdown(rows: list[dict]) -> str:
