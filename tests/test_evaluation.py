@@ -126,3 +126,61 @@ def test_validator(spark):
     assert (s["a"].label, s["a"].rationale_codes) == ("SUPPORT", ["labels_agree"]) and s["b"].d1_label_4way == "unaddressed"
     with pytest.raises(Exception, match="no document 99"):
         validator.rows(claims, docs, cites.withColumn("doc_id", F.lit(99).cast("long"))).collect()
+
+
+# ------------------------------------------------------------ tables, locks
+
+
+def test_tables_of_the_library(spark):
+    from veristrata.operators import families, reports
+
+    run = lambda *labels: spark.createDataFrame([(f"c{i}", "NEI" if i else "SUPPORT", x) for i, x in enumerate(labels)], "claim_id string, gold string, label string")
+    p = reports.panel({"m1": run("NEI", "NEI", "SUPPORT"), "m2": run("NEI", "SUPPORT", "SUPPORT", "NEI")})
+    assert p.count() == 6
+    got = {r.gold: tuple(r)[1:] for r in reports.consistency(p).collect()}
+    assert got == {"SUPPORT": (1, 1, 0, 0, 1), "NEI": (2, 0, 1, 1, 1)}
+    with pytest.raises(Exception, match="gold labels disagree"):
+        reports.panel({"a": run("NEI"), "b": run("NEI").withColumn("gold", F.lit("NEI"))}).collect()
+    arm = lambda *rows: spark.createDataFrame(list(rows), "claim_id string, cited_doc_ids array<long>")
+    f = {r.claim_id: r.family for r in families.of_arms(arm(("a", [1]), ("b", [2])), arm(("c", [1, 2]), ("d", []), ("a", [1]))).collect()}
+    assert f == {"a": "cited:a", "b": "cited:a", "c": "cited:a", "d": "cited:d"}
+
+
+def test_freeze(spark, tmp_path):
+    from veristrata.operators import locks
+
+    path = str(tmp_path / "f")
+    a, b = (spark.createDataFrame([(i, str(i % k)) for i in range(20)], "k long, v string") for k in (3, 4))
+    with pytest.raises(locks.Unfrozen, match="no freeze"):
+        locks.require(spark, path, {"a": (a, ["k", "v"])})
+    tables = {"a": (a, ["k", "v"]), "b": (b, ["k"])}
+    assert locks.freeze(spark, path, tables, {"seed": 1}) == locks.freeze(spark, path, tables, {"seed": 1})
+    locks.require(spark, path, {"a": (a.repartition(5), ["k", "v"]), "b": (b.orderBy("v"), ["k"])}, {"seed": 1})
+    for other, config, why in (({**tables, "a": (b, ["k", "v"])}, {"seed": 1}, "changed since the freeze: a"), ({"a": tables["a"]}, {"seed": 1}, "freeze: b"), (tables, {"seed": 2}, "another configuration")):
+        with pytest.raises(locks.Unfrozen, match=why):
+            locks.require(spark, path, other, config)
+    with pytest.raises(locks.Unfrozen, match="another freeze record"):
+        locks.freeze(spark, path, {"a": (b, ["k", "v"])}, {"seed": 1})
+
+
+def test_files_are_counted_and_hashed_by_line(spark, tmp_path):
+    from veristrata.sources import readers, sinks
+
+    for name, text in (("a.jsonl", '{"x":1}\n\n{"x":2}\n'), ("b.jsonl", '{"x":2}\n{"x":1}'), ("c.jsonl", '{"x":3}\n')):
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: (r.n_records, r.fingerprint) for r in readers.file_prints(spark, str(tmp_path)).collect()}
+    assert got["a.jsonl"] == got["b.jsonl"] != got["c.jsonl"] and got["a.jsonl"][0] == 2
+    rows = spark.createDataFrame([("a", "ok"), ("b", "failed"), ("c", None)], "claim_id string, execution_status string")
+    at = str(tmp_path / "run")
+    rows.write.json(at)
+    kept = sinks.drop_failed(spark.read.schema(rows.schema).json(at), at)
+    assert {r.claim_id for r in spark.read.json(at).collect()} == {"a", "c"} and kept.count() == 3
+
+
+def test_running_sums_by_either_way(spark, monkeypatch):
+    from veristrata.operators import ordered
+
+    df = spark.range(200).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 200).alias("o"), F.lit(2).alias("v"))
+    one = ordered.running(df, [F.col("o")], {"s": F.col("v")}, ["g"]).orderBy("o").collect()
+    monkeypatch.setattr(ordered, "FEW", 0)
+    assert ordered.running(df, [F.col("o")], {"s": F.col("v")}, ["g"]).orderBy("o").collect() == one

@@ -51,6 +51,22 @@ def families(claims: DataFrame) -> DataFrame:
     return j.select("claim_id", F.concat(F.lit("cited:"), F.coalesce("root", "claim_id")).alias("family"))
 
 
+def of_arms(*arms: DataFrame) -> DataFrame:
+    """(claim_id, family) over the citations of several arms at once: what one arm joins is joined in all."""
+    claims = None
+    for arm in arms:
+        one = arm.select("claim_id", "cited_doc_ids")
+        claims = one if claims is None else claims.unionByName(one)
+    edges = claims.select(F.col("claim_id").alias("claim"), F.explode("cited_doc_ids").alias("doc"))
+    j = claims.select("claim_id").distinct().join(components(edges), F.col("claim_id") == F.col("claim"), "left")
+    return j.select("claim_id", F.concat(F.lit("cited:"), F.coalesce("root", "claim_id")).alias("family"))
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """(family, n, first_claim)."""
+    return rows.groupBy("family").agg(F.count("*").alias("n"), F.min("claim_id").alias("first_claim"))
+
+
 def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Keep a row's own family, else the found one; neither is an error."""
     j = rows.join(found.select("claim_id", F.col("family").alias("_f")), "claim_id", "left")

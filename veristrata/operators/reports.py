@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +39,56 @@ def sweep_directions(models: DataFrame) -> DataFrame:
     return d.groupBy("direction").agg(F.count("*").alias("n"), F.count_if(zero).alias("n_excluding_zero"), F.min(F.col("v") - F.col("b2")).alias("least"), F.max(F.col("v") - F.col("b2")).alias("most"))
 
 
+def consistency(votes: DataFrame) -> DataFrame:
+    """(claim_id, gold, label), one row a model -> by gold class, how many claims all, some or no models withhold, and agree on."""
+    nei = F.col("label") == "NEI"
+    c = votes.groupBy("claim_id", "gold").agg(F.bool_and(nei).alias("all"), F.bool_or(nei).alias("any"), (F.min("label") == F.max("label")).alias("agree"))
+    return c.groupBy("gold").agg(
+        F.count("*").alias("n"), F.count_if("all").alias("all_withheld"), F.count_if(F.col("any") & ~F.col("all")).alias("some_withheld"), F.count_if(~F.col("any")).alias("none_withheld"),
+        F.count_if("agree").alias("agree"),
+    )
+
+
+def panel(runs: dict[str, DataFrame]) -> DataFrame:
+    """Predictions (claim_id, gold, label) of several models over the claims that all of them have, one row a claim and model.
+
+    One union and one aggregation, however many models; a claim with two gold labels is an error.
+    """
+    rows = None
+    for name, r in runs.items():
+        one = r.select("claim_id", "gold", F.lit(name).alias("model"), "label")
+        rows = one if rows is None else rows.unionByName(one)
+    a = rows.groupBy("claim_id").agg(F.collect_set("model").alias("_m"), F.min("gold").alias("gold"), F.max("gold").alias("_g"), F.collect_list(F.struct("model", "label")).alias("_r"))
+    clash = F.raise_error(F.concat(F.lit("gold labels disagree: "), F.col("claim_id"))).cast("string")
+    a = a.filter(F.size("_m") == len(runs)).withColumn("gold", F.when(F.col("gold") == F.col("_g"), F.col("gold")).otherwise(F.when(F.col("gold").isNotNull(), clash)))
+    return a.select("claim_id", "gold", F.explode("_r").alias("r")).select("claim_id", "gold", "r.model", "r.label")
+
+
+def mechanism(rows: DataFrame, arms: dict[str, str]) -> DataFrame:
+    """(d0, d1, gold, a column an arm) -> by how the scopes relate: claims, each arm's accuracy and withheld labels."""
+    withheld = lambda c: F.col(c).isin("unaddressed", "underdetermined")
+    scope = F.when(withheld("d0") & withheld("d1") & (F.col("d0") != F.col("d1")), "both_nei").when(F.col("d0") == F.col("d1"), "agree").otherwise("differ")
+    each = [x for a, c in arms.items() for x in (F.avg((F.col(c) == F.col("gold")).cast("double")).alias(f"{a}_accuracy"), F.count_if(F.col(c) == "NEI").alias(f"{a}_nei"))]
+    return rows.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"), *each)
+
+
+def first_cases(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(claim_id, gold, two arms) -> the first claim of each kind: right by both, by one, by neither."""
+    x, y = F.col(a) == F.col("gold"), F.col(b) == F.col("gold")
+    kind = F.when(x & ~y, f"only_{a}").when(~x & y, f"only_{b}").when(~x & ~y, "neither").otherwise("both")
+    return rows.groupBy(kind.alias("kind")).agg(F.min("claim_id").alias("claim_id"))
+
+
+def histogram(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows by one or more columns."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def confusion_table(pairs: DataFrame, keys: list[str], labels: Sequence[str], pred: str = "pred") -> DataFrame:
+    """(gold, keys) by predicted label, a column each, every label present; one aggregation without a pivot's second pass."""
+    return pairs.groupBy("gold", *keys).agg(*[F.count_if(F.col(pred) == x).alias(x) for x in labels])
+
+
 def gained(pairs: DataFrame) -> DataFrame:
     """Claims that only one of two arms endorses rightly or wrongly."""
     s = lambda c: F.col(c) == "SUPPORT"

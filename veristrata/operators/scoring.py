@@ -107,3 +107,12 @@ def taxonomy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     kinds = ["false_endorsement", "missed_support", "missed_contradiction", "other"]
     e = pairs.withColumn("error", error_class(F.col("pred"), F.col("gold")))
     return e.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col("error") == k).alias(k) for k in kinds])
+
+
+def coverage_counts(rows: DataFrame, truth: str, kept: Column) -> DataFrame:
+    """One row of how much was judged and how a decision to keep met the truth (1 or 0; null: not judged)."""
+    good = F.col(truth) == 1
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count(truth).alias("n_scored"), F.count_if(F.col(truth).isNull()).alias("skipped_unlabeled"),
+        F.count_if(good & kept).alias("tp"), F.count_if(~good & kept).alias("fp"), F.count_if(good & ~kept).alias("fn"),
+    )

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fingerprint, index_store, methods, paced, retrieval, runs, schema_contract
+from ..operators import fingerprint, index_store, locks, methods, paced, retrieval, runs, schema_contract
 from ..operators.stored import shared_folder
 from ..streaming import upsert
 from . import views as V
@@ -202,3 +202,22 @@ def paced_calls(spark, sf):
     items = V.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
     pace = paced.Pace(per_second=1_000_000, tasks=8, in_flight=1, backoff=0.0)
     return paced.stage(items, _shaky, pace).select("o_orderkey", "execution_status", "attempts", "reply")
+
+
+# -------------------------------------------------------------------- freezes
+
+_FROZEN = {"labels": ("doc_id", "quality", "toxic"), "benchmark": ("item_id", "text"), "events": ("event_id", "user_id", "event_type"), "conversations": ("conv_id", "turn", "role", "text")}
+_ROW = lambda columns: "concat(" + ", ',', ".join(map(_field, columns)) + ")"
+_FREEZE_SQL = " union all ".join(f"select '{name}' as name, * from ({_print_sql(_ROW(columns), '', name)})" for name, columns in _FROZEN.items())
+
+
+@query(f"with f as ({_FREEZE_SQL}) select name, n as frozen_n, fingerprint as frozen_fingerprint, case when name = 'labels' then n - 1 else n end as n, name <> 'labels' as ok from f")
+def frozen_tables(spark, sf):
+    """Four tables frozen, then looked at again when one of them has lost its first row."""
+    path = _place(spark, "freeze")
+    tables = {name: (V.table(spark, sf, name), list(columns)) for name, columns in _FROZEN.items()}
+    locks.freeze(spark, path, tables)
+    labels = tables["labels"][0]
+    first = labels.agg(F.min("doc_id").alias("_first"))
+    tables["labels"] = (labels.join(F.broadcast(first), F.col("doc_id") > F.col("_first")), tables["labels"][1])
+    return locks.compared(spark, path, tables).select("name", "frozen_n", "frozen_fingerprint", "n", "ok")

@@ -254,16 +254,12 @@ count(*) filter (quality = 1 and toxic = 1) as fn from p"""
 )
 def partial_coverage_counts(spark, sf):
     p = V.table(spark, sf, "documents").select("doc_id").join(V.table(spark, sf, "labels"), "doc_id", "left")
-    good, kept = F.col("quality") == 1, F.col("toxic") == 0
-    return p.agg(
-        F.count("*").alias("n_rows"), F.count("quality").alias("n_scored"), F.count_if(F.col("quality").isNull()).alias("skipped_unlabeled"),
-        F.count_if(good & kept).alias("tp"), F.count_if(~good & kept).alias("fp"), F.count_if(good & ~kept).alias("fn"),
-    )
+    return scoring.coverage_counts(p, "quality", F.col("toxic") == 0)
 
 
 @query(f"with {V.PREDS} select b2 as label, ok, count(*) as n from preds group by 1, 2")
 def label_histograms(spark, sf):
-    return V.preds(spark, sf).groupBy(F.col("b2").alias("label"), "ok").agg(F.count("*").alias("n"))
+    return reports.histogram(V.preds(spark, sf).withColumnRenamed("b2", "label"), "label", "ok")
 
 
 @query(
@@ -271,7 +267,7 @@ def label_histograms(spark, sf):
 count(*) filter (pred = 'NEI') as "NEI" from bth where ok group by 1, 2"""
 )
 def confusion_pivot(spark, sf):
-    return _both(spark, sf).filter("ok").groupBy("gold", "method").pivot("pred", list(L.NATIVE)).agg(F.count("pred")).na.fill(0)
+    return reports.confusion_table(_both(spark, sf).filter("ok"), ["method"], L.NATIVE)
 
 
 # ------------------------------------------------------------ statistics
@@ -526,11 +522,10 @@ from votes join g using (claim_id) group by 1, 2) select gold, count(*) as n, co
 count(*) filter (agree) as agree from c group by gold"""
 )
 def sweep_consistency(spark, sf):
-    p = V.preds(spark, sf)
-    nei = F.col("label") == "NEI"
-    c = V.votes(p).join(p.select("claim_id", "gold"), "claim_id").groupBy("claim_id", "gold").agg(F.bool_and(nei).alias("none"), F.bool_or(nei).alias("some"), (F.count_distinct("label") == 1).alias("agree"))
-    some, none = F.col("some"), F.col("none")
-    return c.groupBy("gold").agg(F.count("*").alias("n"), F.count_if(none).alias("all_withheld"), F.count_if(some & ~none).alias("some_withheld"), F.count_if(~some).alias("none_withheld"), F.count_if(F.col("agree")).alias("agree"))
+    p = V.preds(spark, sf).select("claim_id", "gold")
+    votes = V.votes(V.preds(spark, sf))
+    runs = {str(k): votes.filter(F.col("seed_ord") == k).join(p, "claim_id") for k in range(1, 6)}
+    return reports.consistency(reports.panel(runs))
 
 
 @query(
@@ -539,11 +534,8 @@ b2 = gold as rb, v = gold as rv, v = 'NEI' as nei from preds where ok) select sc
 round(avg(case when rv then 1.0 else 0.0 end), 6) as v_accuracy, count(*) filter (nei) as v_nei from x group by scope"""
 )
 def mechanism_table(spark, sf):
-    p = V.preds(spark, sf).filter("ok")
-    withheld = lambda c: F.col(c).isin("unaddressed", "underdetermined")
-    scope = F.when(withheld("d0") & withheld("d1") & (F.col("d0") != F.col("d1")), "both_nei").when(F.col("d0") == F.col("d1"), "agree").otherwise("differ")
-    acc = lambda c: F.round(F.avg((F.col(c) == F.col("gold")).cast("double")), 6)
-    return p.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"), acc("b2").alias("b2_accuracy"), acc("v").alias("v_accuracy"), F.count_if(F.col("v") == "NEI").alias("v_nei"))
+    m = reports.mechanism(V.preds(spark, sf).filter("ok"), {"b2": "b2", "v": "v"})
+    return m.select("scope", "n", *_r("b2_accuracy", "v_accuracy"), "v_nei")
 
 
 @query(
@@ -686,16 +678,12 @@ def split_set_checks(spark, sf):
 select kind, min(claim_id) as claim_id from k group by kind"""
 )
 def case_first_match(spark, sf):
-    p = V.preds(spark, sf).filter("ok")
-    b, v = F.col("b2") == F.col("gold"), F.col("v") == F.col("gold")
-    kind = F.when(b & ~v, "only_b2").when(~b & v, "only_v").when(~b & ~v, "neither").otherwise("both")
-    w = W.partitionBy("kind").orderBy("claim_id")
-    return p.select("claim_id", kind.alias("kind")).withColumn("n", F.row_number().over(w)).filter("n = 1").select("kind", "claim_id")
+    return reports.first_cases(V.preds(spark, sf).filter("ok"), "b2", "v")
 
 
 @query(f"with {V.PREDS} select fam as family, count(*) as n, min(claim_id) as first_claim from preds group by 1")
 def family_sizes(spark, sf):
-    return V.preds(spark, sf).groupBy(F.col("fam").alias("family")).agg(F.count("*").alias("n"), F.min("claim_id").alias("first_claim"))
+    return families.sizes(V.preds(spark, sf).withColumnRenamed("fam", "family"))
 
 
 @query(f"with {V.PREDS} select claim_id, cast(substr(claim_id, 9) as bigint) as native_id, 'scifact:' || substr(claim_id, 9) as again from preds")
@@ -727,9 +715,9 @@ select case when d > 0 then 'up' when d < 0 then 'down' else 'equal' end as dire
 )
 def sweep_directions(spark, sf):
     right = lambda c: F.count_if(F.col(c) == F.col("gold")) / F.count("*")
-    x = V.preds(spark, sf).filter("ok").groupBy("fam").agg(F.round(right("v") - right("b2"), 9).alias("d"))
-    d = reports.direction(F.lit(0.0), F.col("d"))
-    return x.groupBy(d.alias("direction")).agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most"))
+    x = V.preds(spark, sf).filter("ok").groupBy("fam").agg(F.lit(0.0).alias("b2"), F.round(right("v") - right("b2"), 9).alias("v"))
+    d = reports.sweep_directions(x.withColumns({"ci_low": F.col("v") - 0.1, "ci_high": F.col("v") + 0.1}))
+    return d.select("direction", "n", *_r("least", "most"))
 
 
 @query(f"with {V.PREDS}, r as (select *, row_number() over (partition by fam order by claim_id) as t from preds) select claim_id, fam from r order by t, fam limit 50")

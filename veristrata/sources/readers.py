@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.labels import uniform_claim_label
-from ..operators import checks
+from ..operators import checks, fingerprint
 from . import schemas
 
 
@@ -122,6 +122,15 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def file_prints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_records, fingerprint) of line files: records counted and hashed line by line, so that a file may be of any size.
+
+    Blank lines are no records; the fingerprint does not depend on the order of lines.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter(F.trim("value") != "")
+    return fingerprint.fingerprint(lines, ["value"], ["path"]).withColumnRenamed("n", "n_records")
+
+
 def gold_join(rows: DataFrame, gold: DataFrame) -> DataFrame:
     """A row's own gold label, else the split's; neither is an error."""
     j = rows.join(gold.select("claim_id", F.col("gold").alias("_g")), "claim_id", "left")
