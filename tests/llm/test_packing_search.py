@@ -102,26 +102,63 @@ def test_equal_documents(spark):
     assert all(sorted(v) == [(k * length, length) for k in range(len(v))] for v in by.values())
 
 
-def test_pack(docs, rows, nothing, tokenizer):
-    got = packing.op2(docs).collect()
-    by, want = defaultdict(Counter), Counter()
+def held_to(got, rows, tokenizer, max_len):
+    """Each id of each row in exactly one piece, checksums of the ids themselves, sequences without a gap; the share of places filled."""
+    brute, found, by = Counter(), Counter(), defaultdict(Counter)
+    for i, t in rows:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        brute.update((i, n, k) for k in range(n))
     for r in got:
-        by[r.sequence_id][(r.offset, r.length)] += 1
-        want[(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)] += 1
-    brute = Counter()
-    for i, t, *_ in rows:
+        by[r.sequence_id][r.offset, r.length] += 1
+        found.update((r.doc_id, r.doc_tokens, k) for k in range(r.start, r.start + r.length))
+    assert found == brute
+    # rows that share id and length are told apart by their text: any of them may own the piece
+    owners = defaultdict(list)
+    for i, t in set(rows):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
-        for s in range(0, len(ids), 2048):
-            part = ids[s : s + 2048]
-            brute[(i, s, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes()), len(ids))] += 1
-    assert want == brute
+        owners[i, len(ids)].append(ids)
+    for r in got:
+        assert r.ids_crc32 in {zlib.crc32(np.asarray(ids[r.start : r.start + r.length], "<u4").tobytes()) for ids in owners[r.doc_id, r.doc_tokens]}
     for pieces in by.values():
         at = 0
         for (offset, length), n in sorted(pieces.items()):
             assert n == 1 and offset == at
             at += length
-        assert at <= 2048
+        assert at <= max_len
+    return sum(r.length for r in got) / (max_len * max(1, len(by)))
+
+
+def test_pack(docs, rows, nothing, tokenizer):
+    assert held_to(packing.op2(docs).collect(), [(r[0], r[1]) for r in rows], tokenizer, 2048) > 0.95
     assert packing.op2(nothing).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs, max_len=1 << 15)
+
+
+@pytest.mark.parametrize("salt_rows", [4096, 7])
+def test_rests_are_cut_to_the_gaps(spark, tokenizer, salt_rows):
+    """All documents of a length just above half a sequence: equal rows, null ids and one id with several texts among them."""
+    rows = [(i if i % 9 else None, " ".join(f"w{(i * 7 + k) % 50}" for k in range(11))) for i in range(120)] + [(5, "same text here of words again and again and")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, max_len=32, salt_rows=salt_rows).collect()
+    assert held_to(got, rows, tokenizer, 32) >= 0.93 and len(got) > len(rows)
+    whole = packing.pack(df, max_len=32, least_fill=0.1).collect()
+    assert len(whole) == len(rows) and held_to(whole, rows, tokenizer, 32) < 0.9
+
+
+CUT = [{1100: 10000}, {1030: 5000, 1500: 5000}, {700: 9000, 1400: 100}, {k: 1 + k * 7919 % 1000 for k in range(1025, 2049)}, {1025: 3}, {2047: 90}, {5: 1}, {}]
+
+
+@pytest.mark.parametrize("hist", CUT)
+def test_cuts_fill_the_sequences(hist):
+    cut = packing.cuts_to_fill(hist)
+    new = packing.after(hist, cut)
+    assert all(sum(parts) == length and len(parts) > 1 and min(parts) > 0 and n > 0 for length, parts, n in cut)
+    assert all(sum(n for k, _, n in cut if k == length) <= hist[length] for length in hist) and min(new.values(), default=1) > 0
+    used = sum(length * n for length, n in hist.items())
+    assert used == sum(length * n for length, n in new.items())
+    packs = sum(n for _, n in packing.shortest_pack_first(new))
+    assert used >= 0.95 * 2048 * packs or packs == -(-used // 2048)
 
 
 def brute_top(vectors, k=5):
