@@ -39,6 +39,14 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.agg(F.count("x").alias("n_a"), F.count("y").alias("n_b"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_both"), F.count("*").alias("n_any"))
 
 
+def require_same(a: DataFrame, b: DataFrame, key: str) -> None:
+    """Both sides have the same ids, or an error that says how many are on one side only and names a few."""
+    from . import checks
+
+    one = lambda x, y, side: x.select(key).distinct().join(y.select(key).distinct(), key, "left_anti").select(F.lit(f"only in the {side}").alias("check"), F.col(key).cast("string").alias("key"))
+    checks.require_empty(one(a, b, "first").unionByName(one(b, a, "second")))
+
+
 def assert_split_allowed(split: str, limit: int | None, budget: int, frozen_hash: str | None = None, current_hash: str | None = None) -> None:
     """Held-out runs need a matching freeze; others stay inside their budget."""
     if split == "held_out" and (not frozen_hash or frozen_hash != current_hash):

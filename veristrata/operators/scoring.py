@@ -103,6 +103,21 @@ def breakdown(rows: DataFrame, codes: str = "rationale_codes") -> DataFrame:
     return s.unionByName(lab).unionByName(c).select("kind", "value", F.col("count").alias("n"))
 
 
+def failure_profile(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, kind, value, n): how often rows ran, what NEI stands for (withheld or failed), and the four-way labels behind it.
+
+    ``rows``: label, execution_status, label_4way.  One pass.
+    """
+    ok, nei = execution_ok(F.col("execution_status")), F.col("label") == "NEI"
+    said = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    each = F.array(
+        said("status", F.when(ok, "ok").otherwise("failed")), F.when(nei, said("nei", F.when(ok, "withheld").otherwise("failed"))),
+        said("four_way", F.coalesce("label_4way", F.lit("none"))), F.when(nei & ok, said("withheld_as", F.coalesce("label_4way", F.lit("none")))),
+    )
+    e = rows.select(*(keys or []), F.explode(F.array_compact(each)).alias("e"))
+    return e.groupBy(*(keys or []), "e.kind", "e.value").agg(F.count("*").alias("n"))
+
+
 def taxonomy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     kinds = ["false_endorsement", "missed_support", "missed_contradiction", "other"]
     e = pairs.withColumn("error", error_class(F.col("pred"), F.col("gold")))

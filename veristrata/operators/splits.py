@@ -59,6 +59,13 @@ def smoke(
     return found.withColumn("ok", F.col("found").eqNullSafe(F.col("wanted")))
 
 
+def require(found: DataFrame) -> None:
+    """Pass only if every assertion of smoke() holds."""
+    bad = [f"{r['check']}: {r['found']}, not {r['wanted']}" for r in found.filter("not ok").collect()]  # a few rows a split
+    if bad:
+        raise ValueError("; ".join(bad))
+
+
 def written(df: DataFrame, path: str, key: str = "claim_id", **how) -> dict:
     """Write a split once and count it on the way: rows, ids that are null, and the fingerprint of the ids."""
     seen = Observation()

@@ -238,6 +238,20 @@ def failure_breakdown(spark, sf):
     return scoring.breakdown(p)
 
 
+_N4_V = "case d1 when 'supported' then 'SUPPORT' when 'contradicted' then 'REFUTE' else 'NEI' end"
+
+
+@query(
+    f"""with {V.PREDS}, r as (select gold, ok, case when ok then {_N4_V} else 'NEI' end as label, case when ok then d1 end as four from preds),
+e as (select gold, 'status' as kind, case when ok then 'ok' else 'failed' end as value from r union all select gold, 'nei', case when ok then 'withheld' else 'failed' end from r where label = 'NEI'
+union all select gold, 'four_way', coalesce(four, 'none') from r union all select gold, 'withheld_as', coalesce(four, 'none') from r where label = 'NEI' and ok) select gold, kind, value, count(*) as n from e group by all"""
+)
+def failure_profile(spark, sf):
+    ok = F.col("ok")
+    p = V.preds(spark, sf).select("gold", F.when(ok, L.four_way_to_native(F.col("d1"))).otherwise("NEI").alias("label"), F.when(ok, "ok").otherwise("failed").alias("execution_status"), F.when(ok, F.col("d1")).alias("label_4way"))
+    return scoring.failure_profile(p, ["gold"])
+
+
 @query(
     f"""with {V.PREDS}, {_METHODS} select method, count(*) as n, count(*) filter (pred = 'SUPPORT' and gold <> 'SUPPORT') as false_endorsement,
 count(*) filter (pred <> gold and gold = 'SUPPORT') as missed_support, count(*) filter (pred <> gold and pred <> 'SUPPORT' and gold = 'REFUTE') as missed_contradiction,

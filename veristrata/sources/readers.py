@@ -29,8 +29,10 @@ def json_object(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(ord, id, role, locked)."""
-    m = json_object(spark, path, schemas.MANIFEST)
-    return m.select(F.posexplode("ids").alias("ord", "id"), "role", "locked")
+    m = json_object(spark, path, schemas.MANIFEST.replace("ids ARRAY<BIGINT>", "ids ARRAY<STRING>"))
+    odd = F.raise_error(F.concat(F.lit(f"{path}: not a whole number: "), F.coalesce("_id", F.lit("null")))).cast("bigint")
+    whole = F.when(F.col("_id").rlike(r"^-?\d+$"), F.col("_id").try_cast("bigint"))
+    return m.select(F.posexplode("ids").alias("ord", "_id"), "role", "locked").select("ord", F.coalesce(whole, odd).alias("id"), "role", "locked")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +58,7 @@ def split(ids: DataFrame, claims: DataFrame, docs: DataFrame, role: str) -> dict
     checks.require_empty(wrong.select(F.lit(f"manifest is not the locked {role} split").alias("check"), F.col("id").cast("string").alias("key")))
     checks.require_empty(checks.missing(ids, claims, "id"))
     c = ids.select("ord", "id").join(claims, "id").withColumn("claim_id", T.claim_id(F.col("id")))
+    checks.require_empty(checks.failing(c, "claim_id", "no citations", F.coalesce(F.size("cited_doc_ids"), F.lit(0)) < 1))
     cited = c.select("ord", "claim_id", F.posexplode("cited_doc_ids").alias("doc_ord", "doc_id"))
     checks.require_empty(checks.missing(cited, docs, "doc_id"))
     same = cited.join(docs, "doc_id").withColumn("text", T.abstract_text(F.col("abstract")))
