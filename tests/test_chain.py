@@ -54,7 +54,7 @@ def test_boundary(spark):
     ):
         with pytest.raises(Exception, match=why):
             staged.judge(claims, bad, p).collect()
-    with pytest.raises(Exception, match="not in the bundle"):
+    with pytest.raises(Exception, match="outside its passages"):
         staged.judge(claims, sealed, p.withColumn("span_id", F.lit("D1:7:0-9"))).collect()
     with pytest.raises(ValueError):
         staged.cap(p, 9)

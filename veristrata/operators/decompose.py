@@ -23,8 +23,8 @@ QUANTITY = re.compile(r"\d+(?:\.\d+)?\s?(?:%|mg|kg|g|ml|mm|cm|years?|days?|weeks
 POPULATION = re.compile(r"\b(?:in|among)\s+((?:[\w-]+\s){0,4}?(?:patients|adults|children|women|men|mice|rats|cells|participants|subjects|people))\b", re.I)
 COMPARATOR = re.compile(r"\b(?:compared (?:with|to)|than|versus|relative to)\s+([\w\s-]+?)(?=[,.;]|$)", re.I)
 TIME = re.compile(r"\b(?:after|within|over|during|for)\s+(\d+\s\w+)", re.I)
-
-SETTING = re.compile(r"\b(?:in\s+)?((?:a|an)\s+randomized(?:\s+controlled)?\s+trial)\b", re.I)
+# how a study was made: where, an article, up to two words on the design, and the kind of study
+SETTING = re.compile(r"\b(?:(?:in|within)\s)?an?\s(?:[\w-]+\s){0,2}?(?:trial|cohort|registry|case-control\sstudy|meta-analysis)\b", re.I)
 SHARED = {"population": POPULATION, "comparator": COMPARATOR, "time": TIME, "setting": SETTING}
 CAUSAL = re.compile(rf"\b(?:{'|'.join(CAUSAL_VERBS)}|causing|causation|causal)\b", re.I)
 HEDGE = re.compile(rf"\b(?:{'|'.join(HEDGES)})\b", re.I)
@@ -106,11 +106,11 @@ def violations(sentence: str, conclusion: str, phrases: dict[str, list[str]], ro
     for r, text in zip(rows, texts, strict=True):
         own = [f"quantity {q.strip()!r} was added" for q in QUANTITY.findall(r["normalized_claim"]) if q.strip().casefold() not in sentence.casefold()]
         if re.search(rf"(?<!\w){re.escape(r['normalized_claim'])}(?!\w)", r["neutral_question"]):
-            own.append("neutral question contains the asserted answer")
+            own.append("the question gives the answer away")
         if r["exact_source_span"] != sentence or sentence not in conclusion:
-            own.append("claim span is not the source sentence")
+            own.append("the span is no sentence of the source")
         if not CAUSAL.search(sentence) and (r["modality"] == "causal" or CAUSAL.search(f"{text} {r['neutral_question']}")):
-            own.append("text was upgraded to a causal claim")
+            own.append("a cause was read into the text")
         # with several phrases of a kind a claim without one of them has lost its own
         for k, ps in phrases.items():
             if ps and not any(p.casefold() in text for p in ps):

@@ -43,7 +43,7 @@ def boundary_error(question: Column, sealed: Column, spans: Column) -> Column:
         F.when(sealed["seal"].isNull(), "no sealed record")
         .when(~question.eqNullSafe(sealed["question"]), "the sealed question is another one")
         .when(sealed["seal"] != own, "the seal is broken")
-        .when(F.size(F.array_except(sealed["cited"], spans)) > 0, "the reader cites spans that are not in the bundle")
+        .when(F.size(F.array_except(sealed["cited"], spans)) > 0, "the reader quotes spans outside its passages")
     )
 
 

@@ -780,7 +780,7 @@ def usage_from_payload(spark, sf):
 
 @query()
 def decompose_claims(spark, sf):
-    r = V.table(spark, sf, "conversations").filter("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("report_id"), F.col("text").alias("conclusion"))
+    r = V.table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("report_id"), F.col("text").alias("conclusion"))
     return decompose.decompose(r)
 
 
