@@ -315,3 +315,21 @@ def test_many_languages_and_one_document_of_a_language(spark):
     got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
     assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
     assert len(language_id.train(df).langs) == 256
+
+
+def test_row_sums_and_wide_logits():
+    rng = np.random.default_rng(1)
+    for n, v in ((3072, 1024), (5, 10), (100, 1), (1, 4), (13, 1), (12, 1)):
+        ids, rows, out = np.minimum(rng.zipf(1.3, n) - 1, v - 1), rng.standard_normal((n, 7)), np.ones((v, 7))
+        lm_scoring._row_sums(rows, ids, out)
+        want = np.zeros((v, 7))
+        np.add.at(want, ids, rows)
+        assert np.allclose(out, want)
+    for scale in (1.0, 60.0, 5000.0):  # rows close together, and rows that no one constant serves
+        a = rng.standard_normal((50, 32)) * scale + rng.standard_normal((50, 1)) * scale
+        want = a - a.max(1, keepdims=True)
+        want -= np.log(np.exp(want).sum(1, keepdims=True))
+        at = rng.integers(0, 32, 50)
+        assert np.allclose(lm_scoring._log_prob(a.copy(), at), want[np.arange(50), at])
+        assert np.allclose(lm_scoring._softmax(a.copy()), np.exp(want))
+    assert lm_scoring._softmax(np.zeros((0, 4))).shape == (0, 4)

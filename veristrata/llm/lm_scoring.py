@@ -271,12 +271,35 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shift(a: np.ndarray) -> None:
+    """Take a constant off each row so that exponentials stay in range: one for all rows where they lie close enough, else each row's largest."""
+    a -= a.max(initial=-np.inf)
+    if a.size and a.min() < -80:
+        a -= a.max(1, keepdims=True)
+
+
 def _log_prob(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-softmax of each row at one column; ``a`` is used up."""
-    a -= a.max(1, keepdims=True)
+    _shift(a)
     own = a[np.arange(len(a)), at]
     np.exp(a, out=a)
-    return own - np.log(a.sum(1))
+    return own - np.log(a @ np.ones(a.shape[1], a.dtype))
+
+
+def _cuts(cls: np.ndarray) -> list[tuple[int, slice, slice]]:
+    """(class, its positions, its words) of the classes that occur; ``cls`` is sorted."""
+    cut = np.searchsorted(cls, np.arange(VOCAB // CLASS_SIZE + 1)).tolist()
+    return [(k, slice(cut[k], cut[k + 1]), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)) for k in range(VOCAB // CLASS_SIZE) if cut[k] < cut[k + 1]]
+
+
+def _within(w: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray, cuts: list[tuple[int, slice, slice]]) -> np.ndarray:
+    """Logits of the words of each position's own class: a product a class, side by side."""
+    a = w["bw"].reshape(-1, CLASS_SIZE)[cls]
+    part = np.empty_like(a)
+    for _, i, words in cuts:
+        np.matmul(h[i], w["Ww"][words].T, out=part[i])
+    a += part
+    return a
 
 
 def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -285,11 +308,7 @@ def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndar
     h, ys = h[order], y[order]
     cls = ys // CLASS_SIZE
     own = _log_prob(h @ w["Wc"].T + w["bc"], cls)
-    cut = np.searchsorted(cls, np.arange(VOCAB // CLASS_SIZE + 1))
-    for c in range(VOCAB // CLASS_SIZE):
-        i, words = slice(cut[c], cut[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        if cut[c] < cut[c + 1]:
-            own[i] += _log_prob(h[i] @ w["Ww"][words].T + w["bw"][words], ys[i] - c * CLASS_SIZE)
+    own += _log_prob(_within(w, h, cls, _cuts(cls)), ys - cls * CLASS_SIZE)
     out = np.empty_like(own)
     out[order] = own
     return out
@@ -335,18 +354,18 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.nda
     np.matmul(d.T, flat, out=g["Wc"])
     d.sum(0, out=g["bc"])
     dh = d @ w["Wc"]
-    cut = np.searchsorted(cls, np.arange(VOCAB // CLASS_SIZE + 1))
-    for k in range(VOCAB // CLASS_SIZE):
-        i, words = slice(cut[k], cut[k + 1]), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-        if cut[k] == cut[k + 1]:
-            g["Ww"][words], g["bw"][words] = 0, 0
-            continue
-        d = _softmax(flat[i] @ w["Ww"][words].T + w["bw"][words])
-        d[np.arange(len(d)), ys[i] - k * CLASS_SIZE] -= 1
-        d /= n
-        np.matmul(d.T, flat[i], out=g["Ww"][words])
-        d.sum(0, out=g["bw"][words])
-        dh[i] += d @ w["Ww"][words]
+    cuts = _cuts(cls)
+    d = _softmax(_within(w, flat, cls, cuts))
+    d[np.arange(len(ys)), ys - cls * CLASS_SIZE] -= 1
+    d /= n
+    g["Ww"][:], g["bw"][:] = 0, 0
+    there = [k for k, _, _ in cuts]
+    g["bw"].reshape(-1, CLASS_SIZE)[there] = np.add.reduceat(d, [i.start for _, i, _ in cuts], axis=0)
+    within = np.empty_like(dh)
+    for _, i, words in cuts:
+        np.matmul(d[i].T, flat[i], out=g["Ww"][words])
+        np.matmul(d[i], w["Ww"][words], out=within[i])
+    dh += within
     back_h = np.empty_like(dh)
     back_h[order] = dh
     dh = back_h.reshape(steps, streams, HIDDEN)
@@ -373,19 +392,39 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.nda
     dp = dp.reshape(-1, 3 * HIDDEN)
     np.matmul(before.reshape(-1, HIDDEN).T, dp, out=g["U"])
     dp[:, 2 * HIDDEN :] = qn.reshape(-1, HIDDEN)
-    # rows of equal inputs add up
-    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
-    xs = x.ravel()[order]
-    start = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
-    g["P"][:] = 0
-    g["P"][xs[start]] = np.add.reduceat(dp[order], start, axis=0)
+    _row_sums(dp, x.ravel(), g["P"])
     return last
 
 
+def _row_sums(rows: np.ndarray, ids: np.ndarray, out: np.ndarray, deep: int = 12) -> None:
+    """Rows of equal ids added up into ``out``, whose other rows become 0.
+
+    The k-th rows of all ids go in together up to ``deep``; an id with more has the rest
+    added by one product.
+    """
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    sorted_ids = ids[order]
+    start = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+    n = np.diff(start, append=len(ids))
+    by = np.argsort(-n, kind="stable")
+    start, n = start[by], n[by]
+    total = rows[order[start]]
+    for k in range(1, deep):
+        more = int(np.searchsorted(-n, -k, "left"))  # ids with over k rows
+        if not more:
+            break
+        total[:more] += rows[order[start[:more] + k]]
+    for i in range(int(np.searchsorted(-n, -deep, "left"))):
+        rest = rows[order[start[i] + deep : start[i] + n[i]]]
+        total[i] += np.ones(len(rest), rows.dtype) @ rest
+    out[:] = 0
+    out[sorted_ids[start]] = total
+
+
 def _softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(1, keepdims=True)
+    _shift(a)
     np.exp(a, out=a)
-    a /= a.sum(1, keepdims=True)
+    a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
     return a
 
 
