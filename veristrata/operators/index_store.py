@@ -72,9 +72,9 @@ def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, co
     if changed:
         mine = docs.withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets)).filter(F.col("bucket").isin(changed))
         post = retrieval.full_postings(mine.drop("bucket"), text).withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets))
-        post.write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}")
+        post.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}")  # few files a bucket, large ones split
         texts = mine.select("doc_id", _sha(F.col(text)).alias("sha256"), "bucket")
-        texts.repartition("bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}-texts")
+        texts.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}-texts")
         back = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{ledger.path}/{folder}")
         tokens = {str(r["bucket"]): r["t"] for r in back.groupBy("bucket").agg(F.sum("tf").alias("t")).collect()}
         for k in map(str, changed):
@@ -134,7 +134,7 @@ def write_bundles(passages: DataFrame, path: str, index: str, limit: int = 8, bu
     wrong = checks.failing(c, "claim_id", "passage", F.col("error").isNotNull()).unionByName(checks.ranks(c, ["claim_id"], limit)).distinct()
     wrong = stored(wrong, "bundle-faults")
     good = c.join(wrong.select(F.col("key").alias("claim_id")).distinct(), "claim_id", "left_anti").drop("error")
-    good.withColumn("bucket", fingerprint.bucket(F.col("claim_id"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    good.withColumn("bucket", fingerprint.bucket(F.col("claim_id"), buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
     return wrong
 
 

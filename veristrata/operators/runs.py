@@ -60,7 +60,7 @@ def plan(items: DataFrame, path: str, order: Sequence[str], part_rows: int = 10_
         folder = f"items-{uuid.uuid4().hex}"
         placed = running(items, [F.col(c) for c in [*order, "claim_id"]], {"asked": F.lit(1)}, tag="run-order")
         placed = placed.withColumn("part", F.floor(F.col("asked") / part_rows).cast("int"))
-        placed.repartition("part").write.partitionBy("part").parquet(f"{ledger.path}/{folder}")
+        placed.hint("rebalance", "part").write.partitionBy("part").parquet(f"{ledger.path}/{folder}")
         record = {"folder": folder, "parts": -(-n // part_rows), "rows": n, "fingerprint": digest, "schema": placed.schema.json()}
         if not ledger.commit("plan", record):
             ledger.delete(folder)
