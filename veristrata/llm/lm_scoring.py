@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .storage import discard, lean, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches
-from .textkernel import U64, Words, mix, text_blocks, word_hashes
+from .textkernel import U64, Words, text_blocks, word_hashes
 
 SHORTLIST, RARE, HIDDEN = 991, 32, 32
 CLASS_SIZE, FAN = 32, 16

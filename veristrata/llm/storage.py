@@ -10,7 +10,6 @@ import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _KEPT: dict[str, weakref.ref] = {}
 
