@@ -152,10 +152,10 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
 
 @atexit.register
 def _at_exit() -> None:
-    for ref in set(_KEPT.values()):
-        spark = ref()
+    alive = {id(s): s for s in (ref() for ref in list(_KEPT.values())) if s is not None}
+    for spark in alive.values():
         try:
-            if spark is not None and spark.sparkContext._jsc is not None:
+            if spark.sparkContext._jsc is not None:
                 release(spark)
         except Exception:  # the JVM may be gone already
             return
