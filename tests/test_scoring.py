@@ -132,3 +132,27 @@ def test_selective(spark):
     assert first["coverage"] == pytest.approx(1 / 3) and first["accuracy"] == 1
     s = calibration.selective(spark.createDataFrame([(True, 0.9), (False, 0.1)], "correct boolean, conf double"), 0.5).first()
     assert (s["coverage"], s["accuracy"]) == (0.5, 1.0)
+
+
+def test_draws_in_blocks_are_those_of_each_slot(spark):
+    """Several chunks of families, several blocks of slots; no row stands for a draw."""
+    import hashlib
+
+    import numpy as np
+
+    from veristrata.operators import draws
+
+    for r, first, last in ((1, 1, 120), (37, 990, 10_020), (2000, 99_999, 100_003)):
+        got = np.concatenate(list(draws.heads(r, first, last))).tolist()
+        assert got == [int(hashlib.md5(f"{r}:{s}".encode()).hexdigest()[:8], 16) for s in range(first, last + 1)]
+    m = 2 * draws.CHUNK + 77
+    families = spark.range(1, m + 1).select(F.col("id").alias("ord"), (F.col("id") % 7).alias("n_gold"), (F.col("id") % 3).alias("fe_a"))
+    b = statistics.bootstrap(families, ["a"], 3)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
+    got = {row.r: row.a for row in b.collect()}
+    at = np.arange(m + 1)
+    for r in (1, 2, 3):
+        o = np.concatenate(list(draws.heads(r, 1, m))) % m + 1
+        assert got[r] == (at % 3)[o].sum() / (at % 7)[o].sum()
+    assert statistics.bootstrap(families.limit(0), ["a"], 3).count() == 0

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import execution_ok
+from . import draws
 from .ordered import running
 from .scoring import ratio
 
@@ -79,18 +83,60 @@ def draw(resample: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(resample.cast("string"), F.lit(":"), slot.cast("string"))), 1, 8), 16, 10).cast("bigint") % n + 1
 
 
+#: Draws that one task makes, and resamples that meet a chunk of families in one group.
+TASK_DRAWS, TOGETHER = 8_000_000, 250
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """Totals of a chunk's families, a column of longs each, in the order of the families."""
+    order = np.argsort(rows["ord"].to_numpy(), kind="stable")
+    cols = [rows[c].to_numpy()[order].astype(np.int64).tobytes() for c in rows.column_names if c not in ("chunk", "ord")]
+    return pa.table({"chunk": rows["chunk"].slice(0, 1), "totals": pa.array([b"".join(cols)])})
+
+
+def _meet(sums: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Draws of some resamples and the totals of their chunk -> a partial sum per resample."""
+
+    def run(drawn: pa.Table, packed: pa.Table) -> pa.Table:
+        out = np.zeros((drawn.num_rows, len(sums)), np.int64)
+        if drawn.num_rows:
+            totals = np.frombuffer(packed["totals"][0].as_py(), np.int64).reshape(len(sums), -1)
+            for i, x in enumerate(drawn["drawn"]):
+                n = draws.counts(x.as_py()).astype(np.int64)
+                out[i] = totals[:, : len(n)] @ n
+        return pa.table({"r": drawn["r"], **{s: out[:, i] for i, s in enumerate(sums)}})
+
+    return run
+
+
 def bootstrap(families: DataFrame, methods: list[str], resamples: int) -> DataFrame:
-    """False-endorsement rate of each method in each resample of families with replacement.
+    """False-endorsement rate of each method in each resample of families with replacement: draw() for every slot.
 
-    Resamples are generated by the engine (one row a slot), joined to the family
-    totals, and reduced to one row a resample; nothing is collected.
+    Tasks draw whole blocks of slots and send on how often each family was drawn, a byte
+    a family and compressed, by chunks of families; there they meet the totals of the
+    chunk, and one row a resample and chunk is summed.  No draw is a row, nothing is
+    broadcast, and a task holds a block of slots or a chunk of families.
     """
     spark = families.sparkSession
-    m = families.agg(F.count("*").alias("m"))
-    slots = spark.range(1, resamples + 1).withColumnRenamed("id", "r").join(F.broadcast(m))
-    slots = slots.select("r", "m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("slot"))
-    drawn = slots.select("r", draw(F.col("r"), F.col("slot"), F.col("m")).alias("ord"))
-    hit = drawn.join(families, "ord").groupBy("r").agg(F.sum("n_gold").alias("n"), *[F.sum(f"fe_{x}").alias(x) for x in methods])
+    sums = ["n_gold", *[f"fe_{x}" for x in methods]]
+    units = families.count()
+    blocks = max(1, -(-units // draws.BLOCK))
+    deals = -(-resamples // TOGETHER)
+
+    def draw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                r, first = i // blocks + 1, i % blocks * draws.BLOCK + 1
+                last = min(units, first + draws.BLOCK - 1)
+                got = list(draws.drawn(r, first, last, units)) if first <= last else []
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in got], pa.int64()), "deal": pa.array([r % deals] * len(got), pa.int32()), "r": pa.array([r] * len(got), pa.int64()), "drawn": pa.array([x for _, x in got], pa.binary())})
+
+    tasks = min(resamples * blocks, max(spark.sparkContext.defaultParallelism, -(-resamples * units // TASK_DRAWS)))
+    drawn = spark.range(0, resamples * blocks, 1, tasks).mapInArrow(draw_blocks, "chunk long, deal int, r long, drawn binary")
+    chunks = families.select(F.shiftright(F.col("ord").cast("long") - 1, draws.CHUNK.bit_length() - 1).alias("chunk"), "ord", *[F.col(c).cast("long").alias(c) for c in sums])
+    packed = chunks.groupBy("chunk").applyInArrow(_packed, "chunk long, totals binary").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    part = drawn.groupBy("chunk", "deal").cogroup(packed.groupBy("chunk", "deal")).applyInArrow(_meet(sums), ", ".join(f"{c} long" for c in ["r", *sums]))
+    hit = part.groupBy("r").agg(F.sum("n_gold").alias("n"), *[F.sum(f"fe_{x}").alias(x) for x in methods])
     return hit.select("r", *[ratio(F.col(x), F.col("n")).alias(x) for x in methods])
 
 
