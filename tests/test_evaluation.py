@@ -184,3 +184,24 @@ def test_running_sums_by_either_way(spark, monkeypatch):
     one = ordered.running(df, [F.col("o")], {"s": F.col("v")}, ["g"]).orderBy("o").collect()
     monkeypatch.setattr(ordered, "FEW", 0)
     assert ordered.running(df, [F.col("o")], {"s": F.col("v")}, ["g"]).orderBy("o").collect() == one
+
+
+def test_weights_are_made_once_for_the_cells_of_a_cluster(spark):
+    """numpy's weights are those of the column; many cells, a null cluster and a full task give the same sums; no row stands for a block."""
+    import numpy as np
+
+    config = resampling.Config(resamples=21, seed="w")
+    names = ["a", "", "ü:1"]
+    h = spark.createDataFrame([(c, b) for c in names for b in range(config.blocks)], "c string, b int")
+    h = h.withColumn("h", F.sha2(F.concat_ws(":", F.lit("w"), "c", F.col("b").cast("string")), 256))
+    wide = h.select("c", "b", F.array(*[resampling.weight(F.col("h"), j) for j in range(8)]).alias("w")).orderBy("b").collect()
+    want = np.array([np.concatenate([r.w for r in wide if r.c == c])[:21] for c in names])
+    assert (resampling.weights(names, config) == want).all()
+    rows = spark.createDataFrame([("x", "a", 1), ("x", "a", 2), ("y", "a", 5), ("y", None, 7), (None, "ü:1", 1 << 60)], "cell string, c string, n long")
+    r = resampling.resamples(rows, ["cell"], "c", {"n": F.col("n")}, config)
+    assert "explode" not in r._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.cell, x.r): x.n for x in r.collect()}
+    for i in range(21):
+        if want[2, i] < 8:
+            assert got[None, i] == int(want[2, i]) << 60
+        assert got["x", i] == 3 * want[0, i] and got["y", i] == 5 * want[0, i] + 7 * want[1, i]
