@@ -22,10 +22,11 @@ def with_stance(passages: DataFrame) -> DataFrame:
     return p.drop("_c", "_t", "_cp", "_tp")
 
 
-def decide(stances: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+def decide(stances: DataFrame, keys: list[str], *more: Column, shown: str | None = None) -> DataFrame:
     """(keys, ord, span_id, addresses, stance, claim_causal, text_causal) -> (keys, label, code, cited).
 
-    ``more``: further aggregates of a key, kept beside these.
+    ``more``: further aggregates of a key, kept beside these.  ``shown``: a column of stances
+    beside ``cited``, in its order.
 
     Order of the rules: nothing addresses the claim; conflict; no direction; a
     supported causal claim on evidence without causal words; else support or
@@ -57,9 +58,11 @@ def decide(stances: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     )
     decisive = F.when(F.col("code").isin("supporting_direction", "causal_overreach"), "support").when(F.col("code") == "contradicting_direction", "contradict")
     a = a.withColumn("code", code)
-    cited = F.transform(F.filter("spans", lambda s: decisive.isNull() | (s["stance"] == decisive)), lambda s: s["span_id"])
+    chosen = F.filter("spans", lambda s: decisive.isNull() | (s["stance"] == decisive))
+    cited = F.transform(chosen, lambda s: s["span_id"])
+    beside = [F.transform(chosen, lambda s: s["stance"]).alias(shown)] if shown else []
     kept = [c for c in a.columns if c not in {*keys, "any", "mixed", "sup", "con", "causal", "shown", "spans", "code"}]
-    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"), *kept)
+    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"), *beside, *kept)
 
 
 def with_defects(claims: DataFrame, citations: DataFrame) -> DataFrame:
@@ -253,9 +256,12 @@ def reconciler_note(j0: Column, s0: Column, j1: Column, s1: Column) -> Column:
     return F.when(agree(j0, j1, s0, s1), same).otherwise(apart)
 
 
-def card() -> Column:
+def card(texts: Column | None = None) -> Column:
     """The text of a claim's card; a span that is not on record is an error.
 
+    ``texts``: those of the cited spans, in their order, where they are at hand; else each
+    is looked for in ``spans``, which takes as many steps as there are spans.
+
     Columns: claim_text, label and cited (of D1), d0_cited, spans (map span
     id -> text), uncertain and checks (reasons, in order), scope, adequacy, note, link.
     """
@@ -263,10 +269,11 @@ def card() -> Column:
     cites = F.concat(marks("d0_cited"), marks("cited"))
     spaced = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(" "), F.array_join(c, " "))).otherwise("")
     doubts = F.array_join(F.array_distinct("uncertain"), ", ")
+    looked_up = F.transform("cited", lambda c: F.element_at("spans", c))
     # fixed values: the headings of a card
     lines = F.concat(
         F.array(F.concat(F.lit("Claim: "), F.col("claim_text")), F.concat(F.lit("Evidence verdict: "), F.col("label"), spaced(marks("cited")), F.lit("."))),
-        F.transform("cited", lambda c: F.concat(F.lit("Why: "), F.element_at("spans", c), F.lit(" ["), c, F.lit("]"))),
+        F.zip_with("cited", looked_up if texts is None else texts, lambda c, t: F.concat(F.lit("Why: "), t, F.lit(" ["), c, F.lit("]"))),
         F.array(
             F.concat(F.lit("What is uncertain: "), F.when(doubts == "", "None recorded").otherwise(doubts), F.lit(".")),
             F.concat(F.lit("Search scope: "), F.col("scope"), F.lit(".")),
@@ -281,5 +288,5 @@ def card() -> Column:
 
 
 def claim_cards(rows: DataFrame) -> DataFrame:
-    """card() per claim_id."""
-    return rows.select("claim_id", card().alias("card"))
+    """card() per claim_id; ``texts``, if there, are the texts of ``cited``."""
+    return rows.select("claim_id", card(F.col("texts") if "texts" in rows.columns else None).alias("card"))
