@@ -54,3 +54,13 @@ def test_endpoints():
     assert endpoints.allowed("https://api.openai.com/v1", True) and not endpoints.allowed("https://api.openai.com/v1")
     with pytest.raises(PermissionError):
         endpoints.check_redirect("http://10.0.0.4/v1", "https://api.openai.com/v1", True)
+
+
+def test_sweep_is_the_consistency_of_a_panel(spark):
+    rows = [("a", "S", 1, "NEI"), ("a", "S", 2, "NEI"), ("b", "S", 1, "S"), ("b", "S", 2, "NEI"), ("c", "N", 1, "S"), ("d", None, 1, "S"), ("d", None, 2, "S")]
+    r = spark.createDataFrame(rows, "claim_id string, gold string, model int, label string")
+    p = reports.panel({str(k): r.filter(F.col("model") == k) for k in (1, 2)})
+    made = reports.sweep(r, 2)
+    assert "collect" not in made._jdf.queryExecution().optimizedPlan().toString() + p._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, made.collect()), key=str)
+    assert got == sorted(map(tuple, reports.consistency(p).collect()), key=str) == sorted([("S", 2, 1, 1, 0, 1), (None, 1, 0, 0, 1, 1)], key=str)

@@ -257,3 +257,36 @@ def test_negations_end_at_ascii_word_boundaries(spark):
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.negated(F.col("t")).alias("n")).collect()]
     assert got == [True, True, True, True, False, False, True, True, True, False]
     assert spark.createDataFrame([("It noñ improved",)], "t string").select(T.polarity(F.col("t")).alias("p")).first().p == "decrease"
+
+
+def test_search_scans_texts_as_it_searches_postings(spark):
+    """More hits than k in several tasks, ties, empty and null texts; neither path makes other rows, and the scan moves no postings."""
+    words = ["alpha", "beta", "gamma", "delta"]
+    docs = [(i, " ".join(words[j % 4] for j in range(i % 9)) + (" tail" if i % 3 else "")) for i in range(300)] + [(900, None), (901, "")] + [(1000 + i, f"filler{i}") for i in range(1000)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    q = spark.createDataFrame([("c1", 0, "Alpha beta alpha"), ("c2", 1, "tail delta"), ("c3", 2, "unknown"), ("c4", 3, "")], "claim_id string, form_ord int, query string")
+    i = retrieval.build_index(docs)
+    found = retrieval.search(q, i, ["claim_id", "form_ord"], 7)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    kept = retrieval.Index(i.postings, i.idf, i.stats)
+    order = ["claim_id", "rank"]
+    a, b = (x.select("claim_id", "form_ord", "doc_id", "rank", "score").orderBy(*order).collect() for x in (found, retrieval.search(q, kept, ["claim_id", "form_ord"], 7)))
+    assert [r[:4] for r in a] == [r[:4] for r in b] and len(a) == 14
+    assert all(abs(x.score - y.score) < 2e-9 for x, y in zip(a, b, strict=True))
+
+
+def test_gold_passages_by_one_scan(spark, tmp_path):
+    d = [(1, "x one two three y"), (2, "one\ttwo three"), (3, "one two three"), (4, None), (5, "pre-one two three-post"), (6, "single")]
+    spark.createDataFrame(d, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "one two three"), (2, "single"), (3, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    g = views.gold_docs(spark, str(tmp_path))
+    assert "Join" not in g._jdf.queryExecution().optimizedPlan().toString()
+    want = {("scifact:1", 1), ("scifact:1", 3), ("scifact:1", 5), ("scifact:2", 6)}
+    assert {tuple(r) for r in g.collect()} == want == {tuple(r) for r in views.many_gold_docs(spark, str(tmp_path)).collect()}
+
+
+def test_cards_take_texts_beside_their_citations(spark):
+    rows = [(1, i, f"D1:{i}:0-9", True, ("mixed", "support")[i % 2], False, False) for i in range(5)]
+    s = spark.createDataFrame(rows, "claim_id int, ord int, span_id string, addresses boolean, stance string, claim_causal boolean, text_causal boolean")
+    d = judgment.decide(s, ["claim_id"], shown="texts").first()
+    assert d.cited == [f"D1:{i}:0-9" for i in range(5)] and d.texts == ["mixed", "support", "mixed", "support", "mixed"]

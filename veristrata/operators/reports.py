@@ -42,7 +42,10 @@ def sweep_directions(models: DataFrame) -> DataFrame:
 def consistency(votes: DataFrame) -> DataFrame:
     """(claim_id, gold, label), one row a model -> by gold class, how many claims all, some or no models withhold, and agree on."""
     nei = F.col("label") == "NEI"
-    c = votes.groupBy("claim_id", "gold").agg(F.bool_and(nei).alias("all"), F.bool_or(nei).alias("any"), (F.min("label") == F.max("label")).alias("agree"))
+    return _by_gold(votes.groupBy("claim_id", "gold").agg(F.bool_and(nei).alias("all"), F.bool_or(nei).alias("any"), (F.min("label") == F.max("label")).alias("agree")))
+
+
+def _by_gold(c: DataFrame) -> DataFrame:
     return c.groupBy("gold").agg(
         F.count("*").alias("n"), F.count_if("all").alias("all_withheld"), F.count_if(F.col("any") & ~F.col("all")).alias("some_withheld"), F.count_if(~F.col("any")).alias("none_withheld"),
         F.count_if("agree").alias("agree"),
@@ -52,16 +55,35 @@ def consistency(votes: DataFrame) -> DataFrame:
 def panel(runs: dict[str, DataFrame]) -> DataFrame:
     """Predictions (claim_id, gold, label) of several models over the claims that all of them have, one row a claim and model.
 
-    One union and one aggregation, however many models; a claim with two gold labels is an error.
+    One union, whole claims by aggregation; a claim with two gold labels is an error.
     """
     rows = None
     for name, r in runs.items():
         one = r.select("claim_id", "gold", F.lit(name).alias("model"), "label")
         rows = one if rows is None else rows.unionByName(one)
-    a = rows.groupBy("claim_id").agg(F.collect_set("model").alias("_m"), F.min("gold").alias("gold"), F.max("gold").alias("_g"), F.collect_list(F.struct("model", "label")).alias("_r"))
+    each = rows.groupBy("claim_id", "model").agg(F.min("gold").alias("gold"), F.max("gold").alias("_g"))
+    whole = each.groupBy("claim_id").agg(F.count("*").alias("_n"), F.min("gold").alias("gold"), F.max("_g").alias("_g")).filter(F.col("_n") == len(runs))
+    return rows.drop("gold").join(whole.select("claim_id", _one_gold().alias("gold")), "claim_id").select("claim_id", "gold", "model", "label")
+
+
+def _one_gold() -> Column:
     clash = F.raise_error(F.concat(F.lit("gold labels disagree: "), F.col("claim_id"))).cast("string")
-    a = a.filter(F.size("_m") == len(runs)).withColumn("gold", F.when(F.col("gold") == F.col("_g"), F.col("gold")).otherwise(F.when(F.col("gold").isNotNull(), clash)))
-    return a.select("claim_id", "gold", F.explode("_r").alias("r")).select("claim_id", "gold", "r.model", "r.label")
+    return F.when(F.col("gold") == F.col("_g"), F.col("gold")).otherwise(F.when(F.col("gold").isNotNull(), clash))
+
+
+def sweep(rows: DataFrame, models: int) -> DataFrame:
+    """consistency() of (claim_id, gold, model, label) over the claims that all ``models`` have (numbers from 1 to at most 63).
+
+    What models of one table say of a claim is combined before it moves, and no list of
+    them is kept.
+    """
+    nei = F.col("label") == "NEI"
+    c = rows.groupBy("claim_id").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("model").cast("int") - 1)).alias("_m"), F.min("gold").alias("gold"), F.max("gold").alias("_g"),
+        F.bool_and(nei).alias("all"), F.bool_or(nei).alias("any"), (F.min("label") == F.max("label")).alias("agree"),
+    )
+    c = c.filter(F.col("_m") == (1 << models) - 1)
+    return _by_gold(c.withColumn("gold", _one_gold()))
 
 
 def mechanism(rows: DataFrame, arms: dict[str, str]) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +55,12 @@ preds as (select 'scifact:' || k as claim_id, 'cited:' || c as fam, gold,
   cast(h1 % 101 as double) / 100.0 as conf, {_four("h4")} as d0, {_four("h5")} as d1 from orders_h)"""
 
 
-def votes(p: DataFrame, seeds: int = 5) -> DataFrame:
-    """(claim_id, seed_ord, label, status): hashed runs of one method over several seeds."""
+def votes(p: DataFrame, seeds: int = 5, more: Sequence[str] = ()) -> DataFrame:
+    """(claim_id, seed_ord, label, status): hashed runs of one method over several seeds; ``more`` columns of ``p`` beside them."""
     e = p.select("claim_id", "gold", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed_ord"))
     x = h(F.concat(F.lit("seed:"), F.col("seed_ord").cast("string"), F.lit(":"), F.col("claim_id")))
     label = F.when(x % 10 < 5, F.col("gold")).when(x % 3 == 0, "SUPPORT").when(x % 3 == 1, "REFUTE").otherwise("NEI")
-    return e.select("claim_id", "seed_ord", label.alias("label"), F.when(x % 40 == 7, "failed").otherwise("ok").alias("status"))
+    return e.select("claim_id", "seed_ord", label.alias("label"), F.when(x % 40 == 7, "failed").otherwise("ok").alias("status"), *more)
 
 
 VOTES = f"""vh as (select claim_id, gold, s as seed_ord, {_h("'seed:' || cast(s as varchar) || ':' || claim_id")} as x from preds, range(1, 6) t(s)),
@@ -76,9 +81,55 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _inner(passage: str) -> list[str]:
+    """The words that white space bounds wherever the passage stands."""
+    return _SPACE.split(passage)[1:-1]
+
+
+def _holds(shared):
+    """(doc_id, text) -> (claim_id, doc_id) of the passages a text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, short = shared.value
+        words = by.keys()
+        for batch in batches:
+            found, docs = [], []
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = words & set(_SPACE.split(text))
+                mine = [c for w in own for c, passage in by[w] if passage in text] + [c for c, passage in short if passage in text]
+                found += mine
+                docs += [doc] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(docs, batch.schema.field(0).type)], names=["claim_id", "doc_id"])
+
+    return run
+
+
 def gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(claim_id, doc_id): documents that hold a benchmark passage word for word.
 
+    Up to FEW_PASSAGES passages go to every task, under one inner word each: the texts are
+    read once and do not move, and containment is tested where that word occurs.
+    """
+    b = claims(spark, sf_dir).filter("claim_id is not null and text is not null")
+    rows = b.limit(FEW_PASSAGES + 1).collect()
+    if len(rows) > FEW_PASSAGES:
+        return many_gold_docs(spark, sf_dir)
+    by: dict[str, list] = {}
+    short = []
+    for claim, passage in rows:
+        inner = _inner(passage)
+        (by.setdefault(max(inner, key=len), []) if inner else short).append((claim, passage))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
+    schema = StructType([StructField("claim_id", StringType()), d.schema["doc_id"]])
+    return d.mapInArrow(_holds(spark.sparkContext.broadcast((by, short))), schema).distinct()
+
+
+def many_gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gold_docs() of any number of passages.
+
     White space bounds the inner words of a passage wherever it stands.  A first pass
     counts, over all documents, those words only; a passage is looked up by its rarest
     one, and the containment test runs on the documents that have it.  A passage without an
