@@ -133,3 +133,15 @@ def test_live_audit(spark):
         ("a", "D0:1:0-9", "adequate", ""), ("a", "D0:2:0-9", "unverifiable", "citation_not_rated"), ("broken", "", "inadequate", "missing_required_citation,missing_provenance"),
         ("broken", "D0:1:0-9", "adequate", ""), ("late", "", "inadequate", "live_timeout"), ("none", "", "inadequate", "missing_required_citation"),
     ]
+
+
+def test_a_claim_in_many_reports_is_judged_once(spark, monkeypatch):
+    seen, judged = [], staged._judged
+    monkeypatch.setattr(staged, "_judged", lambda c, *a: seen.append(c.count()) or judged(c, *a))
+    text = "treatment improved survival"
+    rows = [("r1", "c", text, "q of treatment survival", []), ("r2", "c", text, "q of treatment survival", ["x"]), ("r3", "c", "treatment reduced survival", "q of treatment survival", [])]
+    claims = spark.createDataFrame(rows, "report_id string, claim_id string, claim_text string, neutral_question string, dependencies array<string>")
+    cites = spark.createDataFrame([("c", 1, "D0:1:0-9", text, "original", "D0")], "claim_id string, ord int, span_id string, text string, provenance string, access_scope string")
+    shown = spark.createDataFrame([("c", 1, "D1:1:0-9", text)], "claim_id string, rank int, span_id string, text string")
+    got = {r.report_id: (r.claim_id, r.link, r.card.split("Inference link: ")[1].split(".")[0]) for r in staged.report_verdicts(claims, cites, shown).collect()}
+    assert seen == [2] and got == {"r1": ("c", "valid", "valid"), "r2": ("c", "unresolved", "unresolved"), "r3": ("c", "invalid", "invalid")}
