@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -333,3 +336,33 @@ def test_row_sums_and_wide_logits():
         assert np.allclose(lm_scoring._log_prob(a.copy(), at), want[np.arange(50), at])
         assert np.allclose(lm_scoring._softmax(a.copy()), np.exp(want))
     assert lm_scoring._softmax(np.zeros((0, 4))).shape == (0, 4)
+
+
+def test_steady_worker_keeps_its_pages():
+    """Arrays that come and go in a task do not go back to the system each time."""
+    code = """
+import resource, numpy as np
+from veristrata.llm.storage import steady
+def run(batches):
+    for _ in batches:
+        a = [np.ones(1 << 19, np.uint8) for _ in range(4)]
+        yield len(a)
+list(steady(run)(iter(range(20))))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+assert sum(steady(run)(iter(range(500)))) == 2000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    faults = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert faults < 20_000  # 2,000 arrays of 128 pages
+
+
+def test_word_hashes_of_any_number_of_words_at_once():
+    text = " ".join(f"w{i} é{i}" for i in range(7000)).encode() + b" " + b"x" * 300
+    buf, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    words = textkernel.Words(buf, offs)
+    whole = textkernel.word_hashes(buf, words)
+    for i in (0, 1, 4095, 4096, 9000, len(whole) - 1):
+        one = np.frombuffer(text.split(b" ")[i], np.uint8)
+        assert whole[i] == textkernel.word_hashes(one, textkernel.Words(one, np.array([0, len(one)])))[0]
+    u, at, of = lm_scoring._distinct(np.concatenate([whole[::-1], whole]))
+    assert len(u) == len(whole) and (u[of] == np.concatenate([whole[::-1], whole])).all() and (at == np.arange(len(u))).all()

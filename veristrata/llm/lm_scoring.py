@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
-from .storage import discard, lean, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches
+from .storage import discard, lean_cogroup, lean_group, parts_for, persist, persist_by, small_batches, steady
 from .textkernel import U64, Words, text_blocks, word_hashes
 
 SHORTLIST, RARE, HIDDEN = 991, 32, 32
 CLASS_SIZE, FAN = 32, 16
 VOCAB = SHORTLIST + 1 + RARE  # shortlist, end, rare classes: 32 classes of 32 words
 SEGMENT_BYTES, TOGETHER_BYTES = 8 << 20, 12 << 20
+TOGETHER, OUTPUTS = 1024, 8192  # documents that step together, states whose outputs are worked out together
 ROUNDS, STREAMS, WINDOW, RATE = 4, 128, 24, 0.02
 END_HASH = U64(0x5BD1E9955BD1E995)
 _MARK = np.zeros(256, bool)
@@ -72,6 +73,14 @@ def rare_class(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (mark * 16 + np.minimum(low, 7) * 2 + long).astype(np.uint8)[back]
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in the order of their first places, those places, and each value's number among them."""
+    coded = pa.array(h).dictionary_encode()
+    of = coded.indices.to_numpy()
+    seen = np.maximum.accumulate(of)
+    return coded.dictionary.to_numpy(), np.flatnonzero(np.diff(seen, prepend=-1)), of
+
+
 def _bin(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -89,7 +98,7 @@ _CODED = "kind int, seg long, bucket int, a binary, b binary, c binary, d binary
 def _code(buckets: int):
     """Segments: documents as indices into the segment's words (kind 0); words by bucket (kind 1)."""
 
-    @lean
+    @steady
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -103,7 +112,7 @@ def _code(buckets: int):
                 # every document ends with the end token
                 all_h = np.insert(h, w.first[1:], END_HASH)
                 trains = np.repeat(~held, n + 1)
-                u, at, of = np.unique(all_h, return_index=True, return_inverse=True)
+                u, at, of = _distinct(all_h)
                 count = np.bincount(of, trains, len(u)).astype(np.int64)
                 # position of each distinct word among the block's words, for its shape
                 word_at = at - np.searchsorted(w.first[1:] + np.arange(hi - lo), at)
@@ -249,28 +258,57 @@ def initial(lexicon: Lexicon, seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gates(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Input and state weights as (3, rows, HIDDEN): of both gates, halved as sigmoid(a) = tanh(a / 2) / 2 + 1 / 2, and of the candidate.
+
+    The candidate's state weights are halved too: it reads (tanh + 1) times them.
+    """
+    half = w["P"].dtype.type(0.5)
+    p, u = (np.ascontiguousarray(w[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "PU")
+    p[:2] *= half
+    u *= half
+    return p, u
+
+
+def _steps(w: dict[str, np.ndarray], rows: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], None]:
+    """A function of (ids read, states before, states after), for at most ``rows`` documents at once."""
+    p, u = _gates(w)
+    half = p.dtype.type(0.5)
+    by_state, by_input = np.empty(3 * rows * HIDDEN, p.dtype), np.empty(3 * rows * HIDDEN, p.dtype)
+
+    def step(x: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
+        n = 3 * len(x) * HIDDEN
+        a, given = by_state[:n].reshape(3, -1, HIDDEN), by_input[:n].reshape(3, -1, HIDDEN)
+        p.take(x, axis=1, out=given, mode="clip")
+        np.matmul(h, u, out=a)
+        zr, z, q, c = a[:2], a[0], a[2], given[2]
+        zr += given[:2]
+        np.tanh(zr, out=zr)
+        c += q
+        q *= zr[1]
+        c += q
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=q)
+        q *= half
+        z *= q
+        c += q
+        np.add(c, z, out=out)
+
+    return step
 
 
 def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The state after reading ``x``."""
-    p, q = w["P"][x], h @ w["U"]
-    zr = p[:, : 2 * HIDDEN]
-    zr += q[:, : 2 * HIDDEN]
-    zr *= 0.5
-    np.tanh(zr, out=zr)
-    zr *= 0.5
-    zr += 0.5
-    c = zr[:, HIDDEN:] * q[:, 2 * HIDDEN :]
-    c += p[:, 2 * HIDDEN :]
-    np.tanh(c, out=c)
-    out = h - c
-    out *= zr[:, :HIDDEN]
-    out += c
+    out = np.empty_like(h)
+    _steps(w, len(x))(x, h, out)
     return out
 
 
+def _near(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit can leave the range of exponentials: a state's values lie from -1 to 1."""
+    return bool((np.abs(weights).sum(1) + np.abs(bias)).max() < 80)
+
+
 def _shift(a: np.ndarray) -> None:
     """Take a constant off each row so that exponentials stay in range: one for all rows where they lie close enough, else each row's largest."""
     a -= a.max(initial=-np.inf)
@@ -278,10 +316,11 @@ def _shift(a: np.ndarray) -> None:
         a -= a.max(1, keepdims=True)
 
 
-def _log_prob(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_prob(a: np.ndarray, at: np.ndarray, near: bool = False) -> np.ndarray:
     """Log-softmax of each row at one column; ``a`` is used up."""
-    _shift(a)
-    own = a[np.arange(len(a)), at]
+    if not near:
+        _shift(a)
+    own = a.ravel().take(np.arange(0, a.size, a.shape[1]) + at)
     np.exp(a, out=a)
     return own - np.log(a @ np.ones(a.shape[1], a.dtype))
 
@@ -294,21 +333,22 @@ def _cuts(cls: np.ndarray) -> list[tuple[int, slice, slice]]:
 
 def _within(w: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray, cuts: list[tuple[int, slice, slice]]) -> np.ndarray:
     """Logits of the words of each position's own class: a product a class, side by side."""
-    a = w["bw"].reshape(-1, CLASS_SIZE)[cls]
-    part = np.empty_like(a)
+    a = np.empty((len(h), CLASS_SIZE), h.dtype)
     for _, i, words in cuts:
-        np.matmul(h[i], w["Ww"][words].T, out=part[i])
-    a += part
+        np.matmul(h[i], w["Ww"][words].T, out=a[i])
+        a[i] += w["bw"][words]
     return a
 
 
-def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
+def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, near: bool = False) -> np.ndarray:
     """Natural log-probability of each next id: class, then word within the class."""
     order = np.argsort(y.astype(np.uint16), kind="stable")
-    h, ys = h[order], y[order]
+    h, ys = h.take(order, axis=0), y.take(order).astype(np.int64)
     cls = ys // CLASS_SIZE
-    own = _log_prob(h @ w["Wc"].T + w["bc"], cls)
-    own += _log_prob(_within(w, h, cls, _cuts(cls)), ys - cls * CLASS_SIZE)
+    a = h @ w["Wc"].T
+    a += w["bc"]
+    own = _log_prob(a, cls, near)
+    own += _log_prob(_within(w, h, cls, _cuts(cls)), ys - cls * CLASS_SIZE, near)
     out = np.empty_like(own)
     out[order] = own
     return out
@@ -319,7 +359,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.nda
     steps, streams = x.shape
     kind = w["P"].dtype
     n, half = kind.type(steps * streams), kind.type(0.5)
-    inputs = w["P"][x]
+    inputs = w["P"].take(x, axis=0)
     inputs[:, :, : 2 * HIDDEN] *= half  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
     u_zr, u_c = half * w["U"][:, : 2 * HIDDEN], np.ascontiguousarray(w["U"][:, 2 * HIDDEN :])
     fresh = (x != end)[:, :, None]
@@ -346,16 +386,18 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h0: np.nda
     # positions by class, so that each class is one slice
     ys = y.ravel()
     order = np.argsort(ys.astype(np.uint16), kind="stable")
-    flat, ys = hs.reshape(-1, HIDDEN)[order], ys[order]
+    flat, ys = hs.reshape(-1, HIDDEN).take(order, axis=0), ys.take(order)
     cls = ys // CLASS_SIZE
-    d = _softmax(flat @ w["Wc"].T + w["bc"])
+    d = flat @ w["Wc"].T
+    d += w["bc"]
+    d = _softmax(d, _near(w["Wc"], w["bc"]))
     d[np.arange(len(ys)), cls] -= 1
     d /= n
     np.matmul(d.T, flat, out=g["Wc"])
     d.sum(0, out=g["bc"])
     dh = d @ w["Wc"]
     cuts = _cuts(cls)
-    d = _softmax(_within(w, flat, cls, cuts))
+    d = _softmax(_within(w, flat, cls, cuts), _near(w["Ww"], w["bw"]))
     d[np.arange(len(ys)), ys - cls * CLASS_SIZE] -= 1
     d /= n
     g["Ww"][:], g["bw"][:] = 0, 0
@@ -408,12 +450,12 @@ def _row_sums(rows: np.ndarray, ids: np.ndarray, out: np.ndarray, deep: int = 12
     n = np.diff(start, append=len(ids))
     by = np.argsort(-n, kind="stable")
     start, n = start[by], n[by]
-    total = rows[order[start]]
+    total = rows.take(order[start], axis=0)
     for k in range(1, deep):
         more = int(np.searchsorted(-n, -k, "left"))  # ids with over k rows
         if not more:
             break
-        total[:more] += rows[order[start[:more] + k]]
+        total[:more] += rows.take(order[start[:more] + k], axis=0)
     for i in range(int(np.searchsorted(-n, -deep, "left"))):
         rest = rows[order[start[i] + deep : start[i] + n[i]]]
         total[i] += np.ones(len(rest), rows.dtype) @ rest
@@ -421,8 +463,9 @@ def _row_sums(rows: np.ndarray, ids: np.ndarray, out: np.ndarray, deep: int = 12
     out[sorted_ids[start]] = total
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    _shift(a)
+def _softmax(a: np.ndarray, near: bool = False) -> np.ndarray:
+    if not near:
+        _shift(a)
     np.exp(a, out=a)
     a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
     return a
@@ -476,24 +519,27 @@ def score_documents(w: dict[str, np.ndarray], tokens: np.ndarray, n: np.ndarray,
     start = np.cumsum(n) - n
     out = np.zeros(len(n))
     longest_first = np.argsort(-n, kind="stable")
-    for at in range(0, len(n), 4096):
-        group = longest_first[at : at + 4096]
+    step = _steps(w, min(len(n), TOGETHER))
+    near = _near(w["Wc"], w["bc"]) and _near(w["Ww"], w["bw"])
+    for at in range(0, len(n), TOGETHER):
+        group = longest_first[at : at + TOGETHER]
         s, size = start[group], n[group]
         alive = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # documents longer than t lead the group
         h = np.zeros((len(group), HIDDEN), w["P"].dtype)
         x = np.full(len(group), end)
-        states, ids, rows, held = [], [], [], 0
+        states = np.empty((OUTPUTS + len(group), HIDDEN), h.dtype)
+        ids, rows, held = [], [], 0
         for t, live in enumerate(alive.tolist()):
-            h = _step(w, x[:live], h[:live])
-            x = tokens[s[:live] + t]
-            states.append(h)
+            after = states[held : held + live]
+            step(x[:live], h[:live], after)
+            h, x = after, tokens.take(s[:live] + t)
             ids.append(x)
             rows.append(group[:live])
             held += live
-            if held > 16384 or t + 1 == len(alive):  # a window's outputs at once
-                lp = log_probs(w, np.concatenate(states), np.concatenate(ids))
+            if held > OUTPUTS or t + 1 == len(alive):  # a window's outputs at once
+                lp = log_probs(w, states[:held], np.concatenate(ids), near)
                 out += np.bincount(np.concatenate(rows), lp, len(n))
-                states, ids, rows, held = [], [], [], 0
+                h, ids, rows, held = h.copy(), [], [], 0
     return out / np.log(10)
 
 
@@ -509,7 +555,7 @@ def _train_round(shared, lexicon, number: int, rounds: int):
     A document is learned in one round, the whole of it; the rounds together learn all.
     """
 
-    @lean
+    @steady
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -550,7 +596,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _score(shared, lexicon):
-    @lean
+    @steady
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         for batch in batches:

@@ -90,6 +90,35 @@ def lean(run: Callable) -> Callable:
     return whole
 
 
+#: Fixed values of mallopt: its two options, the largest block from the heap, and how much free memory stays on it.
+_TRIM, _MMAP, HEAP_BLOCK, HEAP_FREE = -1, -3, 16 << 20, 64 << 20
+
+
+def steady(run: Callable) -> Callable:
+    """A lean() function whose arrays come and go many times a second: free memory stays with the worker until the task ends.
+
+    Else the C library gives each larger array back to the system and takes new pages for the next.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        keep_free()
+        yield from lean(run)(batches)
+
+    return whole
+
+
+def keep_free() -> None:
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_MMAP, HEAP_BLOCK)
+        libc.mallopt(_TRIM, HEAP_FREE)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def lean_group(run: Callable) -> Callable:
     """The same for a function of one group's table, after each group that is not small."""
 
