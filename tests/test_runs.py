@@ -147,3 +147,22 @@ def test_killed_task_and_killed_driver(tmp_path):
     assert worked == "2 3"
     assert ids.split() == sorted(f"c{i}" for i in range(40))  # each claim once
     assert folders == "5"  # the lost part's first folder is there, and nobody reads it
+
+
+def test_parts_together_are_one_job_and_commit_each(spark, tmp_path):
+    run, calls = runs.plan(items(spark, 100), str(tmp_path / "r"), ["ord"], 10), []
+    counted = lambda df: calls.append(1) or work(df)
+    lose = lambda df: counted(df.filter("claim_id <> 'c7'"))
+    with pytest.raises(ValueError, match="9 rows for 10 items"):
+        runs.advance(run, spark, lose, lanes=1, together=5)
+    assert len(calls) == 2 and len(runs.missing(run, spark)) == 1  # the sound parts of both writes stand
+    other = runs.plan(items(spark, 100), str(tmp_path / "o"), ["ord"], 10)
+    first = lambda df: runs.advance(other, spark, work, parts=[1]) and work(df)
+    runs.advance(other, spark, lambda df: first(df) if not runs.commits(other, spark).count() else work(df), lanes=1, together=10)
+    got = [r.claim_id for r in runs.results(other, spark).collect()]  # part 1 lies in two folders, one of which counts
+    assert got == [f"c{i}" for i in range(99, -1, -1)]
+    broken = lambda df: work(df).withColumn("claim_id", F.when(F.col("claim_id") == "c95", "x").otherwise(F.col("claim_id")))
+    third = runs.plan(items(spark, 100), str(tmp_path / "t"), ["ord"], 10)
+    with pytest.raises(ValueError, match="other items"):
+        runs.advance(third, spark, broken, lanes=1, together=10)
+    assert len(runs.missing(third, spark)) == 1

@@ -2,9 +2,9 @@
 
 ``plan`` numbers the items in asked order and stores them in parts; the plan is bound to
 the items' fingerprint and the run's configuration, so a run never goes on over other
-items.  ``advance`` works the parts that no commit names, several at a time: a part is
-written to a folder of its own, read back, compared with the plan (each asked id once,
-nothing else), and then named by a commit record.  A run that dies between the two leaves
+items.  ``advance`` works the parts that no commit names, several at a time: a part, or
+some parts together, is written to a folder of its own, read back, compared with the plan
+(each asked id once, nothing else), and then each part is named by a commit record.  A run that dies between the two leaves
 a folder that nobody reads; two runs of one part leave one commit.  ``results`` reads the
 committed parts alone and puts them in asked order.  Failed rows are results, never silently
 run again: ``again`` opens a new generation for them and leaves the old rows where they are.
@@ -79,42 +79,68 @@ def missing(run: Run, spark: SparkSession) -> list[int]:
     return [k for k in range(run.parts) if _name(k) not in done]
 
 
-def advance(run: Run, spark: SparkSession, work: Work, lanes: int = 4, parts: Sequence[int] | None = None, tasks: int | None = None) -> list[int]:
+def advance(run: Run, spark: SparkSession, work: Work, lanes: int = 4, parts: Sequence[int] | None = None, tasks: int | None = None, together: int = 1) -> list[int]:
     """Work on the missing parts (of ``parts``, if given), ``lanes`` at a time; numbers of those committed by this call.
 
-    ``work`` takes a part's items and returns one row a claim_id.  A part that fails leaves
-    the others to finish; the first error is raised when they have.
+    ``work`` takes the items of a part, or of up to ``together`` parts, and returns one row a
+    claim_id.  Where items cost little, many parts together save as many jobs; what a dead
+    call loses is that much more.  A part that fails leaves the others to finish: parts whose
+    job fails together are worked one by one.  The first error is raised at the end.
     """
     ledger, items = run.ledger(spark), run.items(spark)
-    todo = [k for k in missing(run, spark) if parts is None or k in set(parts)]
-
-    def one(part: int) -> bool:
-        mine = items.filter(F.col("part") == part).drop("part", "asked")
-        mine = mine.repartition(tasks) if tasks else mine
-        folder = f"rows/{part:010d}-{uuid.uuid4().hex}"
-        work(mine).write.parquet(f"{ledger.path}/{folder}")
-        back = spark.read.parquet(f"{ledger.path}/{folder}")
-        asked, got = (fingerprint.of(x, ["claim_id"]) for x in (mine, back))
-        if asked != got:
+    asked_for = None if parts is None else set(parts)
+    todo = [k for k in missing(run, spark) if asked_for is None or k in asked_for]
+    size = max(1, min(together, -(-len(todo) // max(1, lanes))))
+
+    def some(group: list[int]) -> tuple[list[int], Exception | None]:
+        """(parts committed, first error) of one write."""
+        mine = items.filter(F.col("part").isin(group))
+        rows = mine.drop("part", "asked")
+        folder = f"rows/{group[0]:010d}-{uuid.uuid4().hex}"
+        try:
+            work(rows.repartition(tasks) if tasks else rows).write.parquet(f"{ledger.path}/{folder}")
+            back = spark.read.parquet(f"{ledger.path}/{folder}")
+            found = {r["part"]: r for r in _compared(mine.select("claim_id", "part"), back).collect()}  # one row a part
+        except Exception as e:  # noqa: BLE001 - the other parts go on
+            return one_by_one(group, folder) if len(group) > 1 else ([], e)
+        if None in found and len(group) > 1:  # rows of other items: whose fault it is, only its own job tells
+            return one_by_one(group, folder)
+        won, named, error = [], False, None
+        for k in group:
+            r = found[k]
+            if None in found or r["wrong"]:
+                n = r["got"] + (found[None]["got"] if None in found else 0)
+                error = error or ValueError(f"part {k}: {n} rows for {r['n']} items, or rows of other items")
+            elif ledger.commit(_name(k), {"part": k, "folder": folder, "rows": r["n"], "failed": r["failed"], "ids": r["ids"]}):
+                won.append(k)
+                named = True
+        if not named:
             ledger.delete(folder)
-            raise ValueError(f"part {part}: {got[0]} rows for {asked[0]} items, or rows of other items")
-        failed = back.filter("execution_status <> 'ok'").count() if "execution_status" in back.columns else 0
-        if ledger.commit(_name(part), {"part": part, "folder": folder, "rows": got[0], "failed": failed, "ids": got[1]}):
-            return True
+        return won, error
+
+    def one_by_one(group: list[int], folder: str) -> tuple[list[int], Exception | None]:
         ledger.delete(folder)
-        return False
+        each = [some([k]) for k in group]
+        return [k for won, _ in each for k in won], next((e for _, e in each if e), None)
 
-    won, errors = [], []
     with ThreadPoolExecutor(max(1, lanes)) as pool:
-        for part, job in [(k, pool.submit(one, k)) for k in todo]:
-            try:
-                if job.result():
-                    won.append(part)
-            except Exception as e:  # noqa: BLE001 - the other parts go on
-                errors.append(e)
-    if errors:
-        raise errors[0]
-    return won
+        done = list(pool.map(some, [todo[i : i + size] for i in range(0, len(todo), size)]))
+    for _, error in done:
+        if error:
+            raise error
+    return [k for won, _ in done for k in won]
+
+
+def _compared(asked: DataFrame, back: DataFrame) -> DataFrame:
+    """(part, n, got, wrong, failed, ids): items of each part, rows that came for them, items without their one row; part null: rows of no item."""
+    failed = F.count_if(F.col("execution_status") != "ok") if "execution_status" in back.columns else F.lit(0).cast("long")
+    got = back.groupBy("claim_id").agg(F.count("*").alias("_got"), failed.alias("_failed")).withColumnRenamed("claim_id", "_id")
+    j = asked.join(got, F.col("claim_id") == F.col("_id"), "full")
+    n, wrong = F.coalesce("_got", F.lit(0)), F.coalesce(F.col("_got"), F.lit(0)) != 1
+    per = j.groupBy("part").agg(
+        F.count("claim_id").alias("n"), F.sum(n).alias("got"), F.count_if(wrong).alias("wrong"), F.sum(F.coalesce("_failed", F.lit(0))).alias("failed"), *fingerprint.sums(["claim_id"])
+    )
+    return per.select("part", "n", "got", "wrong", "failed", fingerprint.digest(F.col("n")).alias("ids"))
 
 
 def commits(run: Run, spark: SparkSession) -> DataFrame:
@@ -128,11 +154,17 @@ def results(run: Run, spark: SparkSession, whole: bool = True) -> DataFrame:
     """Committed rows in asked order, each claim once; parts without a commit are an error unless ``whole`` is off."""
     if whole and (gone := missing(run, spark)):
         raise ValueError(f"{len(gone)} of {run.parts} parts are not committed, the first is {gone[0]}")
-    folders = [f"{run.path}/{r['folder']}" for r in commits(run, spark).select("folder").collect()]  # one short row a part
+    named = commits(run, spark).select("part", F.col("folder").alias("_folder"))
+    folders = sorted({f"{run.path}/{r['_folder']}" for r in named.collect()})  # one short row a part
     if not folders:
         return run.items(spark).limit(0).select("claim_id")
     rows = spark.read.parquet(*folders)
-    return rows.join(run.items(spark).select("claim_id", "asked"), "claim_id").orderBy("asked").drop("asked")
+    names = rows.columns
+    # a folder may hold parts that another call committed first, from a folder of its own
+    rows = rows.withColumn("_from", F.regexp_extract(F.col("_metadata.file_path"), r"/(rows/[^/]+)/[^/]+$", 1))
+    asked = run.items(spark).select("claim_id", "asked", "part").join(F.broadcast(named), "part")
+    j = rows.join(asked, "claim_id").filter(F.col("_from") == F.col("_folder"))
+    return j.orderBy("asked").select(*names)
 
 
 def again(run: Run, spark: SparkSession, part_rows: int = 10_000) -> Run | None:

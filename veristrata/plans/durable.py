@@ -35,10 +35,10 @@ def resumed_run(spark, sf):
     items = p.select("claim_id", F.substring("claim_id", 9, 20).cast("long").alias("k"), F.col("fam").alias("claim"), F.col("gold").alias("evidence")).withColumn("k", -F.col("k"))
     run = runs.plan(items, _place(spark, "run"), ["k"], 4096, "B1:7")
     work = lambda df: methods.single_judge(df, "B1", 7)
-    runs.advance(run, spark, work, parts=range(0, run.parts, 2))
+    runs.advance(run, spark, work, parts=range(0, run.parts, 2), together=256)
     first = runs.commits(run, spark).select("part", F.lit(0).alias("first_call"))
     first = spark.createDataFrame(first.collect(), first.schema)  # one short row a part, as the first call left them
-    runs.advance(run, spark, work)
+    runs.advance(run, spark, work, together=256)
     asked = run.items(spark).select("claim_id", F.col("asked").alias("place"), "part").join(F.broadcast(first), "part", "left")
     return runs.results(run, spark).join(asked, "claim_id").select("claim_id", "label", "place", F.coalesce("first_call", F.lit(1)).alias("first_call"))
 
