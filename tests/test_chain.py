@@ -145,3 +145,22 @@ def test_a_claim_in_many_reports_is_judged_once(spark, monkeypatch):
     shown = spark.createDataFrame([("c", 1, "D1:1:0-9", text)], "claim_id string, rank int, span_id string, text string")
     got = {r.report_id: (r.claim_id, r.link, r.card.split("Inference link: ")[1].split(".")[0]) for r in staged.report_verdicts(claims, cites, shown).collect()}
     assert seen == [2] and got == {"r1": ("c", "valid", "valid"), "r2": ("c", "unresolved", "unresolved"), "r3": ("c", "invalid", "invalid")}
+
+
+def test_live_steps_read_what_is_stored(spark):
+    claims = spark.createDataFrame([("c", "treatment improved survival", "q")], "claim_id string, claim_text string, neutral_question string")
+    shown = _passages(spark, ("c", 1, "D1:1:0-9", "treatment improved survival"))
+    reply = lambda: lambda p: json.dumps({"answer": "a", "cited_span_ids": ["D1:1:0-9"], "label": "supported"})
+    d = live.d1(claims, shown, reply, reply, backoff=0.0)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("from_json") == 1  # nothing is ranked or parsed again
+    assert [(r.label, r.cited, r.status) for r in d.collect()] == [("supported", ["D1:1:0-9"], "completed")]
+
+
+def test_verdicts_move_evidence_once(spark):
+    claims = spark.createDataFrame([("c", "treatment improved survival", "treatment survival", [])], "claim_id string, claim_text string, neutral_question string, dependencies array<string>")
+    cites = _citations(spark, ("c", 1, "D0:1:0-9", "treatment improved survival", "original"))
+    v = staged.verdicts(claims, cites, _passages(spark, ("c", 1, "D1:1:0-9", "treatment improved survival")))
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "/veristrata/" not in "".join(v.inputFiles())
+    assert v.first().link == "valid"

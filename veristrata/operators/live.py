@@ -27,12 +27,17 @@ def _spans(passages: DataFrame, order: str) -> DataFrame:
     return passages.groupBy("claim_id").agg(shown.alias("shown"))
 
 
-def _asked(rows: DataFrame, request: Column, client: Client, tag: str, backoff: float) -> DataFrame:
-    """Rows with ``reply`` and ``timed_out`` (null where a reply came)."""
+def _replies(rows: DataFrame, request: Column, client: Client, tag: str, backoff: float) -> DataFrame:
+    """(claim_id, reply, timed_out), the last null where a reply came."""
     sent = rows.select("claim_id", F.to_json(request, {"ignoreNullFields": "false"}).alias("prompt"))
-    got = stored(methods.model_stage(sent, client, backoff=backoff), tag)
+    got = methods.model_stage(sent, client, backoff=backoff)
     late = F.when(F.col("execution_status") != "ok", F.col("reply").startswith("TimeoutError"))
-    return rows.join(got.select("claim_id", "reply", late.alias("timed_out")), "claim_id")
+    return stored(got.select("claim_id", "reply", late.alias("timed_out")), tag)
+
+
+def _asked(rows: DataFrame, request: Column, client: Client, tag: str, backoff: float) -> DataFrame:
+    """Rows with ``reply`` and ``timed_out``."""
+    return rows.join(_replies(rows, request, client, tag, backoff), "claim_id")
 
 
 def _ids(shown: Column) -> Column:
@@ -62,19 +67,23 @@ def d1(claims: DataFrame, passages: DataFrame, reader: Client, judge: Client, li
     """
     shown = _spans(staged.cap(passages, limit), "rank")
     c = claims.select("claim_id", "claim_text", "neutral_question").join(shown, "claim_id", "left")
-    c = c.withColumn("shown", F.coalesce("shown", F.array().cast(shown.schema["shown"].dataType)))
-    r = _asked(c, reader_request(), reader, "reader-replies", backoff).withColumn("p", responses.reader_response(F.col("reply"), _ids(F.col("shown"))))
+    # every step reads what the one before stored: nothing is ranked, joined or parsed again
+    c = stored(c.withColumn("shown", F.coalesce("shown", F.array().cast(shown.schema["shown"].dataType))), "shown")
+    r = responses.with_reader_response(_asked(c, reader_request(), reader, "reader-replies", backoff), F.col("reply"), _ids(F.col("shown")), "p")
     ok = F.col("timed_out").isNull() & F.col("p.error").isNull()
-    r = r.withColumn("read", ok).withColumn("answer", F.when(ok, F.col("p.answer")).otherwise(NO_READER))
-    r = r.withColumn("reader_cited", F.when(ok, F.col("p.cited")).otherwise(staged.none()))
+    r = r.withColumn("read", ok).withColumn("answer", F.when(F.col("read"), F.col("p.answer")).otherwise(NO_READER))
+    r = r.withColumn("reader_cited", F.when(F.col("read"), F.col("p.cited")).otherwise(staged.none()))
     r = r.withColumn("seal", T.seal(F.col("neutral_question"), F.col("answer"), F.col("reader_cited")))
     kept = ["claim_id", "answer", "reader_cited", "seal"]
-    j = _asked(r.filter("read").drop("reply", "timed_out", "p"), judge_request(), judge, "judge-replies", backoff)
-    judged = j.select(*kept, responses.fail_closed(responses.judge_response(F.col("reply"), _ids(F.col("shown"))), F.col("timed_out")).alias("j"))
+    r = stored(r.select(*kept, "claim_text", "neutral_question", "shown", "read", F.col("timed_out").alias("reader_late"), F.col("p.error").alias("reader_error")), "read")
+    got = _replies(r.filter("read"), judge_request(), judge, "judge-replies", backoff)
+    spans = r.select(*kept, _ids(F.col("shown")).alias("spans"), "read", "reader_late", "reader_error")
+    j = responses.with_judge_response(spans.join(got, "claim_id", "left"), F.col("reply"), F.col("spans"), "p")
     # a reader that failed: its own reason, through the same rule
-    unread = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("label", "string"), ("cited", "array<string>"), ("rationale_codes", "array<string>"), ("uncertainty", "array<string>"))], F.col("p.error").alias("error"))
-    failed = r.filter(~F.col("read")).select(*kept, responses.fail_closed(unread, F.col("timed_out")).alias("j"))
-    return judged.unionByName(failed).select(*kept, "j.*")
+    unread = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("label", "string"), ("cited", "array<string>"), ("rationale_codes", "array<string>"), ("uncertainty", "array<string>"))], F.col("reader_error").alias("error"))
+    parsed, late = F.when(F.col("read"), F.col("p")).otherwise(unread), F.when(F.col("read"), F.col("timed_out")).otherwise(F.col("reader_late"))
+    j = j.withColumn("_parsed", parsed).withColumn("_late", late)
+    return j.select(*kept, responses.fail_closed(F.col("_parsed"), F.col("_late")).alias("j")).select(*kept, "j.*")
 
 
 def d0(claims: DataFrame, citations: DataFrame, client: Client, backoff: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -24,17 +24,31 @@ def _outside(cited: Column, allowed: Column) -> Column:
     return F.size(F.array_except(cited, allowed)) > 0
 
 
-def reader_response(text: Column, allowed: Column) -> Column:
-    """struct(answer, cited, error): text and spans that were shown, or why not."""
-    r = T.first_json_object(text, _READER)
-    error = (
+def _reader_error(r: Column, allowed: Column) -> Column:
+    return (
         F.when(r.isNull(), "no JSON object").when(F.trim(F.coalesce(r["answer"], F.lit(""))) == "", "missing answer")
         .when(r["cited_span_ids"].isNull() | F.exists(r["cited_span_ids"], lambda x: F.coalesce(x, F.lit("")) == ""), "cited spans are no list")
         .when(_outside(r["cited_span_ids"], allowed), "cited a span that was not supplied")
     )
+
+
+def _read(r: Column, error: Column) -> Column:
     return F.struct(F.when(error.isNull(), F.trim(r["answer"])).alias("answer"), F.when(error.isNull(), r["cited_span_ids"]).alias("cited"), error.alias("error"))
 
 
+def reader_response(text: Column, allowed: Column) -> Column:
+    """struct(answer, cited, error): text and spans that were shown, or why not."""
+    r = T.first_json_object(text, _READER)
+    return _read(r, _reader_error(r, allowed))
+
+
+def with_reader_response(rows: DataFrame, text: Column, allowed: Column, name: str) -> DataFrame:
+    """reader_response() as a column of ``rows``, its JSON parsed once a row."""
+    d = rows.withColumn("_json", T.first_json_object(text, _READER))
+    d = d.withColumn("_error", _reader_error(F.col("_json"), allowed))
+    return d.withColumn(name, _read(F.col("_json"), F.col("_error"))).drop("_json", "_error")
+
+
 def _judge_error(r: Column, text: Column, allowed: Column) -> Column:
     bad = lambda c, ok: r[c].isNull() & _present(text, c) | F.coalesce(F.exists(r[c], lambda x: ~ok(x)), F.lit(False))
     return (
@@ -65,6 +79,13 @@ def judge_response(text: Column, allowed: Column) -> Column:
     return F.struct(*_judged(r, error), error.alias("error"))
 
 
+def with_judge_response(rows: DataFrame, text: Column, allowed: Column, name: str) -> DataFrame:
+    """judge_response() as a column of ``rows``, its JSON parsed once a row."""
+    d = rows.withColumn("_json", T.first_json_object(text, _JUDGE))
+    d = d.withColumn("_error", _judge_error(F.col("_json"), text, allowed))
+    return d.withColumn(name, F.struct(*_judged(F.col("_json"), F.col("_error")), F.col("_error").alias("error"))).drop("_json", "_error")
+
+
 def audit_response(text: Column, allowed: Column) -> Column:
     """judge_response() with ``rated``, a map span -> (adequacy, defects); a later rating of a span wins."""
     r = T.first_json_object(text, _AUDIT)
