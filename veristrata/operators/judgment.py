@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,37 +34,51 @@ def decide(stances: DataFrame, keys: list[str], *more: Column, shown: str | None
     supported causal claim on evidence without causal words; else support or
     contradiction, citing the decisive passages only.
     """
-    on = F.col("addresses")
+    a = stances.groupBy(*keys).agg(*decision_parts(F.col("addresses")), *more)
+    a = a.withColumn("code", code_of())
+    label, cited = label_of(F.col("code")), chosen_of(F.col("code"), "span_id")
+    beside = [chosen_of(F.col("code"), "stance").alias(shown)] if shown else []
+    kept = [c for c in a.columns if c not in {*keys, "any", "mixed", "sup", "con", "causal", "shown", "spans", "code"}]
+    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"), *beside, *kept)
+
+
+def decision_parts(on: Column, prefix: str = "") -> list[Column]:
+    """Aggregates that decide() rests on, over the rows where ``on``."""
     has = lambda s: F.coalesce(F.bool_or(on & (F.col("stance") == s)), F.lit(False))
-    span = F.struct("ord", "span_id", "stance")
-    a = stances.groupBy(*keys).agg(
-        F.coalesce(F.bool_or(on), F.lit(False)).alias("any"), has("mixed").alias("mixed"), has("support").alias("sup"), has("contradict").alias("con"),
-        F.coalesce(F.bool_or(F.col("claim_causal")), F.lit(False)).alias("causal"), F.coalesce(F.bool_or(on & F.col("text_causal")), F.lit(False)).alias("shown"),
-        F.sort_array(F.collect_list(F.when(on, span))).alias("spans"), *more,
-    )
-    conflict = F.col("mixed") | (F.col("sup") & F.col("con"))
-    none = ~F.col("sup") & ~F.col("con")
-    code = (
-        F.when(~F.col("any"), "no_addressing_passage")
-        .when(conflict, "conflicting_results")
-        .when(none, "inconclusive_relevant_evidence")
-        .when(F.col("sup") & F.col("causal") & ~F.col("shown"), "causal_overreach")
-        .when(F.col("sup"), "supporting_direction")
+    parts = {
+        "any": F.coalesce(F.bool_or(on), F.lit(False)), "mixed": has("mixed"), "sup": has("support"), "con": has("contradict"),
+        "causal": F.coalesce(F.bool_or(F.col("claim_causal")), F.lit(False)), "shown": F.coalesce(F.bool_or(on & F.col("text_causal")), F.lit(False)),
+        "spans": F.sort_array(F.collect_list(F.when(on, F.struct("ord", "span_id", "stance")))),
+    }
+    return [c.alias(prefix + name) for name, c in parts.items()]
+
+
+def code_of(prefix: str = "") -> Column:
+    """The code that decision_parts() lead to."""
+    c = lambda name: F.col(prefix + name)
+    return (
+        F.when(~c("any"), "no_addressing_passage")
+        .when(c("mixed") | (c("sup") & c("con")), "conflicting_results")
+        .when(~c("sup") & ~c("con"), "inconclusive_relevant_evidence")
+        .when(c("sup") & c("causal") & ~c("shown"), "causal_overreach")
+        .when(c("sup"), "supporting_direction")
         .otherwise("contradicting_direction")
     )
-    label = (
-        F.when(F.col("code") == "no_addressing_passage", "unaddressed")
-        .when(F.col("code") == "supporting_direction", "supported")
-        .when(F.col("code") == "contradicting_direction", "contradicted")
+
+
+def label_of(code: Column) -> Column:
+    return (
+        F.when(code == "no_addressing_passage", "unaddressed")
+        .when(code == "supporting_direction", "supported")
+        .when(code == "contradicting_direction", "contradicted")
         .otherwise("underdetermined")
     )
-    decisive = F.when(F.col("code").isin("supporting_direction", "causal_overreach"), "support").when(F.col("code") == "contradicting_direction", "contradict")
-    a = a.withColumn("code", code)
-    chosen = F.filter("spans", lambda s: decisive.isNull() | (s["stance"] == decisive))
-    cited = F.transform(chosen, lambda s: s["span_id"])
-    beside = [F.transform(chosen, lambda s: s["stance"]).alias(shown)] if shown else []
-    kept = [c for c in a.columns if c not in {*keys, "any", "mixed", "sup", "con", "causal", "shown", "spans", "code"}]
-    return a.select(*keys, label.alias("label"), "code", cited.alias("cited"), *beside, *kept)
+
+
+def chosen_of(code: Column, field: str, prefix: str = "") -> Column:
+    """A field of the passages that a code rests on: the decisive ones, or all that address the claim."""
+    decisive = F.when(code.isin("supporting_direction", "causal_overreach"), "support").when(code == "contradicting_direction", "contradict")
+    return F.transform(F.filter(F.col(prefix + "spans"), lambda s: decisive.isNull() | (s["stance"] == decisive)), lambda s: s[field])
 
 
 def with_defects(claims: DataFrame, citations: DataFrame) -> DataFrame:
@@ -70,16 +86,22 @@ def with_defects(claims: DataFrame, citations: DataFrame) -> DataFrame:
 
     A claim without citations keeps one row, which misses its citation.
     """
-    guard = F.when(F.col("access_scope") != "D0", F.raise_error(F.lit("the audit reads D0 evidence only")).cast("string")).otherwise(F.col("access_scope"))
-    c = claims.join(citations.withColumn("access_scope", guard).withColumn("_cited", F.lit(True)), "claim_id", "left")
-    defects = F.filter(
-        F.array(
-            F.when(F.col("span_id").isNull() | (F.coalesce("text", F.lit("")) == ""), "missing_required_citation"),
-            F.when(F.col("_cited") & (F.coalesce("provenance", F.lit("")) != "original"), "missing_provenance"),
-        ),
-        lambda d: d.isNotNull(),
+    c = claims.join(citations.withColumn("access_scope", d0_only()).withColumn("_cited", F.lit(True)), "claim_id", "left")
+    return c.withColumn("defects", defects_of(F.col("_cited"))).withColumn("usable", F.size("defects") == 0).drop("_cited")
+
+
+def d0_only() -> Column:
+    """access_scope; another one than D0 is an error."""
+    return F.when(F.col("access_scope") != "D0", F.raise_error(F.lit("the audit reads D0 evidence only")).cast("string")).otherwise(F.col("access_scope"))
+
+
+def defects_of(cited: Column) -> Column:
+    """What a row of a citation (span_id, text, provenance) lacks; where not ``cited``, it is none."""
+    defects = F.array(
+        F.when(F.col("span_id").isNull() | (F.coalesce("text", F.lit("")) == ""), "missing_required_citation"),
+        F.when(cited & (F.coalesce("provenance", F.lit("")) != "original"), "missing_provenance"),
     )
-    return c.withColumn("defects", defects).withColumn("usable", F.size("defects") == 0).drop("_cited")
+    return F.filter(defects, lambda d: d.isNotNull())
 
 
 def audit(claims: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +114,8 @@ def audit(claims: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame
     return flags_of(c), judged_of(c)
 
 
-def flags_of(c: DataFrame) -> DataFrame:
-    """Rows of with_stance(with_defects()) -> a flag each: the label policy on that citation alone."""
+def flags_of(c: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Rows of with_stance(with_defects()) -> a flag each, ``more`` columns beside it: the label policy on that citation alone."""
     on, kind = F.coalesce("addresses", F.lit(False)), F.col("stance")
     code = (
         F.when(~on, "no_addressing_passage")
@@ -110,7 +132,7 @@ def flags_of(c: DataFrame) -> DataFrame:
         .otherwise("unverifiable")
     )
     found = F.when(~F.col("usable"), F.col("defects")).when(F.col("_code") == "supporting_direction", F.array().cast("array<string>")).otherwise(F.array("_code"))
-    return f.select("claim_id", "ord", "span_id", adequacy.alias("adequacy"), found.alias("defects"))
+    return f.select("claim_id", "ord", "span_id", adequacy.alias("adequacy"), found.alias("defects"), *more)
 
 
 def judged_of(c: DataFrame) -> DataFrame:
@@ -127,11 +149,15 @@ def judged_of(c: DataFrame) -> DataFrame:
     )
 
 
+def worst_of(adequacy: Column) -> Column:
+    """Worst adequacy of a group."""
+    level = F.when(adequacy == "inadequate", 2).when(adequacy == "unverifiable", 1).when(adequacy.isNotNull(), 0)
+    return F.element_at(F.array(F.lit("adequate"), F.lit("unverifiable"), F.lit("inadequate")), F.coalesce(F.max(level), F.lit(2)) + 1)
+
+
 def rollup_adequacy(flags: DataFrame) -> DataFrame:
     """Worst flag of a claim."""
-    level = F.when(F.col("adequacy") == "inadequate", 2).when(F.col("adequacy") == "unverifiable", 1).otherwise(0)
-    worst = F.coalesce(F.max(level), F.lit(2))
-    return flags.groupBy("claim_id").agg(F.element_at(F.array(F.lit("adequate"), F.lit("unverifiable"), F.lit("inadequate")), worst + 1).alias("adequacy"))
+    return flags.groupBy("claim_id").agg(worst_of(F.coalesce("adequacy", F.lit("adequate"))).alias("adequacy"))
 
 
 def agree(d0: Column, d1: Column, s0: Column, s1: Column) -> Column:
@@ -217,12 +243,22 @@ def read_evidence(questions: DataFrame, passages: DataFrame) -> DataFrame:
     needs no driver state); those with two shared content words are quoted.
     """
     q = assert_isolated(questions).join(assert_isolated(passages), "claim_id", "left")
+    a = q.groupBy("claim_id", "neutral_question").agg(quoted(F.lit(True)))
+    return sealed_of(a).select("claim_id", "neutral_question", "answer", "cited", "seal")
+
+
+def quoted(on: Column) -> Column:
+    """Aggregate ``p`` of sealed_of(): passages where ``on`` that share two content words with the question."""
     shared = F.size(F.array_intersect(T.content_tokens(F.col("neutral_question")), T.content_tokens(F.col("text")))) >= 2
     item = F.struct(F.sha2(F.concat_ws("\n", "neutral_question", "span_id"), 256).alias("o"), "span_id", "text")
-    a = q.groupBy("claim_id", "neutral_question").agg(F.sort_array(F.collect_list(F.when(shared, item))).alias("p"))
+    return F.sort_array(F.collect_list(F.when(on & shared, item))).alias("p")
+
+
+def sealed_of(a: DataFrame) -> DataFrame:
+    """Rows with neutral_question and the quoted passages ``p`` -> + answer, cited, seal."""
     said = F.array_join(F.transform("p", lambda x: F.concat(x["text"], F.lit(" ["), x["span_id"], F.lit("]"))), " ")
     a = a.withColumn("answer", F.when(F.size("p") > 0, said).otherwise(NO_ANSWER)).withColumn("cited", F.transform("p", lambda x: x["span_id"]))
-    return a.select("claim_id", "neutral_question", "answer", "cited", T.seal(F.col("neutral_question"), F.col("answer"), F.col("cited")).alias("seal"))
+    return a.withColumn("seal", T.seal(F.col("neutral_question"), F.col("answer"), F.col("cited"))).drop("p")
 
 
 # What a card advises next, by the first reason that is known.

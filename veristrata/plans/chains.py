@@ -29,8 +29,9 @@ def _text(n):
 def _lines(spark, sf, column: str) -> DataFrame:
     """(claim_id, n): parts or suppliers of each order that is there, once each."""
     o = V.table(spark, sf, "orders").select("o_orderkey")
-    x = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col(column).alias("n")).distinct()
-    return x.join(o, "o_orderkey", "left_semi").select(T.claim_id(F.col("o_orderkey")).alias("claim_id"), "n")
+    x = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col(column).alias("n"))
+    # the join's exchange serves the distinct rows too
+    return x.join(o, "o_orderkey", "left_semi").distinct().select(T.claim_id(F.col("o_orderkey")).alias("claim_id"), "n")
 
 
 def _passages(spark, sf) -> DataFrame:
