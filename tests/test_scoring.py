@@ -156,3 +156,16 @@ def test_draws_in_blocks_are_those_of_each_slot(spark):
         o = np.concatenate(list(draws.heads(r, 1, m))) % m + 1
         assert got[r] == (at % 3)[o].sum() / (at % 7)[o].sum()
     assert statistics.bootstrap(families.limit(0), ["a"], 3).count() == 0
+
+
+def test_components_have_more_partitions_on_more_edges(spark, monkeypatch):
+    from veristrata.operators import stored
+
+    seen, write, name = [], families.stored, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(stored, "TASK_ROWS", 20)
+    monkeypatch.setattr(families, "stored", lambda df, tag: seen.append(int(spark.conf.get(name))) or write(df, tag))
+    edges = spark.range(200).selectExpr("cast(id as string) as claim", "id div 10 as doc")
+    got = {r.claim: r.root for r in families.components(edges).collect()}
+    assert set(seen) == {20} and spark.conf.get(name) == before
+    assert got == {str(i): min(map(str, range(i // 10 * 10, i // 10 * 10 + 10))) for i in range(200)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import running
-from .stored import dropped, stored
+from .stored import dropped, stored, wide_shuffles
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,8 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges end as stars around the smallest node of each component.  A claim comes before
     every document, so the root is a claim.  A node of many edges is an aggregation, and
     joins meet it with one row, which AQE may split; rounds go on until nothing changes.
+    The number of partitions follows the number of edges, each of which is read from both
+    ends.
     """
-    cited = stored(edges.filter("claim is not null and doc is not null").select(F.col("claim").cast("string").alias("claim"), F.col("doc").cast("string").alias("doc")).distinct(), "families")
+    own = edges.filter("claim is not null and doc is not null")
+    with wide_shuffles(edges.sparkSession, 2 * own.count()):
+        return _stars(own)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    cited = stored(edges.select(F.col("claim").cast("string").alias("claim"), F.col("doc").cast("string").alias("doc")).distinct(), "families")
     # nodes as numbers, claims in the order of their ids and before all documents: rounds compare and hash longs
     claims = stored(running(cited.select("claim").distinct(), [F.col("claim")], {"b": F.lit(1).cast("long")}, tag="families"), "families")
     docs = stored(cited.select("doc").distinct().select("doc", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("a")), "families")
@@ -40,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
     roots = e.filter(F.col("a") < F.lit(1 << 62)).select(F.col("a").alias("b"), F.col("b").alias("_root"))
     named = claims.join(roots, "b", "left").select("claim", F.coalesce("_root", "b").alias("_root"))
-    return named.join(claims.select(F.col("claim").alias("root"), F.col("b").alias("_root")), "_root").select("claim", "root")
+    return stored(named.join(claims.select(F.col("claim").alias("root"), F.col("b").alias("_root")), "_root").select("claim", "root"), "families")
 
 
 def families(claims: DataFrame) -> DataFrame:

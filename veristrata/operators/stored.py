@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,25 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows that a shuffle's partition should hold before AQE joins small ones.
+TASK_ROWS = 200_000
+
+
+@contextmanager
+def wide_shuffles(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, shuffles have at least a partition for each TASK_ROWS of ``rows``, so that a task's memory does not grow with the input.
+
+    What is written within counts; a plan that runs later has the session's own number.
+    """
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(own), -(-rows // TASK_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of stored() that no later step reads."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
