@@ -55,6 +55,26 @@ def test_index_of_nothing(spark, tmp_path):
     assert index_store.ensure(corpus(spark, ["", None]), str(tmp_path), buckets=4).index.stats.first()["avgdl"] == 0.0
 
 
+def test_stored_index_is_searched_by_document(spark, tmp_path, monkeypatch):
+    odd = ["Na\u00efve word1 WORD1", "\u212aelvin \u0130x stra\u00dfe a\u00a0b", "x\x00y 9-9_9", "\u65e5\u672c 42"]
+    docs = corpus(spark, [*TEXTS, *odd])
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = retrieval.build_index(docs)
+    i = index_store.ensure(docs, str(tmp_path), buckets=8).index
+    assert plain(retrieval.from_counted(retrieval.counted(docs))) == plain(want.postings) == plain(i.postings)
+    assert plain(i.counted.select("doc_id", "dl")) == plain(retrieval.doc_stats(docs))  # a row each, empty ones too
+    many = spark.range(2500, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a a "), (F.col("id") % 7).cast("string")).alias("text"))
+    assert plain(retrieval.from_counted(retrieval.counted(many))) == plain(retrieval.full_postings(many))
+    q = spark.createDataFrame([("a", "word1 common"), ("b", "other2 other2 text 5"), ("c", "nowhere"), ("d", "kelvin b 9 na 42")], "claim_id string, query string")
+    hits = plain(retrieval.search(q, want, ["claim_id"], 8))
+    assert hits and {h[0] for h in hits} == {"a", "b", "d"}
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "scores", None)  # no posting is joined or moved
+        assert plain(retrieval.search(q, i, ["claim_id"], 8)) == hits
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert plain(retrieval.search(q, i, ["claim_id"], 8).select("claim_id", "doc_id", "score", "rank")) == hits
+
+
 def test_hits_are_the_same_by_either_join(spark, monkeypatch):
     q = spark.createDataFrame([("a", "word1 common"), ("b", "other2 other2 text 5"), ("c", "nowhere")], "claim_id string, query string")
     i = retrieval.build_index(corpus(spark))

@@ -1,8 +1,9 @@
 """A stored BM25 index that knows the corpus it was built from, and re-indexes only what changed.
 
-Documents fall into buckets by a hash of their id.  A version of the index is one commit
-record: the fingerprint and the postings folder of every bucket, and the folder of the
-term statistics.  ``ensure`` compares the corpus's fingerprints with those of the latest
+Documents fall into buckets by a hash of their id, and each is one row: its length, its
+terms with their frequencies, and the hash of its text.  A version of the index is one
+commit record: the fingerprint and the folder of every bucket, and the folder of the term
+statistics.  ``ensure`` compares the corpus's fingerprints with those of the latest
 version: equal means reuse without reading a posting, else the changed buckets alone are
 tokenized and written, and a new version names the old folders of all others.  A version
 appears whole or not at all, and older ones stay readable until ``prune``.
@@ -21,7 +22,7 @@ from ..sources.commits import Ledger, numbered
 from . import checks, fingerprint, retrieval
 from .stored import stored
 
-_POSTINGS = "doc_id long, term string, tf long, dl long"
+_ROWS = "doc_id long, dl long, terms array<string>, tfs array<long>"
 _HASHES = "doc_id long, sha256 string"
 
 
@@ -43,12 +44,16 @@ def prints(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, record: dict) -> retrieval.Index:
-    folders = [f"{path}/{p['folder']}/bucket={k}" for k, p in record["parts"].items() if p["folder"]]
-    post = spark.read.schema(_POSTINGS).parquet(*folders) if folders else spark.createDataFrame([], _POSTINGS)
+    rows = _rows(spark, path, record["parts"])
     terms = spark.read.schema("term string, df long, idf double").parquet(f"{path}/{record['terms']}")
     n, total = record["n_docs"], record["n_tokens"]
     stats = spark.createDataFrame([(n, total / n if n else None)], "n_docs long, avgdl double")
-    return retrieval.Index(post, terms, stats)
+    return retrieval.Index(retrieval.from_counted(rows), terms, stats, counted=rows)
+
+
+def _rows(spark: SparkSession, path: str, parts: dict) -> DataFrame:
+    folders = [f"{path}/{p['folder']}/bucket={k}" for k, p in parts.items()]
+    return spark.read.schema(_ROWS).parquet(*folders) if folders else spark.createDataFrame([], _ROWS)
 
 
 def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, config: retrieval.Bm25 = retrieval.Bm25(), refuse: bool = False) -> Stored:
@@ -59,7 +64,7 @@ def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, co
     spark = docs.sparkSession
     ledger = Ledger(spark, path)
     now = {str(r["bucket"]): r for r in prints(docs, buckets, text).collect()}  # one row a bucket
-    said = {**asdict(config), "buckets": buckets, "text": text}
+    said = {**asdict(config), "buckets": buckets, "text": text, "rows": "documents"}
     version, record = ledger.latest("index-")
     old = record["parts"] if record and record["config"] == said else {}
     if record and refuse and (not old or {k: p["fingerprint"] for k, p in old.items()} != {k: r["fingerprint"] for k, r in now.items()}):
@@ -70,26 +75,23 @@ def ensure(docs: DataFrame, path: str, text: str = "text", buckets: int = 64, co
     parts = {k: old[k] for k in now if int(k) not in set(changed)}
     folder = f"postings-{uuid.uuid4().hex}"
     if changed:
-        mine = docs.withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets)).filter(F.col("bucket").isin(changed))
-        post = retrieval.full_postings(mine.drop("bucket"), text).withColumn("bucket", fingerprint.bucket(F.col("doc_id"), buckets))
-        post.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}")  # few files a bucket, large ones split
-        texts = mine.select("doc_id", _sha(F.col(text)).alias("sha256"), "bucket")
-        texts.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}-texts")
-        back = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{ledger.path}/{folder}")
-        tokens = {str(r["bucket"]): r["t"] for r in back.groupBy("bucket").agg(F.sum("tf").alias("t")).collect()}
+        mine = docs.select("doc_id", F.col(text).alias("text"), _sha(F.col(text)).alias("sha256"), fingerprint.bucket(F.col("doc_id"), buckets).alias("bucket"))
+        rows = retrieval.counted(mine.filter(F.col("bucket").isin(changed)), ["sha256", "bucket"])
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{ledger.path}/{folder}")  # few files a bucket, large ones split
+        back = spark.read.schema("dl long, bucket int").parquet(f"{ledger.path}/{folder}")
+        tokens = {str(r["bucket"]): r["t"] for r in back.groupBy("bucket").agg(F.sum("dl").alias("t")).collect()}
         for k in map(str, changed):
-            parts[k] = {"n": now[k]["n"], "fingerprint": now[k]["fingerprint"], "tokens": tokens.get(k, 0), "folder": folder if k in tokens else "", "texts": f"{folder}-texts"}
+            parts[k] = {"n": now[k]["n"], "fingerprint": now[k]["fingerprint"], "tokens": tokens[k], "folder": folder}
     whole = spark.createDataFrame([(int(k), p["n"], p["fingerprint"]) for k, p in parts.items()], "bucket int, n long, fingerprint string")
     new = {
         "config": said, "parts": parts, "terms": f"terms-{uuid.uuid4().hex}", "n_docs": sum(p["n"] for p in parts.values()), "n_tokens": sum(p["tokens"] for p in parts.values()),
         "fingerprint": fingerprint.of(whole, ["bucket", "n", "fingerprint"])[1],
     }
-    folders = [f"{ledger.path}/{p['folder']}/bucket={k}" for k, p in parts.items() if p["folder"]]
-    post = spark.read.schema(_POSTINGS).parquet(*folders) if folders else spark.createDataFrame([], _POSTINGS)
+    terms = _rows(spark, ledger.path, parts).select(F.explode("terms").alias("term"))
     stats = spark.createDataFrame([(new["n_docs"],)], "n_docs long")
-    retrieval.idf(post, stats, config.epsilon).sortWithinPartitions("term").write.parquet(f"{ledger.path}/{new['terms']}")
+    retrieval.idf(terms, stats, config.epsilon).sortWithinPartitions("term").write.parquet(f"{ledger.path}/{new['terms']}")
     if not ledger.commit(numbered("index-", version + 1), new):
-        for lost in (folder, f"{folder}-texts", new["terms"]):
+        for lost in (folder, new["terms"]):
             ledger.delete(lost)
         return ensure(docs, path, text, buckets, config, refuse)  # another writer was first
     return Stored(_read(spark, ledger.path, new), version + 1, new["fingerprint"], changed)
@@ -103,7 +105,7 @@ def text_hashes(spark: SparkSession, path: str, only: Sequence[int] | None = Non
     """(doc_id, sha256) of the texts as the latest version indexed them, of some buckets or all."""
     ledger = Ledger(spark, path)
     parts = ledger.latest("index-")[1]["parts"]
-    folders = [f"{ledger.path}/{p['texts']}/bucket={k}" for k, p in parts.items() if only is None or int(k) in set(only)]
+    folders = [f"{ledger.path}/{p['folder']}/bucket={k}" for k, p in parts.items() if only is None or int(k) in set(only)]
     return spark.read.schema(_HASHES).parquet(*folders) if folders else spark.createDataFrame([], _HASHES)
 
 
@@ -117,8 +119,9 @@ def checked(passages: DataFrame, path: str, text: str = "text") -> DataFrame:
     if record is None:
         raise CorpusChanged(f"no index at {path}")
     at = fingerprint.bucket(F.col("doc_id"), record["config"]["buckets"])
-    hit = [r["b"] for r in passages.select(at.alias("b")).distinct().collect()]  # at most one a bucket
-    h = text_hashes(spark, path, hit).withColumnRenamed("sha256", "_sha256")
+    ids = stored(passages.select("doc_id").distinct(), "passage-ids")
+    hit = [r["b"] for r in ids.select(at.alias("b")).distinct().collect()]  # at most one a bucket
+    h = text_hashes(spark, path, hit).withColumnRenamed("sha256", "_sha256").join(ids, "doc_id", "left_semi")
     j = passages.join(h, "doc_id", "left")
     error = F.when(F.col("_sha256").isNull(), "document is not in the index").when(F.col("_sha256") != _sha(F.col(text)), "text is not what was indexed")
     return j.select(*passages.columns, error.alias("error"))
@@ -153,7 +156,7 @@ def prune(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     ledger = Ledger(spark, path)
     names = ledger.names("index-")
     records = {n: ledger.read(n) for n in names}
-    of = lambda r: {r["terms"], *(p["folder"] for p in r["parts"].values()), *(p["texts"] for p in r["parts"].values())} - {""}
+    of = lambda r: {r["terms"], *(p[c] for p in r["parts"].values() for c in ("folder", "texts") if c in p)} - {""}
     alive = set().union(*[of(records[n]) for n in names[-keep:]]) if names else set()
     gone = sorted(set().union(*[of(r) for r in records.values()], set()) - alive)
     for name in names[:-keep]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fingerprint, index_store, locks, methods, paced, retrieval, runs, schema_contract
-from ..operators.stored import shared_folder
+from ..operators.stored import shared_folder, stored
 from ..streaming import upsert
 from . import views as V
 from .contracts import query
@@ -170,7 +170,7 @@ def passage_integrity(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
     path = _place(spark, "index")
     index = index_store.ensure(docs, path, buckets=_BUCKETS).index
-    hits = retrieval.search(V.claims(spark, sf).withColumnRenamed("text", "query"), index, ["claim_id"], 8)
+    hits = stored(retrieval.search(V.claims(spark, sf).withColumnRenamed("text", "query"), index, ["claim_id"], 8), "integrity-hits")
     p = hits.join(docs, "doc_id").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
     p = p.withColumn("doc_id", F.when(F.col("rank") == 8, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
     return index_store.checked(p.select("claim_id", "rank", "doc_id", "text"), path).select("claim_id", "rank", "error")
